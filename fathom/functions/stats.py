@@ -26,7 +26,7 @@ def numeric_text(c: Column, digits: int) -> Column:
     digit kept after the point (``3.1000`` -> ``3.1``, ``3.0000`` -> ``3.0``).
     Null stays null; NaN and infinities print as Python does.
     """
-    r = F.round(c, digits)
+    r = py_round(c, digits)
     fixed = F.format_string(f"%.{digits}f", r)
     trimmed = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", ".0")
     return (F.when(r.isNull(), F.lit(None).cast("string"))
@@ -38,3 +38,10 @@ def numeric_text(c: Column, digits: int) -> Column:
 
 def not_nan(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
+
+
+def py_round(c: Column, digits: int) -> Column:
+    """``round`` that keeps the sign of a small negative, as Python does (-0.0)."""
+    r = F.round(c, digits)
+    negative = F.format_string("%e", c).startswith("-")   # also true for -0.0
+    return F.when(negative & (r == 0), F.lit(-0.0)).otherwise(r)

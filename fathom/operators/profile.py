@@ -106,9 +106,8 @@ def target_summary(df: DataFrame, target: str, exact_quantiles: bool = True) ->
         qcols = [(F.lit(q[p]).cast("double"), n)
                  for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     else:
-        pa = F.percentile_approx("x", [0.25, 0.5, 0.75], 10000)
-        moments = moments.crossJoin(x.agg(pa.alias("_q")))
-        qcols = [(F.col("_q")[i], n) for i, n in enumerate(("p25", "p50", "p75"))]
+        qa = x.agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("_q")).first()["_q"] or [None] * 3
+        qcols = [(F.lit(qa[i]).cast("double"), n) for i, n in enumerate(("p25", "p50", "p75"))]
     r4 = lambda c: F.round(c, 4)
     return moments.select(
         F.col("count").cast("bigint").alias("count"), r4(F.col("mean")).alias("mean"),
@@ -310,7 +309,10 @@ def summary_text(df: DataFrame, features: list[str], target: str, task: str = "r
             _py_repr_text(s["class"].cast("string"), text_key), F.lit(": "), s["n"].cast("string"))), ", "), F.lit("}"))
         ratios = F.concat(F.lit("{"), F.array_join(F.transform("s", lambda s: F.concat(
             F.lit("'"), s["class"].cast("string"), F.lit("': "), numeric_text(s["ratio"], 3))), ", "), F.lit("}"))
-        head = agg.crossJoin(bal).select(F.explode(F.array(
+        b = bal.first()   # one row: n_classes, imbalance_ratio, balanced
+        head = agg.select(F.lit(b["n_classes"]).alias("n_classes"),
+                          F.lit(b["imbalance_ratio"]).cast("double").alias("imbalance_ratio"),
+                          F.lit(b["balanced"]).alias("balanced"), "s").select(F.explode(F.array(
             F.struct(F.lit(1).alias("ord"), F.format_string("Target: %d classes.", F.col("n_classes")).alias("line")),
             F.struct(F.lit(2).alias("ord"), F.concat(F.lit("Class counts: "), counts).alias("line")),
             F.struct(F.lit(3).alias("ord"), F.concat(F.lit("Class ratios: "), ratios).alias("line")),

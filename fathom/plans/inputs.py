@@ -69,19 +69,19 @@ def docs(spark, sf):
 
 # regression table: line items with part attributes
 LINEPART_SQL = """
-select l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag,
+select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag,
        l.l_linestatus, p.p_size, p.p_retailprice, l.l_extendedprice
 from lineitem l join part p on l.l_partkey = p.p_partkey"""
 
 
 def linepart(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                              "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                                              "l_extendedprice")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
-    return li.join(p, "l_partkey").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-                                         "l_returnflag", "l_linestatus", "p_size", "p_retailprice",
-                                         "l_extendedprice")
+    return li.join(p, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_size",
+                                         "p_retailprice", "l_extendedprice")
 
 
 LINEPART_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_size",

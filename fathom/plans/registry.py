@@ -6,7 +6,7 @@ import importlib
 
 from fathom.plans.catalog import ORACLE, QUERIES
 
-MODULES = ["fathom.plans.reg_prepare", "fathom.plans.reg_profile", "fathom.plans.reg_splits"]
+MODULES = ["fathom.plans.reg_prepare", "fathom.plans.reg_profile", "fathom.plans.reg_splits", "fathom.plans.reg_models"]
 
 
 def _load():
