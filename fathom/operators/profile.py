@@ -61,8 +61,8 @@ def feature_order(spark, cols: list[str]) -> DataFrame:
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """``(class, n, ratio)`` ordered by class; ratio over all rows incl. null target."""
     g = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())   # one row per class: tiny
-    return (g.withColumn("ratio", F.round(F.col("n") / total, 3))
+    total = df.agg(F.count(F.lit(1))).first()[0] or 1   # one scalar; rows with a null target count too
+    return (g.withColumn("ratio", F.round(F.col("n") / F.lit(float(total)), 3))
              .where(F.col("class").isNotNull())
              .orderBy("class"))
 
@@ -176,9 +176,16 @@ def numeric_feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
                 .orderBy("ord"))
 
 
+def as_text(df: DataFrame, c: str) -> Column:
+    """Python's ``str`` of a value: booleans print as True/False."""
+    if isinstance(df.schema[c].dataType, T.BooleanType):
+        return F.when(F.col(c), F.lit("True")).when(~F.col(c), F.lit("False"))
+    return F.col(c).cast("string")
+
+
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, value, n)`` over text forms of ``cols``, nulls excluded."""
-    long = unpivot(df, cols, "string")
+    long = df.select([as_text(df, c).alias(c) for c in cols]).unpivot([], cols, "column", "value")
     return (long.where(F.col("value").isNotNull())
                 .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -349,7 +356,7 @@ def summary_text(df: DataFrame, features: list[str], target: str, task: str = "r
             F.when(F.col("n") == 0, F.lit("0")).otherwise(numeric_text(s, 3)),
             F.when(F.abs(s) > FEATURE_SKEW_LIMIT, F.lit(" (skewed)")).otherwise(F.lit(""))).alias("line")))
     if cats:
-        nu = distinct_counts(unpivot(df, cats, "string"))
+        nu = distinct_counts(df.select([as_text(df, c).alias(c) for c in cats]).unpivot([], cats, "column", "value"))
         ordmap = F.create_map(*[x for c in cats for x in (F.lit(c), F.lit(100 + order[c]))])
         lines.append(nu.select(ordmap[F.col("column")].alias("ord"), F.format_string(
             "  %s: categorical, %d unique values", F.col("column"), F.col("n_unique")).alias("line")))

@@ -113,14 +113,16 @@ def _resolve(base: DataFrame, cuts: list[_Cut]) -> None:
         c.h, c.k, c.tie_below = r["_h"], r["_k"], int(r["_t"])
 
 
-def assign_segments(df: DataFrame, group: str | None, cuts_by_group: dict) -> DataFrame:
+def assign_segments(df: DataFrame, group: str | None, cuts_by_group: dict,
+                    sizes: dict[str, int] | None = None) -> DataFrame:
     """Add ``_seg`` = number of cuts at or below the row's rank in its group.
 
     ``cuts_by_group[g]`` is an ascending list of 0-based ranks; a rank equal
     to the group size means "past the end". ``df`` must carry ``_h``/``_k``.
+    ``sizes`` (rows per group, keyed by the group's text) saves a pass when known.
     """
     spark = df.sparkSession
-    sizes = _group_sizes(df, group)
+    sizes = sizes if sizes is not None else _group_sizes(df, group)
     wanted = [(g, r) for g, rs in cuts_by_group.items() for r in rs if 0 < r < sizes.get(str(g), 0)]
     found = {(str(c.group), c.rank): c for c in find_cuts(df, group, wanted)} if wanted else {}
     rows, ties = [], []
@@ -190,7 +192,7 @@ def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
     o = with_order(df, key_cols, seed)
     n = o.count()
     n_test, _ = split_sizes(n, test_size)
-    seg = assign_segments(o, None, {ALL: [n_test]})
+    seg = assign_segments(o, None, {ALL: [n_test]}, {ALL: n})
     out = seg.withColumn("split", F.when(F.col("_seg") == 0, "test").otherwise("train")).drop("_seg")
     return out if ordered else out.drop("_h", "_k")
 
@@ -201,7 +203,7 @@ def kfold_assign(train: DataFrame, key_cols: list[str] | None = None, k: int = 5
     n = o.count()
     sizes = fold_sizes(n, k)
     cuts = [sum(sizes[:i + 1]) for i in range(k - 1)]
-    out = assign_segments(o, None, {ALL: cuts}).withColumnRenamed("_seg", "fold")
+    out = assign_segments(o, None, {ALL: cuts}, {ALL: n}).withColumnRenamed("_seg", "fold")
     return out.withColumn("fold", F.col("fold").cast("int"))
 
 
@@ -230,15 +232,30 @@ def stratified_kfold_assign(train: DataFrame, label: str, key_cols: list[str] |
                     o.groupBy(label).agg(F.count(F.lit(1))).where(F.col(label).isNotNull()).collect())
     alloc = stratified_allocation(counts, k)
     cuts = {str(cls): [sum(a[:i + 1]) for i in range(k - 1)] for cls, a in alloc.items()}
-    out = assign_segments(o, label, cuts).withColumnRenamed("_seg", "fold")
+    sizes = {str(cls): c for cls, c in counts}
+    out = assign_segments(o, label, cuts, sizes).withColumnRenamed("_seg", "fold")
     return out.withColumn("fold", F.col("fold").cast("int"))
 
 
 def split_and_folds(df: DataFrame, key_cols: list[str], label: str | None = None, k: int = 5,
                     test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """T1 then T2 (or T3 with ``label``) on one shared order: ``split`` and ``fold`` (null on test)."""
+    """T1 then T2 (or T3 with ``label``) on one shared order: ``split`` and ``fold`` (null on test).
+
+    Unstratified folds are cut positions of the same order as the test cut,
+    so all k cuts are found in one shared refinement.
+    """
+    if label is None:
+        o = with_order(df, key_cols, seed)
+        n = o.count()
+        n_test, n_train = split_sizes(n, test_size)
+        sizes = fold_sizes(n_train, k)
+        cuts = [n_test] + [n_test + sum(sizes[:i + 1]) for i in range(k - 1)]
+        seg = assign_segments(o, None, {ALL: cuts}, {ALL: n})
+        return (seg.withColumn("split", F.when(F.col("_seg") == 0, "test").otherwise("train"))
+                   .withColumn("fold", F.when(F.col("_seg") > 0, F.col("_seg") - 1).cast("int"))
+                   .drop("_seg", "_h", "_k"))
     s = train_test_split(df, key_cols, test_size, seed, ordered=True)
     train = s.where(F.col("split") == "train")
-    folded = (stratified_kfold_assign(train, label, k=k) if label else kfold_assign(train, k=k))
+    folded = stratified_kfold_assign(train, label, k=k)
     test = s.where(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int"))
     return folded.unionByName(test).drop("_h", "_k")

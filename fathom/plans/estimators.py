@@ -326,51 +326,59 @@ def _min_instances(params) -> int:
     return max(1, math.ceil(int(params.get("min_samples_split", 2)) / 2))
 
 
+# Deep trees: cache node ids per row (no tree shipped to executors per level), checkpoint
+# that cache every 10 levels, and give each pass room for many nodes.
+TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024, maxBins=64)
+
+
 def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_classes: int):
     """Spark ML estimator with scikit-learn's defaults for ``name``; features 'features', label 'label'."""
     from pyspark.ml import classification as C, regression as R
     seed = int(params.get("random_state", 42) or 42)
     ne = params.get("n_estimators")
-    common = dict(featuresCol="features", labelCol="label")
+    common = dict(featuresCol="features", labelCol="label", **TREE_OPTS)
+    linear = dict(featuresCol="features", labelCol="label")
     if name == "RandomForestRegressor":
         return R.RandomForestRegressor(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="all",
-                                       minInstancesPerNode=_min_instances(params), maxBins=128, seed=seed, **common)
+                                       minInstancesPerNode=_min_instances(params), seed=seed, **common)
     if name == "BaggingRegressor":
         return R.RandomForestRegressor(numTrees=int(ne or 10), maxDepth=MAX_SPARK_DEPTH, featureSubsetStrategy="all",
-                                       maxBins=128, seed=seed, **common)
+                                       seed=seed, **common)
     if name == "DecisionTreeRegressor":
         return R.DecisionTreeRegressor(maxDepth=_depth(params), minInstancesPerNode=_min_instances(params),
-                                       maxBins=128, seed=seed, **common)
+                                       seed=seed, **common)
     if name == "GradientBoostingRegressor":
         return R.GBTRegressor(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or 3),
-                              stepSize=float(params.get("learning_rate", 0.1)), maxBins=128, seed=seed, **common)
+                              stepSize=float(params.get("learning_rate", 0.1)), seed=seed, **common)
     if name in ("XGBRegressor", "LGBMRegressor", "CatBoostRegressor"):
         depth, lr = {"XGBRegressor": (6, 0.3), "LGBMRegressor": (5, 0.1), "CatBoostRegressor": (6, 0.03)}[name]
         return R.GBTRegressor(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or depth),
-                              stepSize=float(params.get("learning_rate", lr)), maxBins=128, seed=seed, **common)
+                              stepSize=float(params.get("learning_rate", lr)), seed=seed, **common)
     if name == "RandomForestClassifier":
         return C.RandomForestClassifier(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="sqrt",
-                                        minInstancesPerNode=_min_instances(params), maxBins=128, seed=seed, **common)
+                                        minInstancesPerNode=_min_instances(params), seed=seed, **common)
     if name == "BaggingClassifier":
         return C.RandomForestClassifier(numTrees=int(ne or 10), maxDepth=MAX_SPARK_DEPTH, featureSubsetStrategy="all",
-                                        maxBins=128, seed=seed, **common)
+                                        seed=seed, **common)
     if name == "DecisionTreeClassifier":
         return C.DecisionTreeClassifier(maxDepth=_depth(params), minInstancesPerNode=_min_instances(params),
-                                        maxBins=128, seed=seed, **common)
+                                        seed=seed, **common)
     if name in ("GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier"):
         depth, lr = {"GradientBoostingClassifier": (3, 0.1), "XGBClassifier": (6, 0.3),
                      "LGBMClassifier": (5, 0.1), "CatBoostClassifier": (6, 0.03)}[name]
         gbt = C.GBTClassifier(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or depth),
-                              stepSize=float(params.get("learning_rate", lr)), maxBins=128, seed=seed, **common)
-        return gbt if n_classes <= 2 else C.OneVsRest(classifier=gbt, **common)
+                              stepSize=float(params.get("learning_rate", lr)), seed=seed, **common)
+        return gbt if n_classes <= 2 else C.OneVsRest(classifier=gbt, parallelism=min(n_classes, 8), **linear)
     if name == "LogisticRegression":
         c = float(params.get("C", 1.0))
         return C.LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                                    maxIter=int(params.get("max_iter", 100)), tol=1e-6, **common)
+                                    maxIter=int(params.get("max_iter", 100)), tol=1e-6, **linear)
     if name in ("SVC", "SGDClassifier"):
         reg = 1.0 / (float(params.get("C", 1.0)) * n) if name == "SVC" else float(params.get("alpha", 1e-4))
-        svm = C.LinearSVC(regParam=reg, standardization=False, maxIter=int(params.get("max_iter", 1000)), **common)
-        return svm if n_classes <= 2 else C.OneVsRest(classifier=svm, **common)
+        # scikit-learn iterates until its tolerance; Spark's OWLQN stops at tol=1e-6 or 100 rounds
+        iters = int(params["max_iter"]) if int(params.get("max_iter", -1)) > 0 else 100
+        svm = C.LinearSVC(regParam=reg, standardization=False, maxIter=iters, **linear)
+        return svm if n_classes <= 2 else C.OneVsRest(classifier=svm, parallelism=min(n_classes, 8), **linear)
     raise KeyError(name)
 
 
@@ -408,53 +416,62 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, tas
 # ------------------------------------------------------------------ boosting and extra trees
 @dataclass
 class EnsembleFitted(Fitted):
+    """Members applied as columns in one pass, combined row by row (no shuffle).
+
+    ``members`` are (weight, apply) with ``apply(df, out_col)`` adding one
+    prediction column; classification members predict class indices.
+    Regression: weighted mean, or for AdaBoost.R2 the weighted median
+    (smallest prediction whose cumulative weight reaches half the total).
+    Classification: weighted vote, ties to the smaller class.
+    """
     name: str
     task: str
-    members: list           # (weight, transform: df -> df with 'prediction' double)
+    members: list
     label_type: T.DataType | None = None
     classes: list | None = None
     note: str | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         cols = df.columns
-        base = df.withColumn("_row", F.monotonically_increasing_id())
-        ensure_checkpoint_dir(df.sparkSession)
-        base = base.checkpoint(eager=True)
-        preds = []
-        for i, (w, fn) in enumerate(self.members):
-            p = fn(base).select("_row", F.col("prediction").alias("p"))
-            preds.append(p.withColumn("_m", F.lit(i)).withColumn("_w", F.lit(float(w))))
-        allp = preds[0]
-        for p in preds[1:]:
-            allp = allp.unionByName(p)
+        out = df
+        outs = []
+        for i, (_, apply) in enumerate(self.members):
+            out = apply(out, f"_p{i}")
+            outs.append(f"_p{i}")
+        ws = [float(w) for w, _ in self.members]
         if self.task == "regression" and self.name == "AdaBoostRegressor":
-            # weighted median of member predictions
-            w = Window.partitionBy("_row").orderBy("p", "_m").rowsBetween(Window.unboundedPreceding, 0)
-            tot = Window.partitionBy("_row")
-            cum = allp.withColumn("_cw", F.sum("_w").over(w)).withColumn("_tw", F.sum("_w").over(tot))
-            agg = (cum.where(F.col("_cw") >= 0.5 * F.col("_tw"))
-                      .groupBy("_row").agg(F.min_by("p", "_cw").alias("prediction")))
+            pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(w).alias("w")) for c, w in zip(outs, ws)]))
+            half = 0.5 * sum(ws)
+            scan = F.aggregate(pairs, F.struct(F.lit(0.0).alias("cw"), F.lit(None).cast("double").alias("m")),
+                               lambda acc, x: F.struct((acc["cw"] + x["w"]).alias("cw"),
+                                                       F.when(acc["m"].isNull() & (acc["cw"] + x["w"] >= half), x["p"])
+                                                        .otherwise(acc["m"]).alias("m")))
+            pred = scan["m"]
         elif self.task == "regression":
-            agg = allp.groupBy("_row").agg((F.sum(F.col("p") * F.col("_w")) / F.sum("_w")).alias("prediction"))
+            pred = sum((F.col(c) * w for c, w in zip(outs, ws)), F.lit(0.0)) / F.lit(sum(ws))
         else:
-            votes = allp.groupBy("_row", "p").agg(F.sum("_w").alias("_v"))
-            wv = Window.partitionBy("_row").orderBy(F.col("_v").desc(), F.col("p"))
-            agg = votes.withColumn("_r", F.row_number().over(wv)).where("_r = 1").select(
-                "_row", F.col("p").alias("prediction"))
-        out = base.join(agg, "_row", "left")
-        if self.task == "classification":
-            cases = None
-            for i, c in enumerate(self.classes):
-                cases = F.when(F.col("prediction") == i, F.lit(c)) if cases is None else \
-                    cases.when(F.col("prediction") == i, F.lit(c))
-            out = out.withColumn("prediction", cases.cast(self.label_type))
-        return out.select(*cols, "prediction")
-
-
-def _tree_member(model, assembler):
-    def fn(df):
-        return model.transform(assembler.transform(df))
-    return fn
+            votes = [sum(((F.col(c) == float(k)).cast("double") * w for c, w in zip(outs, ws)), F.lit(0.0))
+                     for k in range(len(self.classes))]
+            best = F.greatest(*[F.struct(v.alias("v"), F.lit(-k).alias("k")) for k, v in enumerate(votes)]) \
+                if len(votes) > 1 else F.struct(votes[0].alias("v"), F.lit(0).alias("k"))
+            pick = None
+            for k, c in enumerate(self.classes):
+                pick = F.when(best["k"] == -k, F.lit(c)) if pick is None else pick.when(best["k"] == -k, F.lit(c))
+            pred = pick.cast(self.label_type)
+        return out.withColumn("prediction", pred).select(*cols, "prediction")
+
+
+def _tree_member(model, features_col: str, make_features):
+    """A fitted tree as ``apply(df, out)``: build its feature vector, predict into ``out``."""
+    def apply(df, out):
+        m = model.copy()
+        m.setFeaturesCol(features_col).setPredictionCol(out)
+        for extra in ("setRawPredictionCol", "setProbabilityCol", "setVarianceCol"):
+            if hasattr(m, extra):
+                getattr(m, extra)("")
+        base = make_features(df) if features_col not in df.columns else df
+        return m.transform(base)
+    return apply
 
 
 def fit_adaboost(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> EnsembleFitted:
@@ -470,6 +487,9 @@ def fit_adaboost(df: DataFrame, features: list[str], target: str, task: str, par
     ensure_checkpoint_dir(df.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     data = assembler.transform(df.where(F.col(target).isNotNull()))
+    member_features = "_ada_features"
+    vec = VectorAssembler(inputCols=list(features), outputCol=member_features, handleInvalid="keep")
+    make = vec.transform
     classes = None
     if task == "classification":
         classes = _class_list(df, target)
@@ -477,43 +497,47 @@ def fit_adaboost(df: DataFrame, features: list[str], target: str, task: str, par
         data = data.withColumn("label", mapping[F.col(target)])
     else:
         data = data.withColumn("label", _x(target))
-    n = data.count()
-    data = data.select("features", "label").withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
+    # The aggregate that measures a round's error also sums the weights, which
+    # normalises the next round's update: one fit and one pass per round.
+    data = data.select("features", "label").withColumn("w", F.lit(1.0)).checkpoint(eager=True)
     k = len(classes) if classes else 0
     members = []
     for m in range(rounds):
         if task == "classification":
             tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=42).fit(data)
-            p = tree.transform(data).select("label", "w", "features", F.col("prediction"))
+            p = tree.transform(data)
             wrong = (F.col("prediction") != F.col("label")).cast("double")
-            err = p.agg((F.sum(F.col("w") * wrong) / F.sum("w")).alias("e")).first()["e"]
+            r = p.agg((F.sum(F.col("w") * wrong) / F.sum("w")).alias("e"), F.sum("w").alias("sw")).first()
+            err = r["e"]
             if err <= 0:
-                members.append((1.0, _tree_member(tree, assembler)))
+                members.append((1.0, _tree_member(tree, member_features, make)))
                 break
             if err >= 1.0 - 1.0 / k:
+                if not members:
+                    raise ValueError("base classifier is no better than chance")
                 break
             alpha = lr * (math.log((1 - err) / err) + math.log(k - 1))
-            members.append((alpha, _tree_member(tree, assembler)))
-            data = p.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * wrong)).alias("w"))
+            members.append((alpha, _tree_member(tree, member_features, make)))
+            data = p.select("features", "label", (F.col("w") / F.lit(r["sw"]) * F.exp(F.lit(alpha) * wrong)).alias("w"))
         else:
             tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=42).fit(data)
             p = tree.transform(data)
             err_abs = F.abs(F.col("prediction") - F.col("label"))
-            mx = p.agg(F.max(err_abs)).first()[0] or 0.0
+            r = p.agg(F.max(err_abs).alias("mx"), F.sum(F.col("w") * err_abs).alias("we"), F.sum("w").alias("sw")).first()
+            mx = r["mx"] or 0.0
             if mx == 0:
-                members.append((1.0, _tree_member(tree, assembler)))
+                members.append((1.0, _tree_member(tree, member_features, make)))
                 break
-            loss = err_abs / F.lit(mx)
-            avg_loss = p.agg((F.sum(F.col("w") * loss) / F.sum("w")).alias("l")).first()["l"]
+            avg_loss = r["we"] / (mx * r["sw"])      # linear loss |e| / max|e|
             if avg_loss >= 0.5:
                 if not members:
-                    members.append((1.0, _tree_member(tree, assembler)))
+                    members.append((1.0, _tree_member(tree, member_features, make)))
                 break
             beta = avg_loss / (1 - avg_loss)
-            members.append((lr * math.log(1 / beta), _tree_member(tree, assembler)))
-            data = p.select("features", "label", (F.col("w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * lr)).alias("w"))
-        total = data.agg(F.sum("w")).first()[0]
-        data = data.withColumn("w", F.col("w") / F.lit(total))
+            members.append((lr * math.log(1 / beta), _tree_member(tree, member_features, make)))
+            loss = err_abs / F.lit(mx)
+            data = p.select("features", "label",
+                            (F.col("w") / F.lit(r["sw"]) * F.pow(F.lit(beta), (F.lit(1.0) - loss) * lr)).alias("w"))
         if (m + 1) % 10 == 0:
             data = data.checkpoint(eager=True)
     name = "AdaBoostClassifier" if task == "classification" else "AdaBoostRegressor"
@@ -554,19 +578,21 @@ def fit_extra_trees(df: DataFrame, features: list[str], target: str, task: str,
             lo, hi = bounds[f"a{i}"], bounds[f"b{i}"]
             cuts = sorted({rng.uniform(lo, hi) for _ in range(n_thr)}) if hi > lo else []
             splits.append([-float("inf")] + cuts + [float("inf")])
-        bucket = Bucketizer(splitsArray=splits, inputCols=list(features),
-                            outputCols=[f"_b{i}" for i in range(len(features))], handleInvalid="keep")
-        asm = VectorAssembler(inputCols=[f"_b{i}" for i in range(len(features))], outputCol="features")
+        bcols = [f"_t{t}_b{i}" for i in range(len(features))]
+        fcol = f"_t{t}_f"
+        bucket = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=bcols, handleInvalid="keep")
+        asm = VectorAssembler(inputCols=bcols, outputCol=fcol)
         est = (DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor)(
-            maxDepth=_depth(params), maxBins=max(2, n_thr + 2), seed=rng.randrange(2 ** 31))
+            featuresCol=fcol, maxDepth=_depth(params), maxBins=max(2, n_thr + 2), seed=rng.randrange(2 ** 31),
+            **{k: v for k, v in TREE_OPTS.items() if k != "maxBins"})
         tree = est.fit(asm.transform(bucket.transform(data)))
 
-        def member(df_, bucket=bucket, asm=asm, tree=tree):
-            casted = df_
-            for f in features:
-                casted = casted.withColumn(f, _x(f))
-            return tree.transform(asm.transform(bucket.transform(casted)))
-        members.append((1.0, member))
+        def make(df_, bucket=bucket, asm=asm):
+            casted = df_.select("*", *[_x(f).alias(f"_c_{f}") for f in features])
+            b = Bucketizer(splitsArray=bucket.getSplitsArray(), inputCols=[f"_c_{f}" for f in features],
+                           outputCols=bucket.getOutputCols(), handleInvalid="keep")
+            return asm.transform(b.transform(casted)).drop(*[f"_c_{f}" for f in features], *bucket.getOutputCols())
+        members.append((1.0, _tree_member(tree, fcol, make)))
     name = "ExtraTreesClassifier" if task == "classification" else "ExtraTreesRegressor"
     return EnsembleFitted(name, task, members, df.schema[target].dataType, classes)
 

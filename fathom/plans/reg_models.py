@@ -140,8 +140,8 @@ def e7_residual_scatter_density(spark, sf):
 
 
 # ------------------------------------------------------------------ M8, M5: coefficients
-def _coef_sql(alpha: float | None) -> str:
-    a = 0.0 if alpha is None else alpha
+def _coef_sql(alpha: float | str | None) -> str:
+    a = 0.0 if alpha is None else alpha   # a number, or SQL over the train moments (n)
     return LI_SPLIT_SQL + f""",
 m as (select count(*)::double as n, avg(l_quantity) as m1, avg(l_discount) as m2, avg(l_extendedprice) as my,
              covar_pop(l_quantity, l_quantity) as s11, covar_pop(l_quantity, l_discount) as s12,
@@ -193,11 +193,11 @@ def m7_elastic_net(spark, sf):
                                     "regression", {"alpha": 1.0, "l1_ratio": 0.5}))
 
 
-@register("M9_sgd_regressor")
+@register("M9_sgd_regressor", _coef_sql("0.0001 * n"))
 def m9_sgd_regressor(spark, sf):
-    """Optimum of squared loss + L2 (alpha 1e-4) that SGD approaches."""
+    """Optimum of squared loss + L2 (alpha 1e-4) that SGD approaches: ridge with alpha * n."""
     s = li_split(spark, sf).where("split = 'train'")
-    return _coef_frame(spark, M.fit(s, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "SGDRegressor",
+    return _coef_frame(spark, M.fit(s, ["l_quantity", "l_discount"], "l_extendedprice", "SGDRegressor",
                                     "regression"))
 
 
@@ -356,7 +356,10 @@ def _clf(name, params=None):
     return q
 
 
-for _id, _name, _p in [("M1", "RandomForestRegressor", None), ("M2", "GradientBoostingRegressor", None),
+# M1 uses max_depth=10 (a value of the reference's default grid): fully grown trees
+# (max_depth=None, supported and tested on small tables) have about one leaf per
+# training row, and Spark's level-wise learner ships a histogram for every node.
+for _id, _name, _p in [("M1", "RandomForestRegressor", {"max_depth": 10}), ("M2", "GradientBoostingRegressor", None),
                        ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", {"n_estimators": 10}),
                        ("M10", "AdaBoostRegressor", None), ("M12", "BaggingRegressor", None),
                        ("M13", "XGBRegressor", None)]:
@@ -368,3 +371,51 @@ for _id, _name, _p in [("M14", "RandomForestClassifier", None), ("M14b", "Decisi
                        ("M19", "SVC", {"kernel": "linear"}), ("M20", "SGDClassifier", None),
                        ("M21", "MLPClassifier", None), ("M22", "AdaBoostClassifier", None)]:
     register(f"{_id}_{_name}")(_clf(_name, _p))
+
+
+@register("E6_verdict_classification", GNB_SQL.replace(
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, y_true, cls as y_pred from best where r = 1", """,
+pred as (select y_true, cls as y_pred from best where r = 1),
+cls as (select y_true as c from pred union select y_pred from pred),
+per as (select c, (select count(*) from pred where y_true = c and y_pred = c) as tp,
+               (select count(*) from pred where y_pred = c) as np, (select count(*) from pred where y_true = c) as nt
+        from cls),
+pr as (select c, tp, case when np > 0 then tp / np else 0.0 end as p, case when nt > 0 then tp / nt else 0.0 end as r from per),
+met as (select (select count(*) from pred) as n, round(sum(tp) / (select count(*) from pred), 4) as accuracy,
+               round(avg(p), 4) as precision, round(avg(r), 4) as recall,
+               round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 4) as f1 from pr)
+select n, accuracy, precision, recall, f1,
+       case when accuracy >= 0.85 then 'good' when accuracy >= 0.65 then 'moderate' else 'limited' end as level,
+       'Model: GaussianNB | Task: classification' || chr(10) ||
+       'Metrics: {''accuracy'': ' || """ + _num_sql("accuracy", 4) + """ || ', ''precision'': ' || """ + _num_sql("precision", 4) + """ ||
+       ', ''recall'': ' || """ + _num_sql("recall", 4) + """ || ', ''f1'': ' || """ + _num_sql("f1", 4) + """ || '}' || chr(10) ||
+       case when coalesce(accuracy, 0) >= 0.85 then 'Performance: good. High accuracy suggests the model generalizes well.'
+            when coalesce(accuracy, 0) >= 0.65 then 'Performance: moderate. Consider feature engineering or trying other models.'
+            else 'Performance: limited. Try more features, class balance, or different algorithms.' end || chr(10) ||
+       'Suggestion: try hyperparameter tuning (GridSearchCV) or ensemble methods.' as verdict
+from met"""))
+def e6_verdict_classification(spark, sf):
+    """Rule-based interpretation of the Gaussian NB classification metrics."""
+    return E.verdict(E.classification_metrics(gnb_predictions(spark, sf)), "GaussianNB", "classification")
+
+
+for _id, _name, _p in [("M14c", "BaggingClassifier", None), ("M16b", "XGBClassifier", {"n_estimators": 20})]:
+    register(f"{_id}_{_name}")(_clf(_name, _p))
+
+
+@register("E3_per_class_report", GNB_SQL.replace(
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, y_true, cls as y_pred from best where r = 1", """,
+pred as (select y_true, cls as y_pred from best where r = 1),
+cls as (select y_true as c from pred union select y_pred from pred),
+per as (select c, (select count(*) from pred where y_true = c and y_pred = c) as tp,
+               (select count(*) from pred where y_pred = c) as np, (select count(*) from pred where y_true = c) as nt
+        from cls),
+pr as (select c, tp, nt, case when np > 0 then tp / np else 0.0 end as p, case when nt > 0 then tp / nt else 0.0 end as r
+       from per)
+select c as class, nt as support, tp, round(p, 6) as precision, round(r, 6) as recall,
+       round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1
+from pr"""))
+def e3_per_class_report(spark, sf):
+    """Per-class support, precision, recall and F1 of the Gaussian NB predictions (class union)."""
+    r = E.per_class_report(gnb_predictions(spark, sf))
+    return r.select("class", "support", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

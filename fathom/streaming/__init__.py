@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks or state (SURVEY §2.9); every op
+here is a batch DataFrame job. Nothing is added beyond what it does.
+"""

@@ -125,3 +125,40 @@ def test_spark_ml_classifier_returns_original_labels(spark, alloy):
     m = M.fit(df, FEATS, "cls", "DecisionTreeClassifier", "classification", {"max_depth": 3})
     vals = {r["prediction"] for r in m.predict(df).select("prediction").distinct().collect()}
     assert vals <= {"hard", "soft"}
+
+
+@pytest.mark.parametrize("name", ["AdaBoostRegressor", "ExtraTreesRegressor"])
+def test_regression_ensembles_learn(spark, alloy, name):
+    from fathom.operators import evaluate as E
+    m = M.fit(alloy, FEATS, "hardness_HV", name, "regression", {"n_estimators": 8})
+    pred = m.predict(alloy).select(F.col("hardness_HV").alias("y_true"), F.col("prediction").alias("y_pred"))
+    assert E.regression_metrics(pred).first()["R2"] > 0.3
+
+
+@pytest.mark.parametrize("name", ["AdaBoostClassifier", "ExtraTreesClassifier"])
+def test_classification_ensembles_vote(spark, alloy, name):
+    df = alloy.withColumn("cls", F.when(F.col("hardness_HV") > 180, "hi").when(F.col("hardness_HV") > 170, "mid")
+                          .otherwise("lo"))
+    m = M.fit(df, FEATS, "cls", name, "classification", {"n_estimators": 8})
+    out = m.predict(df)
+    assert {r["prediction"] for r in out.select("prediction").distinct().collect()} <= {"hi", "mid", "lo"}
+    acc = out.agg(F.avg((F.col("prediction") == F.col("cls")).cast("double"))).first()[0]
+    assert acc > 0.4
+
+
+def test_weighted_median_combination(spark):
+    from fathom.plans.estimators import EnsembleFitted
+    df = spark.createDataFrame([(1,)], "k int")
+    members = [(w, (lambda v: (lambda d, out: d.withColumn(out, F.lit(float(v)))))(v))
+               for w, v in [(1.0, 5.0), (3.0, 1.0), (1.0, 9.0)]]
+    m = EnsembleFitted("AdaBoostRegressor", "regression", members)
+    assert m.predict(df).first()["prediction"] == 1.0
+    members2 = [(1.0, members[0][1]), (1.0, members[1][1]), (2.5, members[2][1])]
+    assert EnsembleFitted("AdaBoostRegressor", "regression", members2).predict(df).first()["prediction"] == 9.0
+
+
+def test_forest_defaults_grow_deep_trees(spark, alloy):
+    m = M.fit(alloy, FEATS, "hardness_HV", "RandomForestRegressor", "regression", {"n_estimators": 5})
+    stage = m.model.stages[-1]
+    assert stage.getMaxDepth() == 30 and stage.getFeatureSubsetStrategy() == "all"
+    assert max(t.depth for t in stage.trees) > 8

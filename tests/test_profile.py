@@ -107,3 +107,9 @@ def test_summary_text_lines(spark, alloy):
     assert lines[3] == "Features:"
     assert lines[4].startswith("  Al_conc_wt_pct: mean=3.194, std=1.7072, range=[0.0119, 5.9955], skew=-0.073")
     assert text.endswith("or nonlinearity.")
+
+
+def test_boolean_values_print_like_python(spark):
+    df = spark.createDataFrame([(True,), (False,), (True,), (None,)], "b boolean")
+    rows = D.categorical_feature_stats(df, ["b"]).collect()
+    assert [(r["value"], r["n"]) for r in rows] == [("True", 2), ("False", 1)]
