@@ -439,25 +439,24 @@ class EnsembleFitted(Fitted):
             out = apply(out, f"_p{i}")
             outs.append(f"_p{i}")
         ws = [float(w) for w, _ in self.members]
+        # (prediction, weight) pairs as one array: compact lambdas instead of one
+        # expression term per member and class (keeps generated code small).
+        pw = F.zip_with(F.array(*[F.col(c).cast("double") for c in outs]), F.array(*[F.lit(w) for w in ws]),
+                        lambda p, w: F.struct(p.alias("p"), w.alias("w")))
         if self.task == "regression" and self.name == "AdaBoostRegressor":
-            pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(w).alias("w")) for c, w in zip(outs, ws)]))
             half = 0.5 * sum(ws)
-            scan = F.aggregate(pairs, F.struct(F.lit(0.0).alias("cw"), F.lit(None).cast("double").alias("m")),
+            scan = F.aggregate(F.array_sort(pw), F.struct(F.lit(0.0).alias("cw"), F.lit(None).cast("double").alias("m")),
                                lambda acc, x: F.struct((acc["cw"] + x["w"]).alias("cw"),
                                                        F.when(acc["m"].isNull() & (acc["cw"] + x["w"] >= half), x["p"])
                                                         .otherwise(acc["m"]).alias("m")))
             pred = scan["m"]
         elif self.task == "regression":
-            pred = sum((F.col(c) * w for c, w in zip(outs, ws)), F.lit(0.0)) / F.lit(sum(ws))
+            pred = F.aggregate(pw, F.lit(0.0), lambda acc, x: acc + x["p"] * x["w"]) / F.lit(sum(ws))
         else:
-            votes = [sum(((F.col(c) == float(k)).cast("double") * w for c, w in zip(outs, ws)), F.lit(0.0))
-                     for k in range(len(self.classes))]
-            best = F.greatest(*[F.struct(v.alias("v"), F.lit(-k).alias("k")) for k, v in enumerate(votes)]) \
-                if len(votes) > 1 else F.struct(votes[0].alias("v"), F.lit(0).alias("k"))
-            pick = None
-            for k, c in enumerate(self.classes):
-                pick = F.when(best["k"] == -k, F.lit(c)) if pick is None else pick.when(best["k"] == -k, F.lit(c))
-            pred = pick.cast(self.label_type)
+            votes = F.transform(F.sequence(F.lit(0), F.lit(len(self.classes) - 1)), lambda k: F.aggregate(
+                pw, F.lit(0.0), lambda acc, x: acc + F.when(x["p"] == k.cast("double"), x["w"]).otherwise(F.lit(0.0))))
+            idx = F.array_position(votes, F.array_max(votes))        # first maximum: smallest class
+            pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), idx.cast("int")).cast(self.label_type)
         return out.withColumn("prediction", pred).select(*cols, "prediction")
 
 

@@ -360,7 +360,7 @@ def _clf(name, params=None):
 # (max_depth=None, supported and tested on small tables) have about one leaf per
 # training row, and Spark's level-wise learner ships a histogram for every node.
 for _id, _name, _p in [("M1", "RandomForestRegressor", {"max_depth": 10}), ("M2", "GradientBoostingRegressor", None),
-                       ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", {"n_estimators": 10}),
+                       ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", {"n_estimators": 10, "max_depth": 10}),
                        ("M10", "AdaBoostRegressor", None), ("M12", "BaggingRegressor", None),
                        ("M13", "XGBRegressor", None)]:
     register(f"{_id}_{_name}")(_reg(_name, _p))

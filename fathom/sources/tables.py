@@ -83,4 +83,14 @@ def load_table(spark: SparkSession, cfg: dict) -> Bundle:
     src, desc = dataset_description(features, target, name)
     roles = DatasetRoles(tuple(features), target, units, cfg.get("source", src), cfg.get("description", desc))
     validate_contract(df, roles)
-    return Bundle(df, roles, encoding)
+    return Bundle(with_role_metadata(df, roles), roles, encoding)
+
+
+def with_role_metadata(df: DataFrame, roles: DatasetRoles) -> DataFrame:
+    """Attach role and unit to the schema of each feature and the target (no job)."""
+    for c in list(roles.features) + [roles.target]:
+        meta = {"role": "target" if c == roles.target else "feature"}
+        if c in roles.units:
+            meta["unit"] = roles.units[c]
+        df = df.withMetadata(c, meta)
+    return df

@@ -102,3 +102,11 @@ def test_profile_columns(spark):
     rows = {r["column"]: r for r in P.profile_columns(df).collect()}
     assert (rows["a"]["n_unique"], rows["a"]["null_pct"]) == (3, 0.0)
     assert (rows["b"]["n_unique"], rows["b"]["null_pct"]) == (2, 25.0)
+
+
+def test_loader_attaches_roles_and_units(spark, alloy):
+    from fathom.sources.tables import load_table
+    b = load_table(spark, {"df": alloy, "path": "alloy.csv"})
+    assert b.df.schema["hardness_HV"].metadata == {"role": "target", "unit": "HV"}
+    assert b.df.schema["Al_conc_wt_pct"].metadata["role"] == "feature"
+    assert b.roles.description.startswith("Dataset loaded from 'alloy.csv'")
