@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathom.session import spread
+
 from fathom.plans.registry_models import (DEFAULT_SUGGESTION, IMPORT_TO_PIP, MODEL_IMPORT_MAP, import_path,
                                           package_of)
 
@@ -128,19 +130,33 @@ def _suggestions_from(items: DataFrame) -> DataFrame:
                      "reason"))
 
 
+def candidates(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
+    """``(id, json, json_obj)`` from one projection over the cleaned reply text."""
+    base = spread(replies.select(F.col(id_col).alias("id"), clean_reply(F.col(col)).alias("cl")))
+    start = F.instr(F.col("cl"), "[")
+    sub = F.substring(F.col("cl"), start, 2 ** 31 - 1)
+    end = _balanced_end(sub, "[", "]")
+    first = F.instr(F.col("cl"), "{")
+    last = F.length(F.col("cl")) - F.instr(F.reverse(F.col("cl")), "}") + 1
+    has_obj = (start == 0) & (first > 0) & (F.instr(F.col("cl"), "}") > 0) & (last >= first)
+    return base.select("id", F.when((start > 0) & end.isNotNull(), F.substring(sub, 1, end)).alias("json"),
+                       F.when(has_obj, F.substring(F.col("cl"), first, last - first + 1)).alias("json_obj"))
+
+
 def parse_suggestions(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
     """L2 + L3: ``(id, pos, model_name, package, import_path, reason)``.
 
     With a '[' in the cleaned reply the bracket-matched array is used (none
     found or invalid JSON -> nothing); without one, the first '{' to the last
-    '}' is read as a single suggestion (pos 0).
+    '}' is read as a single suggestion (pos 0). One pass: both candidates come
+    from one projection and a single ``posexplode`` yields the items.
     """
-    r = extract_json_object(extract_json_array(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r")), "r"), "r")
+    c = candidates(replies, id_col, col)
     arr = F.try_variant_get(F.try_parse_json(F.col("json")), "$", "array<variant>")
-    many = r.where(F.col("json").isNotNull()).select("id", F.posexplode(arr).alias("pos", "item"))
-    one = r.where(F.col("json_obj").isNotNull()).select(
-        "id", F.lit(0).alias("pos"), F.try_parse_json(F.col("json_obj")).alias("item")).where(F.col("item").isNotNull())
-    return _suggestions_from(many.unionByName(one))
+    obj = F.try_parse_json(F.col("json_obj"))
+    items = F.when(F.col("json").isNotNull(), arr).when(obj.isNotNull(), F.array(obj))
+    exploded = c.select("id", F.posexplode(items).alias("pos", "item"))
+    return _suggestions_from(exploded)
 
 
 def default_suggestion_fill(replies: DataFrame, parsed: DataFrame, id_col: str = "id") -> DataFrame:
@@ -174,9 +190,9 @@ def _py_str(v: Column, present: Column) -> Column:
 def parse_plan(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
     """``(id, pos, action, description)``; replies with no valid step get the default plan."""
     spark = replies.sparkSession
-    r = extract_json_array(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r")), "r")
+    r = extract_json_array(spread(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r"))), "r")
     arr = F.try_variant_get(F.try_parse_json(F.col("json")), "$", "array<variant>")
-    items = r.where(F.col("json").isNotNull()).select("id", F.posexplode(arr).alias("src_pos", "item"))
+    items = r.select("id", F.posexplode(arr).alias("src_pos", "item"))
     is_obj = F.schema_of_variant(F.col("item")).startswith("OBJECT")
     action = F.try_variant_get(F.col("item"), "$.action", "string")
     is_string = F.schema_of_variant(F.try_variant_get(F.col("item"), "$.action", "variant")) == "STRING"

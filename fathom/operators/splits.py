@@ -54,7 +54,22 @@ def _gcol(group: str | None):
     return F.col(group).cast("string") if group else F.lit(ALL)
 
 
-def find_cuts(df: DataFrame, group: str | None, wanted: list[tuple[object, int]]) -> list[_Cut]:
+def first_histogram(df: DataFrame, group: str | None) -> dict[tuple, list]:
+    """Level-0 counts per (group, leading hex digits of ``_h``): one map-side-combined pass.
+
+    4096 buckets without a group; 256 per group with one (bounded by classes x 256).
+    """
+    digits = HEX_STEP if group is None else 2
+    counted = (df.select(_gcol(group).alias("_g"), F.substring("_h", 1, digits).alias("_n"))
+                 .groupBy("_g", "_n").agg(F.count(F.lit(1)).alias("n")))
+    hist: dict[tuple, list] = {}
+    for r in counted.collect():
+        hist.setdefault((r["_g"], ""), []).append((r["_n"], int(r["n"])))
+    return hist
+
+
+def find_cuts(df: DataFrame, group: str | None, wanted: list[tuple[object, int]],
+              first_hist: dict | None = None) -> list[_Cut]:
     """Order keys of the rows at the given (group, rank) positions of ``df``'s order."""
     spark = df.sparkSession
     cuts = [_Cut(g, r, "", r) for g, r in wanted]
@@ -65,15 +80,18 @@ def find_cuts(df: DataFrame, group: str | None, wanted: list[tuple[object, int]]
         if not pending:
             break
         plen = len(pending[0].prefix)
-        probe = spark.createDataFrame(sorted({(str(c.group), c.prefix) for c in pending}),
-                                      "_g string, _p string")
-        counted = (base.withColumn("_p", F.substring("_h", 1, plen) if plen else F.lit(""))
-                   .join(F.broadcast(probe), ["_g", "_p"])          # a few (group, prefix) rows
-                   .groupBy("_g", "_p", F.substring("_h", plen + 1, HEX_STEP).alias("_n"))
-                   .agg(F.count(F.lit(1)).alias("n")))
-        hist: dict[tuple, list] = {}
-        for r in counted.collect():   # <= pending x 4096 rows
-            hist.setdefault((r["_g"], r["_p"]), []).append((r["_n"], int(r["n"])))
+        if plen == 0 and first_hist is not None:
+            hist = first_hist
+        else:
+            probe = spark.createDataFrame(sorted({(str(c.group), c.prefix) for c in pending}),
+                                          "_g string, _p string")
+            counted = (base.withColumn("_p", F.substring("_h", 1, plen) if plen else F.lit(""))
+                       .join(F.broadcast(probe), ["_g", "_p"])          # a few (group, prefix) rows
+                       .groupBy("_g", "_p", F.substring("_h", plen + 1, HEX_STEP).alias("_n"))
+                       .agg(F.count(F.lit(1)).alias("n")))
+            hist = {}
+            for r in counted.collect():   # <= pending x 4096 rows
+                hist.setdefault((r["_g"], r["_p"]), []).append((r["_n"], int(r["n"])))
         small = []
         for c in pending:
             below = 0
@@ -113,18 +131,22 @@ def _resolve(base: DataFrame, cuts: list[_Cut]) -> None:
         c.h, c.k, c.tie_below = r["_h"], r["_k"], int(r["_t"])
 
 
-def assign_segments(df: DataFrame, group: str | None, cuts_by_group: dict,
-                    sizes: dict[str, int] | None = None) -> DataFrame:
+def assign_segments(df: DataFrame, group: str | None, cuts_by_group) -> DataFrame:
     """Add ``_seg`` = number of cuts at or below the row's rank in its group.
 
-    ``cuts_by_group[g]`` is an ascending list of 0-based ranks; a rank equal
-    to the group size means "past the end". ``df`` must carry ``_h``/``_k``.
-    ``sizes`` (rows per group, keyed by the group's text) saves a pass when known.
+    ``cuts_by_group`` maps a group's text to an ascending list of 0-based
+    ranks (a rank equal to the group size means "past the end"), or is a
+    function of the group sizes returning that map: the sizes come from the
+    first bucket histogram, so no separate counting pass is needed.
+    ``df`` must carry ``_h``/``_k``.
     """
     spark = df.sparkSession
-    sizes = sizes if sizes is not None else _group_sizes(df, group)
+    hist0 = first_histogram(df, group)
+    sizes = {g: sum(n for _, n in b) for (g, _), b in hist0.items()}
+    if callable(cuts_by_group):
+        cuts_by_group = cuts_by_group(sizes)
     wanted = [(g, r) for g, rs in cuts_by_group.items() for r in rs if 0 < r < sizes.get(str(g), 0)]
-    found = {(str(c.group), c.rank): c for c in find_cuts(df, group, wanted)} if wanted else {}
+    found = {(str(c.group), c.rank): c for c in find_cuts(df, group, wanted, hist0)} if wanted else {}
     rows, ties = [], []
     for g, rs in cuts_by_group.items():
         ts = []
@@ -151,11 +173,6 @@ def assign_segments(df: DataFrame, group: str | None, cuts_by_group: dict,
     return out.drop("_g")
 
 
-def _group_sizes(df: DataFrame, group: str | None) -> dict[str, int]:
-    g = df.groupBy(_gcol(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    return {r["_g"]: int(r["n"]) for r in g.collect()}   # one row per group
-
-
 def _split_tie(out: DataFrame, c: _Cut) -> DataFrame:
     """Rows equal to the cut key: the first ``tie_below`` (stable index) stay below."""
     ensure_checkpoint_dir(out.sparkSession)
@@ -190,9 +207,7 @@ def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
     Keeps ``_h``/``_k`` when ``ordered`` so folds can reuse the same order.
     """
     o = with_order(df, key_cols, seed)
-    n = o.count()
-    n_test, _ = split_sizes(n, test_size)
-    seg = assign_segments(o, None, {ALL: [n_test]}, {ALL: n})
+    seg = assign_segments(o, None, lambda sizes: {ALL: [split_sizes(sizes.get(ALL, 0), test_size)[0]]})
     out = seg.withColumn("split", F.when(F.col("_seg") == 0, "test").otherwise("train")).drop("_seg")
     return out if ordered else out.drop("_h", "_k")
 
@@ -200,10 +215,11 @@ def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
 def kfold_assign(train: DataFrame, key_cols: list[str] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` = contiguous block of the ordered train rows; first n mod k folds get one more."""
     o = train if "_h" in train.columns else with_order(train, key_cols, seed)
-    n = o.count()
-    sizes = fold_sizes(n, k)
-    cuts = [sum(sizes[:i + 1]) for i in range(k - 1)]
-    out = assign_segments(o, None, {ALL: cuts}, {ALL: n}).withColumnRenamed("_seg", "fold")
+
+    def cuts(sizes):
+        fs = fold_sizes(sizes.get(ALL, 0), k)
+        return {ALL: [sum(fs[:i + 1]) for i in range(k - 1)]}
+    out = assign_segments(o, None, cuts).withColumnRenamed("_seg", "fold")
     return out.withColumn("fold", F.col("fold").cast("int"))
 
 
@@ -228,12 +244,16 @@ def stratified_kfold_assign(train: DataFrame, label: str, key_cols: list[str] |
     order of first appearance).
     """
     o = train if "_h" in train.columns else with_order(train, key_cols, seed)
-    counts = sorted((r[0], int(r[1])) for r in
-                    o.groupBy(label).agg(F.count(F.lit(1))).where(F.col(label).isNotNull()).collect())
-    alloc = stratified_allocation(counts, k)
-    cuts = {str(cls): [sum(a[:i + 1]) for i in range(k - 1)] for cls, a in alloc.items()}
-    sizes = {str(cls): c for cls, c in counts}
-    out = assign_segments(o, label, cuts, sizes).withColumnRenamed("_seg", "fold")
+    numeric = o.schema[label].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double",
+                                                        "decimal")
+
+    def cuts(sizes):
+        # group keys are the class as text; classes are ordered by their value
+        counts = sorted(((g, n) for g, n in sizes.items() if g is not None),
+                        key=lambda x: float(x[0]) if numeric else x[0])
+        alloc = stratified_allocation(counts, k)
+        return {g: [sum(a[:i + 1]) for i in range(k - 1)] for g, a in alloc.items()}
+    out = assign_segments(o, label, cuts).withColumnRenamed("_seg", "fold")
     return out.withColumn("fold", F.col("fold").cast("int"))
 
 
@@ -246,11 +266,12 @@ def split_and_folds(df: DataFrame, key_cols: list[str], label: str | None = None
     """
     if label is None:
         o = with_order(df, key_cols, seed)
-        n = o.count()
-        n_test, n_train = split_sizes(n, test_size)
-        sizes = fold_sizes(n_train, k)
-        cuts = [n_test] + [n_test + sum(sizes[:i + 1]) for i in range(k - 1)]
-        seg = assign_segments(o, None, {ALL: cuts}, {ALL: n})
+
+        def cuts(sizes):
+            n_test, n_train = split_sizes(sizes.get(ALL, 0), test_size)
+            fs = fold_sizes(n_train, k)
+            return {ALL: [n_test] + [n_test + sum(fs[:i + 1]) for i in range(k - 1)]}
+        seg = assign_segments(o, None, cuts)
         return (seg.withColumn("split", F.when(F.col("_seg") == 0, "test").otherwise("train"))
                    .withColumn("fold", F.when(F.col("_seg") > 0, F.col("_seg") - 1).cast("int"))
                    .drop("_seg", "_h", "_k"))

@@ -24,4 +24,6 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; spread over the session's cores when the file has fewer row groups."""
+    from fathom.session import spread
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

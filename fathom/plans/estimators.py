@@ -25,7 +25,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from fathom.session import ensure_checkpoint_dir
+from fathom.session import ensure_checkpoint_dir, spread
 
 MAX_SPARK_DEPTH = 30            # Spark ML rejects deeper trees: max_depth=None -> 30
 CLOSED_FORM_MAX_FEATURES = 256  # covariance aggregate is d(d+1)/2 columns
@@ -226,8 +226,8 @@ def _vector(df: DataFrame, features: list[str]) -> Column:
 def fit_knn(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> KNNFitted:
     k = int(params.get("n_neighbors", 5))
     rid = F.col(params["id_col"]).cast("long") if params.get("id_col") else F.monotonically_increasing_id()
-    train = df.select(rid.alias("_rid"), _vector(df, features).alias("_vec"),
-                      F.col(target).alias("_y")).where(F.col("_y").isNotNull())
+    train = spread(df.select(rid.alias("_rid"), _vector(df, features).alias("_vec"),
+                             F.col(target).alias("_y")).where(F.col("_y").isNotNull()))
     ensure_checkpoint_dir(df.sparkSession)
     train = train.checkpoint(eager=True)      # stable ids and rows for every later block
     n = train.count()
@@ -389,10 +389,20 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, tas
     classes (one row per class) and mapped back with a literal map, so
     prediction needs no label column.
     """
-    data = df.where(F.col(target).isNotNull())
-    n = data.count()
+    from pyspark import StorageLevel
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     label_type = df.schema[target].dataType
+    # Spark ML reads its input several times (metadata, split candidates, tree
+    # points): keep the prepared rows once instead of recomputing their lineage.
+    data = spread(df.where(F.col(target).isNotNull()).select(*features, target)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_spark_ml(data, assembler, features, target, name, task, params, label_type)
+    finally:
+        data.unpersist()
+
+
+def _fit_spark_ml(data, assembler, features, target, name, task, params, label_type):
+    n = data.count()
     if task == "classification":
         classes = _class_list(data, target)
         to_index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
