@@ -60,11 +60,15 @@ def per_class_report(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     ``(by..., class, support, tp, precision, recall, f1)``; zero division -> 0."""
     by = by or []
     cm = confusion_counts(pred, by)
-    true_n = cm.groupBy(*by, F.col("t").alias("class")).agg(F.sum("n").alias("support"))
-    pred_n = cm.groupBy(*by, F.col("p").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = cm.where(F.col("t") == F.col("p")).select(*by, F.col("t").alias("class"), F.col("n").alias("tp"))
-    rep = (true_n.join(pred_n, [*by, "class"], "full").join(tp, [*by, "class"], "left")
-                 .na.fill(0, ["support", "predicted", "tp"]))
+    # each (true, predicted) cell adds to its true class's support, its predicted
+    # class's count and, on the diagonal, to tp: one aggregation over the cells
+    parts = cm.select(*by, F.explode(F.array(
+        F.struct(F.col("t").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("tp")),
+        F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("bigint").alias("tp")))).alias("c")).select(*by, "c.*")
+    rep = parts.groupBy(*by, "class").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
+                                          F.sum("tp").alias("tp"))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))

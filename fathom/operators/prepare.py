@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.bundle import Bundle, DatasetRoles
 from fathom.functions.stats import not_nan
-from fathom.operators.profile import distinct_counts, unpivot
+from fathom.operators.profile import distinct_counts, typed_distinct_counts, unpivot
 
 # The synthetic alloy schema and its units.
 SYNTHETIC_FEATURES = ("Al_conc_wt_pct", "Ti_conc_wt_pct", "V_conc_wt_pct",
@@ -112,7 +112,6 @@ def _rank_dictionary(distinct: DataFrame, sizes: dict[str, int]) -> DataFrame:
         parts.append(distinct.where(F.col("column").isin(small))
                      .select("column", "value", (F.row_number().over(w) - 1).cast("bigint").alias("code")))
     if large:
-        spark = distinct.sparkSession
         n_parts = max(1, sum(sizes[c] for c in large) // 1_000_000)
         ranged = (distinct.where(F.col("column").isin(large))
                   .repartitionByRange(n_parts, "column", "value")
@@ -125,7 +124,6 @@ def _rank_dictionary(distinct: DataFrame, sizes: dict[str, int]) -> DataFrame:
         parts.append(ranged.join(F.broadcast(offsets), ["column", "pid"])   # one row per range partition
                      .select("column", "value",
                              (F.col("offset") + F.row_number().over(wr) - 1).cast("bigint").alias("code")))
-        del spark
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -232,8 +230,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ord"),
                  F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col(f"c{i}").alias("nn"))
         for i, c in enumerate(cols)])).alias("s")).select("_rows", "s.*")
-    texts = df.select([F.when(~_missing(df, c), F.col(c).cast("string")).alias(c) for c in cols])
-    nu = distinct_counts(texts.unpivot([], cols, "column", "value"))
+    nu = typed_distinct_counts(df, cols, lambda c: ~_missing(df, c))
     return (long_counts.join(F.broadcast(nu), "column", "left")   # nu: one row per column
             .select("column", "ord", "dtype", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"),
                     F.round((F.col("_rows") - F.col("nn")) * 100.0 / F.col("_rows"), 1).alias("null_pct"))

@@ -136,6 +136,30 @@ def distinct_counts(long: DataFrame) -> DataFrame:
                 .groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")))
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def typed_distinct_counts(df: DataFrame, cols: list[str], present=None) -> DataFrame:
+    """``(column, n_unique)`` with values compared in their own type family.
+
+    Integral columns unpivot as bigint, fractional ones as double, the rest
+    as text, so numbers are never formatted as strings. ``present(c)`` gives
+    the condition under which a value counts (default: not null).
+    """
+    fams = {"bigint": [], "double": [], "string": []}
+    for c in cols:
+        t = df.schema[c].dataType
+        fams["bigint" if isinstance(t, INTEGRAL) else "double" if isinstance(t, NUMERIC_TYPES) else "string"].append(c)
+    out = None
+    for typ, cs in fams.items():
+        if not cs:
+            continue
+        vals = [(F.when(present(c), F.col(c)) if present else F.col(c)).cast(typ).alias(c) for c in cs]
+        part = distinct_counts(df.select(vals).unpivot([], cs, "column", "value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def numeric_feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
     """One row per numeric feature present, in feature order.
 

@@ -31,6 +31,7 @@ HEX_STEP = 3            # hex digits per refinement level: 4096 buckets
 EXACT_LIMIT = 100_000   # a bucket this small is ranked directly
 TOP = "~"               # sorts after every hex digest: "no row reaches this cut"
 ALL = "__all__"
+LITERAL_GROUPS = 1000   # up to this many groups the thresholds are inlined as literals
 
 
 @dataclass
@@ -161,13 +162,24 @@ def assign_segments(df: DataFrame, group: str | None, cuts_by_group) -> DataFram
                 if c.tie_below:
                     ties.append(c)
         rows.append((str(g), ts))
-    thresholds = spark.createDataFrame(rows, "_g string, _t array<struct<h:string,k:string>>")
     me = F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"))
-    seg = F.size(F.filter("_t", lambda t: t <= me))
     joined = df.withColumn("_g", _gcol(group))
-    # One row per group: broadcast unless the grouping is very fine.
-    tj = F.broadcast(thresholds) if len(rows) <= 100_000 else thresholds
-    out = joined.join(tj, "_g", "left").withColumn("_seg", F.coalesce(seg, F.lit(0))).drop("_t")
+    if len(rows) <= LITERAL_GROUPS:
+        # a handful of groups: the thresholds are literals in the expression, no join
+        arr = lambda ts: F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in ts]) if ts \
+            else F.array().cast("array<struct<h:string,k:string>>")
+        if group is None:
+            t_col = arr(rows[0][1])
+        else:
+            t_col = F.create_map(*[x for g, ts in rows for x in (F.lit(g), arr(ts))])[F.col("_g")]
+        out = joined.withColumn("_t", t_col)
+    else:
+        # many classes: one threshold row per class, broadcast equi-join on the class
+        thresholds = spark.createDataFrame(rows, "_g string, _t array<struct<h:string,k:string>>")
+        tj = F.broadcast(thresholds) if len(rows) <= 100_000 else thresholds
+        out = joined.join(tj, "_g", "left")
+    seg = F.size(F.filter("_t", lambda t: t <= me))
+    out = out.withColumn("_seg", F.coalesce(seg, F.lit(0))).drop("_t")
     for c in ties:
         out = _split_tie(out, c)
     return out.drop("_g")

@@ -168,10 +168,17 @@ def fit_gaussian_nb(df: DataFrame, features: list[str], target: str, params: dic
     per = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"),
                                  *[F.avg(_x(f)).alias(f"m{i}") for i, f in enumerate(features)],
                                  *[F.var_pop(_x(f)).alias(f"v{i}") for i, f in enumerate(features)])
-    glob = df.agg(*[F.var_pop(_x(f)).alias(f"g{i}") for i, f in enumerate(features)]).first()
-    eps = smoothing * max([glob[f"g{i}"] or 0.0 for i in range(len(features))] + [0.0])
-    rows = sorted(per.where(F.col(target).isNotNull()).collect(), key=lambda r: r[target])   # one per class
+    groups = per.collect()                                                   # one row per class
+    rows = sorted((r for r in groups if r[target] is not None), key=lambda r: r[target])
     total = sum(r["n"] for r in rows)
+    # variance of each feature over all rows, merged exactly from the class moments
+    glob = []
+    for i in range(len(features)):
+        parts = [(r["n"], r[f"m{i}"], r[f"v{i}"]) for r in groups if r[f"m{i}"] is not None]
+        n_all = sum(n for n, _, _ in parts)
+        mean = sum(n * m for n, m, _ in parts) / n_all if n_all else 0.0
+        glob.append(sum(n * (v + (m - mean) ** 2) for n, m, v in parts) / n_all if n_all else 0.0)
+    eps = smoothing * max(glob + [0.0])
     scores = []
     for r in rows:
         s = F.lit(math.log(r["n"] / total))
