@@ -98,22 +98,21 @@ def target_summary(df: DataFrame, target: str, exact_quantiles: bool = True) ->
     approximate percentile, which does not interpolate.
     """
     x = coerce_numeric(df, target)
-    moments = x.agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
-                    F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-                    F.max("x").alias("max"), adjusted_skewness("x").alias("skewness"))
+    spark = df.sparkSession
+    m = x.agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+              F.min("x").alias("min"), F.max("x").alias("max"), adjusted_skewness("x").alias("skewness")).first()
     if exact_quantiles:
-        q = interpolated_quantiles(x, "x", [0.25, 0.5, 0.75])
-        qcols = [(F.lit(q[p]).cast("double"), n)
-                 for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        q = interpolated_quantiles(x, "x", [0.25, 0.5, 0.75], n=int(m["count"]), lo=m["min"], hi=m["max"])
+        qs = [q[0.25], q[0.5], q[0.75]]
     else:
-        qa = x.agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("_q")).first()["_q"] or [None] * 3
-        qcols = [(F.lit(qa[i]).cast("double"), n) for i, n in enumerate(("p25", "p50", "p75"))]
-    r4 = lambda c: F.round(c, 4)
-    return moments.select(
-        F.col("count").cast("bigint").alias("count"), r4(F.col("mean")).alias("mean"),
-        r4(F.col("std")).alias("std"), r4(F.col("min")).alias("min"),
-        *[r4(c).alias(n) for c, n in qcols], r4(F.col("max")).alias("max"),
-        F.round(F.col("skewness"), 3).alias("skewness"))
+        qs = x.agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("_q")).first()["_q"] or [None] * 3
+    vals = {"count": m["count"], "mean": m["mean"], "std": m["std"], "min": m["min"], "p25": qs[0],
+            "p50": qs[1], "p75": qs[2], "max": m["max"], "skewness": m["skewness"]}
+    # one row of scalars computed above; rounding stays a Spark expression
+    cols = [F.lit(vals["count"]).cast("bigint").alias("count")]
+    cols += [F.round(F.lit(vals[k]).cast("double"), 4).alias(k) for k in ("mean", "std", "min", "p25", "p50", "p75", "max")]
+    cols += [F.round(F.lit(vals["skewness"]).cast("double"), 3).alias("skewness")]
+    return spark.range(1).select(*cols)
 
 
 def grouped_skewness(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -331,26 +330,34 @@ def summary_text(df: DataFrame, features: list[str], target: str, task: str = "r
     spark = df.sparkSession
     lines = [spark.createDataFrame([(0, SUMMARY_HEADER)], "ord int, line string")]
     if task == "classification":
-        cc = class_counts(df, target)
-        bal = class_balance(df, target)
+        # one grouped job; the null group only adds to the total (few rows: one per class)
+        groups = df.groupBy(F.col(target).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        total = sum(r["n"] for r in groups)
+        classes = sorted((r for r in groups if r["c"] is not None), key=lambda r: r["c"])
         text_key = not is_numeric(df, target)
-        items = cc.select(F.struct("class", "n", "ratio").alias("s"))
-        agg = items.agg(F.array_sort(F.collect_list("s")).alias("s"))   # one entry per class
+        rows = spark.createDataFrame([(r["c"], int(r["n"]), float(r["n"]) / total) for r in classes],
+                                     T.StructType([T.StructField("class", df.schema[target].dataType),
+                                                   T.StructField("n", T.LongType()),
+                                                   T.StructField("share", T.DoubleType())]))
+        rows = rows.withColumn("ratio", F.round("share", 3))
+        ratios = [r["ratio"] for r in rows.select("ratio").collect()]   # Spark's rounding, as in D1
+        mn, mx = (min(ratios), max(ratios)) if ratios else (0.0, 0.0)
+        imb = mx / mn if mn > 0 else float("inf")
+        items = rows.select(F.struct("class", "n", "ratio").alias("s"))
+        agg = items.agg(F.array_sort(F.collect_list("s")).alias("s"))
         counts = F.concat(F.lit("{"), F.array_join(F.transform("s", lambda s: F.concat(
             _py_repr_text(s["class"].cast("string"), text_key), F.lit(": "), s["n"].cast("string"))), ", "), F.lit("}"))
-        ratios = F.concat(F.lit("{"), F.array_join(F.transform("s", lambda s: F.concat(
+        ratios_txt = F.concat(F.lit("{"), F.array_join(F.transform("s", lambda s: F.concat(
             F.lit("'"), s["class"].cast("string"), F.lit("': "), numeric_text(s["ratio"], 3))), ", "), F.lit("}"))
-        b = bal.first()   # one row: n_classes, imbalance_ratio, balanced
-        head = agg.select(F.lit(b["n_classes"]).alias("n_classes"),
-                          F.lit(b["imbalance_ratio"]).cast("double").alias("imbalance_ratio"),
-                          F.lit(b["balanced"]).alias("balanced"), "s").select(F.explode(F.array(
-            F.struct(F.lit(1).alias("ord"), F.format_string("Target: %d classes.", F.col("n_classes")).alias("line")),
+        imb_txt = numeric_text(F.round(F.lit(imb), 2), 2)
+        head = agg.select(F.explode(F.array(
+            F.struct(F.lit(1).alias("ord"), F.lit(f"Target: {len(classes)} classes.").alias("line")),
             F.struct(F.lit(2).alias("ord"), F.concat(F.lit("Class counts: "), counts).alias("line")),
-            F.struct(F.lit(3).alias("ord"), F.concat(F.lit("Class ratios: "), ratios).alias("line")),
+            F.struct(F.lit(3).alias("ord"), F.concat(F.lit("Class ratios: "), ratios_txt).alias("line")),
             F.struct(F.lit(4).alias("ord"), F.concat(
-                F.lit("Class imbalance ratio (max/min): "), numeric_text(F.col("imbalance_ratio"), 2),
-                F.lit(" ("), F.when(F.col("balanced"), F.lit("balanced")).otherwise(F.lit(IMBALANCED_NOTE)),
-                F.lit(")")).alias("line")))).alias("l")).select("l.*")
+                F.lit("Class imbalance ratio (max/min): "), imb_txt, F.lit(" ("),
+                F.lit("balanced" if imb < BALANCED_BELOW else IMBALANCED_NOTE), F.lit(")")).alias("line"))
+        )).alias("l")).select("l.*")
         lines.append(head)
     else:
         ts = target_summary(df, target)

@@ -112,14 +112,21 @@ def _refine(v: DataFrame, ranges, pending, bins: int) -> None:
                 below += nb
 
 
-def interpolated_quantiles(values: DataFrame, col: str, probs: list[float], **kw) -> dict[float, float | None]:
-    """Linear-interpolated quantiles (pandas/numpy default, DuckDB quantile_cont)."""
+def interpolated_quantiles(values: DataFrame, col: str, probs: list[float], n: int | None = None,
+                           lo: float | None = None, hi: float | None = None, **kw) -> dict[float, float | None]:
+    """Linear-interpolated quantiles (pandas/numpy default, DuckDB quantile_cont).
+
+    ``n``/``lo``/``hi`` (count, min, max of the values), when already known,
+    save the first pass.
+    """
     x = F.col(col).cast("double")
     v = values.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    row = v.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = int(row["n"])
+    if n is None:
+        row = v.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        n, lo, hi = int(row["n"]), row["lo"], row["hi"]
     if n == 0:
         return {p: None for p in probs}
+    row = {"lo": lo, "hi": hi}
     wanted = set()
     for p in probs:
         h = (n - 1) * p

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathom.session import spread
-
 from fathom.plans.registry_models import (DEFAULT_SUGGESTION, IMPORT_TO_PIP, MODEL_IMPORT_MAP, import_path,
                                           package_of)
 
@@ -132,7 +130,7 @@ def _suggestions_from(items: DataFrame) -> DataFrame:
 
 def candidates(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
     """``(id, json, json_obj)`` from one projection over the cleaned reply text."""
-    base = spread(replies.select(F.col(id_col).alias("id"), clean_reply(F.col(col)).alias("cl")))
+    base = replies.select(F.col(id_col).alias("id"), clean_reply(F.col(col)).alias("cl"))
     start = F.instr(F.col("cl"), "[")
     sub = F.substring(F.col("cl"), start, 2 ** 31 - 1)
     end = _balanced_end(sub, "[", "]")
@@ -190,7 +188,7 @@ def _py_str(v: Column, present: Column) -> Column:
 def parse_plan(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
     """``(id, pos, action, description)``; replies with no valid step get the default plan."""
     spark = replies.sparkSession
-    r = extract_json_array(spread(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r"))), "r")
+    r = extract_json_array(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r")), "r")
     arr = F.try_variant_get(F.try_parse_json(F.col("json")), "$", "array<variant>")
     items = r.select("id", F.posexplode(arr).alias("src_pos", "item"))
     is_obj = F.schema_of_variant(F.col("item")).startswith("OBJECT")

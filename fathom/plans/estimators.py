@@ -147,14 +147,9 @@ class ScoredClassifier(Fitted):
     note: str | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("i")) for i, s in enumerate(self.scores)]) \
-            if len(self.scores) > 1 else F.struct(self.scores[0].alias("s"), F.lit(0).alias("i"))
-        pick = F.lit(None)
-        cases = None
-        for i, c in enumerate(self.classes):
-            cases = (F.when(best["i"] == -i, F.lit(c)) if cases is None
-                     else cases.when(best["i"] == -i, F.lit(c)))
-        pick = cases
+        scores = F.array(*self.scores)
+        idx = F.array_position(scores, F.array_max(scores))      # first maximum: smallest class
+        pick = F.element_at(F.array(*[F.lit(c) for c in self.classes]), idx.cast("int"))
         return df.withColumn("prediction", pick.cast(self.label_type))
 
 
@@ -233,8 +228,8 @@ def _vector(df: DataFrame, features: list[str]) -> Column:
 def fit_knn(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> KNNFitted:
     k = int(params.get("n_neighbors", 5))
     rid = F.col(params["id_col"]).cast("long") if params.get("id_col") else F.monotonically_increasing_id()
-    train = spread(df.select(rid.alias("_rid"), _vector(df, features).alias("_vec"),
-                             F.col(target).alias("_y")).where(F.col("_y").isNotNull()))
+    train = df.select(rid.alias("_rid"), _vector(df, features).alias("_vec"),
+                      F.col(target).alias("_y")).where(F.col("_y").isNotNull())
     ensure_checkpoint_dir(df.sparkSession)
     train = train.checkpoint(eager=True)      # stable ids and rows for every later block
     n = train.count()
@@ -401,7 +396,13 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, tas
     label_type = df.schema[target].dataType
     # Spark ML reads its input several times (metadata, split candidates, tree
     # points): keep the prepared rows once instead of recomputing their lineage.
-    data = spread(df.where(F.col(target).isNotNull()).select(*features, target)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.where(F.col(target).isNotNull()).select(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    data = spread(rows)            # partitions of the persisted rows: no recomputation
+    if data is not rows:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()
+        rows.unpersist()
     try:
         return _fit_spark_ml(data, assembler, features, target, name, task, params, label_type)
     finally:

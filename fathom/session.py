@@ -70,7 +70,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df):
     """Repartition ``df`` only when it has fewer partitions than the session's
     parallelism (small files give one task per row group). A large input
-    already has more partitions and passes through untouched."""
+    already has more partitions and passes through untouched.
+
+    Reading the partition count plans the input; call this on a scan or on
+    persisted rows, where that costs nothing."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
