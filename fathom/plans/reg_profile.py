@@ -98,16 +98,15 @@ with vc as (
   union all
   select 'c_name', c_name, count(*) from customer group by 2
   union all
-  select 'c_phone_prefix', left(c_name, 12), count(*) from customer group by 2),
+  select 'c_nation', cast(c_nationkey as varchar), count(*) from customer group by 2),
 nu as (select "column", count(*) as n_unique from vc group by 1),
 r as (select *, row_number() over (partition by "column" order by n desc, value) as rank from vc)
 select r."column", value, n, rank::integer as rank, n_unique from r join nu using ("column") where rank <= 10""")
 def d6_categorical_feature_stats(spark, sf):
     """Top-10 values and distinct counts of customer text features (ties to the smaller value)."""
     c = table(spark, sf, "customer").select("c_mktsegment", "c_name",
-                                             F.substring("c_name", 1, 12).alias("c_phone_prefix"),
-                                             "c_acctbal")
-    return D.categorical_feature_stats(c, ["c_mktsegment", "c_name", "c_phone_prefix", "c_acctbal"])
+                                             F.col("c_nationkey").cast("string").alias("c_nation"), "c_acctbal")
+    return D.categorical_feature_stats(c, ["c_mktsegment", "c_name", "c_nation", "c_acctbal"])
 
 
 # ------------------------------------------------------------------ D7, D8
