@@ -253,19 +253,24 @@ def _bin_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histograms(long: DataFrame, bins: int) -> DataFrame:
     """``(column, bin, lo, hi, n)`` for ``(column, value double)``, empty bins kept.
 
-    Per-column ranges are one row per column (bounded by the schema), so
-    they are broadcast to the binning map stage; a constant column is
-    widened to [x-0.5, x+0.5] as numpy does.
+    Per-column ranges are one row per column (bounded by the schema); they
+    are read back and inlined as literal maps, so binning is a pure map
+    stage. A constant column is widened to [x-0.5, x+0.5] as numpy does.
     """
+    spark = long.sparkSession
     vals = long.where(not_nan(F.col("value")))
-    rng = (vals.groupBy("column").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-               .select("column",
-                       F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                       F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi")))
-    counts = (vals.join(F.broadcast(rng), "column")
-                  .select("column", _bin_expr(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    ranges = []
+    for r in vals.groupBy("column").agg(F.min("value").alias("mn"), F.max("value").alias("mx")).collect():
+        lo, hi = (r["mn"] - 0.5, r["mx"] + 0.5) if r["mn"] == r["mx"] else (r["mn"], r["mx"])
+        ranges.append((r["column"], float(lo), float(hi)))
+    if not ranges:
+        return spark.createDataFrame([], "column string, bin int, lo double, hi double, n bigint")
+    lo_of = F.create_map(*[x for c, lo, _ in ranges for x in (F.lit(c), F.lit(lo))])[F.col("column")]
+    hi_of = F.create_map(*[x for c, _, hi in ranges for x in (F.lit(c), F.lit(hi))])[F.col("column")]
+    counts = (vals.select("column", _bin_expr(F.col("value"), lo_of, hi_of, bins).alias("bin"))
                   .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n")))
-    grid = rng.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = (spark.createDataFrame(ranges, "column string, lo double, hi double")
+                 .select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (grid.join(counts, ["column", "bin"], "left")
                 .select("column", F.col("bin").cast("int").alias("bin"),
