@@ -374,12 +374,15 @@ def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_
     if name == "LogisticRegression":
         c = float(params.get("C", 1.0))
         return C.LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                                    maxIter=int(params.get("max_iter", 100)), tol=1e-6, **linear)
+                                    maxIter=int(params.get("max_iter", 100)), tol=float(params.get("tol", 1e-4)),
+                                    **linear)
     if name in ("SVC", "SGDClassifier"):
         reg = 1.0 / (float(params.get("C", 1.0)) * n) if name == "SVC" else float(params.get("alpha", 1e-4))
-        # scikit-learn iterates until its tolerance; Spark's OWLQN stops at tol=1e-6 or 100 rounds
+        # scikit-learn iterates until its tolerance; Spark's OWLQN also stops after 100 rounds
         iters = int(params["max_iter"]) if int(params.get("max_iter", -1)) > 0 else 100
-        svm = C.LinearSVC(regParam=reg, standardization=False, maxIter=iters, **linear)
+        # scikit-learn's SVC and SGDClassifier stop at tol=1e-3
+        svm = C.LinearSVC(regParam=reg, standardization=False, maxIter=iters, tol=float(params.get("tol", 1e-3)),
+                          **linear)
         return svm if n_classes <= 2 else C.OneVsRest(classifier=svm, parallelism=min(n_classes, 8), **linear)
     raise KeyError(name)
 

@@ -267,3 +267,17 @@ select string_agg(line, chr(10) order by ord) as summary from lines""")
 def d10_summary_classification(spark, sf):
     """Report text of a classification profile of documents' quality labels."""
     return D.summary_text(I.docs(spark, sf), I.DOCS_FEATURES, "quality", task="classification")
+
+
+@register("D8_feature_bars", """
+with vc as (
+  select 'l_returnflag' as "column", l_returnflag as value, count(*) as n from lineitem group by 2
+  union all
+  select 'l_linestatus', l_linestatus, count(*) from lineitem group by 2),
+nu as (select "column", count(*) as n_unique from vc group by 1),
+r as (select *, row_number() over (partition by "column" order by n desc, value) as rank from vc)
+select r."column", value, n, rank::integer as rank, n_unique from r join nu using ("column") where rank <= 10""")
+def d8_feature_bars(spark, sf):
+    """Bar data of the text features among the first six plotted features (top 10 each)."""
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_discount", "l_linestatus")
+    return D.feature_bars(li, ["l_quantity", "l_returnflag", "l_discount", "l_linestatus"])
