@@ -229,7 +229,7 @@ def categorical_feature_stats(df: DataFrame, features: list[str], top: int = TOP
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     topv = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     nu = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-    return (topv.join(F.broadcast(nu), "column")
+    return (topv.join(F.broadcast(nu), "column")                    # nu: one row per column
                 .select("column", "value", "n", F.col("rank").cast("int").alias("rank"), "n_unique")
                 .orderBy("column", "rank"))
 

@@ -116,13 +116,13 @@ def _resolve(base: DataFrame, cuts: list[_Cut]) -> None:
     spark = base.sparkSession
     plen = len(cuts[0].prefix)
     probe = spark.createDataFrame(sorted({(str(c.group), c.prefix) for c in cuts}), "_g string, _p string")
-    rows = base.withColumn("_p", F.substring("_h", 1, plen)).join(F.broadcast(probe), ["_g", "_p"])
+    rows = base.withColumn("_p", F.substring("_h", 1, plen)).join(F.broadcast(probe), ["_g", "_p"])  # one row per cut
     keys = (rows.groupBy("_g", "_p", "_h", "_k").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("_g", "_p").orderBy("_h", "_k")   # each bucket <= EXACT_LIMIT rows,
     ranked = keys.withColumn("_end", F.sum("n").over(w))     # or one key repeated (one row here)
     wanted = spark.createDataFrame([(str(c.group), c.prefix, c.offset) for c in cuts],
                                    "_g string, _p string, _o bigint")
-    hits = (ranked.join(F.broadcast(wanted), ["_g", "_p"])
+    hits = (ranked.join(F.broadcast(wanted), ["_g", "_p"])          # one row per cut
                   .where((F.col("_o") < F.col("_end")) & (F.col("_o") >= F.col("_end") - F.col("n")))
                   .select("_g", "_p", "_o", "_h", "_k", (F.col("_o") - (F.col("_end") - F.col("n"))).alias("_t"))
                   .collect())
@@ -196,7 +196,7 @@ def _split_tie(out: DataFrame, c: _Cut) -> DataFrame:
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     offs = per.select("_pid", F.coalesce(F.sum("n").over(wo), F.lit(0)).alias("_off"))
     idx = F.col("_off") + (F.col("_id") - F.shiftleft("_pid", 33))
-    tie = (tie.join(F.broadcast(offs), "_pid")
+    tie = (tie.join(F.broadcast(offs), "_pid")                      # one row per partition
               .withColumn("_seg", F.when(idx < c.tie_below, F.col("_seg") - 1).otherwise(F.col("_seg")))
               .drop("_id", "_pid", "_off"))
     return out.where(~is_tie).unionByName(tie)

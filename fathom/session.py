@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "fathom",
 
     AQE stays on so shuffle partition counts and skewed joins are re-planned
     at runtime; timestamps are pinned to UTC so results compare with DuckDB.
+    On a cluster, set ``shuffle_partitions`` generously (input bytes / ~128 MB)
+    and let AQE coalesce small partitions toward the advisory size.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -32,6 +34,7 @@ def build_session(master: str | None = None, app: str = "fathom",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
