@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fathom.session import ensure_checkpoint_dir, spread
 
@@ -248,8 +248,10 @@ def _knn_block(test_pdf, train_pdf, k):
     ys = train_pdf["_y"].to_numpy()
     out_q, out_d, out_r, out_y = [], [], [], []
     kk = min(k, len(B))
-    for start in range(0, len(test_pdf), 512):
-        part = test_pdf.iloc[start:start + 512]
+    # rows per chunk so the (chunk, block, d) difference array stays near 32 MB
+    step = max(1, int(32 * 2 ** 20 // max(1, B.shape[0] * B.shape[1] * 8)))
+    for start in range(0, len(test_pdf), step):
+        part = test_pdf.iloc[start:start + step]
         A = np.stack(part["_vec"].to_numpy()).astype(np.float64)
         d = np.sqrt(((A[:, None, :] - B[None, :, :]) ** 2).sum(axis=2))
         idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(B) else np.tile(np.arange(len(B)), (len(A), 1))
@@ -328,9 +330,30 @@ def _min_instances(params) -> int:
     return max(1, math.ceil(int(params.get("min_samples_split", 2)) / 2))
 
 
-# Deep trees: cache node ids per row (no tree shipped to executors per level), checkpoint
-# that cache every 10 levels, and give each pass room for many nodes.
-TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024, maxBins=64)
+# Deep trees: cache node ids per row (no tree shipped to executors per level) and
+# checkpoint that cache every 10 levels. The per-pass node budget is sized from the
+# executor heap (see ``tree_memory_mb``).
+TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxBins=64)
+
+
+def _mem_mb(text: str | None, default: int) -> int:
+    if not text:
+        return default
+    t = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t[-1] == "b":
+        t = t[:-1]
+    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)   # no unit: MiB
+
+
+def tree_memory_mb(spark) -> int:
+    """Histogram budget per tree-learning task: ~30% of an executor heap shared by its
+    concurrent tasks, between 64 and 1024 MB (each task allocates the whole budget)."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _mem_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None), 1024)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return int(max(64, min(1024, 0.3 * heap / max(cores, 1))))
 
 
 def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_classes: int):
@@ -338,7 +361,8 @@ def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_
     from pyspark.ml import classification as C, regression as R
     seed = int(params.get("random_state", 42) or 42)
     ne = params.get("n_estimators")
-    common = dict(featuresCol="features", labelCol="label", **TREE_OPTS)
+    common = dict(featuresCol="features", labelCol="label", maxMemoryInMB=tree_memory_mb(SparkSession.getActiveSession()),
+                  **TREE_OPTS)
     linear = dict(featuresCol="features", labelCol="label")
     if name == "RandomForestRegressor":
         return R.RandomForestRegressor(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="all",
@@ -604,7 +628,7 @@ def fit_extra_trees(df: DataFrame, features: list[str], target: str, task: str,
         asm = VectorAssembler(inputCols=bcols, outputCol=fcol)
         est = (DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor)(
             featuresCol=fcol, maxDepth=_depth(params), maxBins=max(2, n_thr + 2), seed=rng.randrange(2 ** 31),
-            **{k: v for k, v in TREE_OPTS.items() if k != "maxBins"})
+            maxMemoryInMB=tree_memory_mb(df.sparkSession), **{k: v for k, v in TREE_OPTS.items() if k != "maxBins"})
         tree = est.fit(asm.transform(bucket.transform(data)))
 
         def make(df_, bucket=bucket, asm=asm):
