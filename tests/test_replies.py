@@ -53,3 +53,21 @@ def test_plan_parsing_and_default(spark):
     assert [r["action"] for r in plan if r["id"] == 1] == list(L.PLAN_ACTIONS)
     steps = L.plan_descriptions(L.parse_plan(df)).where("id = 1").orderBy("pos").collect()
     assert steps[0]["step"] == "Select ML model based on data distribution"
+
+
+def test_package_rules_for_known_and_unknown_models(spark):
+    t = ('[{"model_name": "XGBRegressor", "package": "xgboost.sklearn", "reason": "a"},'
+         ' {"model_name": "Ridge", "package": " SKLEARN ", "reason": "b"},'
+         ' {"model_name": "Mine", "package": "x", "import_path": "sklearn.custom.Mine", "reason": "c"},'
+         ' {"model_name": "Other", "package": "x", "import_path": "lightgbm.Other", "reason": "d"}]')
+    rows = run(spark, [t])
+    assert [(r["model_name"], r["package"], r["import_path"]) for r in rows] == [
+        ("XGBRegressor", "scikit-learn", "xgboost.XGBRegressor"),
+        ("Ridge", "scikit-learn", "sklearn.linear_model.Ridge"),
+        ("Mine", "scikit-learn", "sklearn.custom.Mine"),
+        ("Other", "lightgbm", "lightgbm.Other")]
+
+
+def test_invalid_json_and_non_array_yield_default(spark):
+    rows = run(spark, ['[{"model_name": "Ridge", "package": "s", "reason": }]', '[1, 2, 3]'])
+    assert [(r["id"], r["model_name"]) for r in rows] == [(0, "RandomForestRegressor"), (1, "RandomForestRegressor")]
