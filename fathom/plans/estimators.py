@@ -356,13 +356,14 @@ def tree_memory_mb(spark) -> int:
     return int(max(64, min(1024, 0.3 * heap / max(cores, 1))))
 
 
-def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_classes: int):
+def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_classes: int, spark=None):
     """Spark ML estimator with scikit-learn's defaults for ``name``; features 'features', label 'label'."""
     from pyspark.ml import classification as C, regression as R
     seed = int(params.get("random_state", 42) or 42)
     ne = params.get("n_estimators")
-    common = dict(featuresCol="features", labelCol="label", maxMemoryInMB=tree_memory_mb(SparkSession.getActiveSession()),
-                  **TREE_OPTS)
+    # the session comes from the caller: the active session is per thread (CV runs fits in threads)
+    spark = spark or SparkSession.builder.getOrCreate()
+    common = dict(featuresCol="features", labelCol="label", maxMemoryInMB=tree_memory_mb(spark), **TREE_OPTS)
     linear = dict(featuresCol="features", labelCol="label")
     if name == "RandomForestRegressor":
         return R.RandomForestRegressor(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="all",
@@ -449,11 +450,11 @@ def _fit_spark_ml(data, assembler, features, target, name, task, params, label_t
                                                  maxIter=int(params.get("max_iter", 200)), seed=42,
                                                  featuresCol="features", labelCol="label")
         else:
-            est = spark_estimator(name, task, params, n, 0.0, k)
+            est = spark_estimator(name, task, params, n, 0.0, k, data.sparkSession)
         model = Pipeline(stages=[assembler, est]).fit(data)
         return SparkMLFitted(name, task, model, label_type, classes=classes)
     data = data.withColumn("label", _x(target))
-    est = spark_estimator(name, task, params, n, 0.0, 0)
+    est = spark_estimator(name, task, params, n, 0.0, 0, data.sparkSession)
     model = Pipeline(stages=[assembler, est]).fit(data)
     return SparkMLFitted(name, task, model, label_type)
 

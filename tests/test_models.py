@@ -162,3 +162,13 @@ def test_forest_defaults_grow_deep_trees(spark, alloy):
     stage = m.model.stages[-1]
     assert stage.getMaxDepth() == 30 and stage.getFeatureSubsetStrategy() == "all"
     assert max(t.depth for t in stage.trees) > 8
+
+
+def test_generic_cv_runs_fits_in_threads(spark, alloy):
+    from fathom.operators import splits as T
+    df = alloy.withColumn("cls", (F.col("hardness_HV") > 175).cast("int"))
+    data = T.split_and_folds(df, alloy.columns, label="cls")
+    train = data.where("split = 'train'")
+    combos = list(enumerate(S.expand_grid({"max_depth": [2, 3]})))
+    scores = S.cv_score(train, FEATS, "cls", "DecisionTreeClassifier", "classification", combos, parallelism=2)
+    assert [s["combo_id"] for s in scores] == [0, 1] and all(0 <= s["mean_score"] <= 1 for s in scores)
