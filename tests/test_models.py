@@ -172,3 +172,8 @@ def test_generic_cv_runs_fits_in_threads(spark, alloy):
     combos = list(enumerate(S.expand_grid({"max_depth": [2, 3]})))
     scores = S.cv_score(train, FEATS, "cls", "DecisionTreeClassifier", "classification", combos, parallelism=2)
     assert [s["combo_id"] for s in scores] == [0, 1] and all(0 <= s["mean_score"] <= 1 for s in scores)
+
+
+def test_tree_memory_budget_is_bounded(spark):
+    assert M._mem_mb("16g", 0) == 16384 and M._mem_mb("512m", 0) == 512 and M._mem_mb("2048", 0) == 2048
+    assert 64 <= M.tree_memory_mb(spark) <= 1024
