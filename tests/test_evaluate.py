@@ -53,3 +53,9 @@ def test_ideal_range_and_density(spark):
     assert (r["lo"], r["hi"]) == (0.5, 4.0)
     d = E.residual_scatter_density(p, 4).collect()
     assert sum(x["n"] for x in d) == 4
+
+
+def test_confusion_wide_form(spark):
+    p = preds(spark, [("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "string")
+    rows = {r["y_true"]: (r["a"], r["b"]) for r in E.confusion_wide(p).collect()}
+    assert rows == {"a": (1, 1), "b": (0, 2)}
