@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["chat", "fingerprint"]
+MODULES = ["chat", "url_filter", "fingerprint"]
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
