@@ -141,7 +141,8 @@ def fingerprints_of_edits(df: DataFrame, id_col: str = "doc_id", text_col: str =
         .select(F.col("next").alias("doc"), F.col("doc").alias("for"), F.col("need").cast("int").alias("need"), "of")
     # one exchange of the texts, read by both joins
     spread = docs.withColumn("fp", fingerprint(F.col("text"))).repartition("doc")
-    lent = spread.join(links, "doc").where(F.xxhash64("text") == F.col("of")) \
+    # a range, as an equality would become a join key and need an exchange of its own
+    lent = spread.join(links, "doc").where(F.xxhash64("text").between(F.col("of"), F.col("of"))) \
         .select(F.col("for").alias("doc"), F.expr("left(text, need)").alias("lent"), F.col("fp").alias("next_fp")) \
         .groupBy("doc").agg(F.first("lent").alias("lent"), F.first("next_fp").alias("next_fp"))
     n = F.length("text")
