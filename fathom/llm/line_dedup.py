@@ -12,7 +12,7 @@ so that no text vanishes from the corpus.
 
 Counting moves hashes only. Tokens are compared for one line of each distinct
 masked line, in leaves with several of them and enough documents. The texts
-cross the network once; every count is combined before the shuffle, so a line
+cross the network twice; every count is combined before the shuffle, so a line
 of a third of all rows adds one row a task.
 
 Defined cases: a null text is one blank line; blank lines are kept and not
@@ -33,35 +33,37 @@ FIELD = "<*>"
 LEAST = -(2 ** 63)
 
 
-def tokens(line: Column) -> Column:
-    """The masked tokens of a line; one empty token for a blank line."""
-    masked = F.when(F.contains(F.translate(line, "0123456789", "0" * 10), F.lit("0")),
-                    F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", FIELD)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\r")), "[ \t]+")
+def masked(line: Column) -> Column:
+    """The tokens of a line with variable fields masked, one blank apart; empty for a blank line."""
+    bare = F.btrim(line, F.lit(" \t\r"))
+    return F.when(bare.rlike("[0-9\t]|  "), F.regexp_replace(
+        F.regexp_replace(bare, "[ \t]+", " "), "[^ ]*[0-9][^ ]*", FIELD)).otherwise(bare)
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """``doc, th, pos, n, leaf, line`` of the non-blank lines: token count, hash of the tree path, hash of the masked tokens."""
+    """``doc, th, pos, n, leaf, line`` of the non-blank lines: token count, hash of the tree path, hash of the masked line."""
     rows = docs.select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "l")) \
-        .select("doc", "th", "pos", tokens(F.col("l")).alias("t")).where(F.get("t", F.lit(0)) != "")
-    return rows.select("doc", "th", "pos", F.size("t").alias("n"), F.xxhash64(
-        F.size("t"), *(F.get("t", F.lit(i)) for i in range(DEPTH))).alias("leaf"), F.xxhash64("t").alias("line"))
+        .select("doc", "th", "pos", masked(F.col("l")).alias("m")).where("m <> ''")
+    n = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1
+    return rows.select("doc", "th", "pos", n.alias("n"), F.xxhash64(n, F.substring_index("m", " ", DEPTH)).alias("leaf"),
+                       F.xxhash64("m").alias("line"))
 
 
 def template_members(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``leaf, line`` of the distinct lines that belong to the template of their leaf.
 
-    ``docs`` is (doc, text) partitioned by doc, ``lines`` its hashed lines."""
-    per_line = lines.where(F.col("n") > DEPTH).groupBy("leaf", "line", "doc", "th").agg(F.min("pos").alias("pos")) \
-        .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "th", "pos")).alias("at"))
+    ``docs`` is (doc, text), ``lines`` the hashed lines of leaves that can recur."""
+    per_line = written(lines.where(F.col("n") > DEPTH).groupBy("leaf", "line", "doc", "th").agg(F.min("pos").alias("pos"))
+                       .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "th", "pos")).alias("at")), "kinds")
     wide = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("all_docs")) \
         .where((F.col("kinds") > 1) & (F.col("all_docs") >= min_docs))
     wanted = per_line.join(wide, "leaf").groupBy(F.col("at.doc").alias("doc")).agg(
         F.collect_list(F.struct("at.th", "at.pos", "leaf", "line", "n_docs", "all_docs")).alias("w"))
     of_text = F.filter("w", lambda w: w.th == F.xxhash64("text"))
     found = docs.join(wanted, "doc").select(F.split("text", "\n").alias("ls"), F.explode(of_text).alias("w")) \
-        .select("w.leaf", "w.line", "w.n_docs", "w.all_docs", tokens(F.get("ls", F.col("w.pos"))).alias("t")) \
+        .select("w.leaf", "w.line", "w.n_docs", "w.all_docs", F.split(masked(F.get("ls", F.col("w.pos"))), " ").alias("t")) \
         .dropDuplicates(["leaf", "line"])
+    found = written(found, "tokens")
     places = found.select("leaf", "n_docs", "all_docs", F.posexplode("t").alias("p", "token"))
     per_token = places.groupBy("leaf", "p", "token").agg(F.sum("n_docs").alias("c"), F.max("all_docs").alias("all_docs"))
     constant = per_token.groupBy("leaf", "p").agg(F.max(F.struct("c", "token")).alias("top"), F.max("all_docs").alias("all_docs")) \
@@ -72,13 +74,14 @@ def template_members(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc, drop``: for each document id with recurring lines, the (text hash, place) of the lines to drop.
-
-    ``docs`` is (doc, text) partitioned by doc."""
-    lines = written(hashed_lines(docs), "lines")
-    members = template_members(docs, lines, min_docs).withColumn("leafed", F.lit(True))
-    named = lines.join(members, ["leaf", "line"], "left").select(
-        "doc", "th", "pos", F.when(F.col("leafed"), F.col("leaf")).otherwise(F.col("line")).alias("template"))
+    """``doc, drop``: for each document id with recurring lines, the (text hash, place) of the lines to drop; ``docs`` is (doc, text)."""
+    every = written(hashed_lines(docs), "lines")
+    # a template lies in one leaf, so a leaf of fewer lines holds none that recurs
+    full = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
+    lines = written(every.join(full, "leaf"), "lines")
+    members = written(template_members(docs, lines, min_docs), "members").withColumn("leafed", F.lit(True))
+    named = written(lines.join(members, ["leaf", "line"], "left").select(
+        "doc", "th", "pos", F.when(F.col("leafed"), F.col("leaf")).otherwise(F.col("line")).alias("template")), "named")
     recurring = named.groupBy("template", "doc", "th").agg(F.min("pos").alias("pos")).groupBy("template").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "th", "pos")).alias("first")) \
         .where(F.col("n_docs") >= min_docs)
