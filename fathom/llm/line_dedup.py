@@ -60,7 +60,8 @@ def template_members(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS
     wanted = per_line.join(wide, "leaf").groupBy(F.col("at.doc").alias("doc")).agg(
         F.collect_list(F.struct("at.th", "at.pos", "leaf", "line", "n_docs", "all_docs")).alias("w"))
     of_text = F.filter("w", lambda w: w.th == F.xxhash64("text"))
-    found = docs.join(wanted, "doc").select(F.split("text", "\n").alias("ls"), F.explode(of_text).alias("w")) \
+    # the wanted lines grow with the corpus: they are not to be broadcast where they happen to be few
+    found = docs.join(wanted.hint("merge"), "doc").select(F.split("text", "\n").alias("ls"), F.explode(of_text).alias("w")) \
         .select("w.leaf", "w.line", "w.n_docs", "w.all_docs", F.split(masked(F.get("ls", F.col("w.pos"))), " ").alias("t")) \
         .dropDuplicates(["leaf", "line"])
     found = written(found, "tokens")
@@ -94,7 +95,7 @@ def without_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, text = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LEAST)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     spread = documents(df, id_col, text_col).withColumn("doc", F.coalesce("doc", F.lit(LEAST)))
     drops = recurring_lines(spread, min_docs).withColumnRenamed("doc", "__doc").withColumnRenamed("drop", "__drop")
-    out = df.withColumn("__doc", doc).withColumn("__text", text).join(drops, "__doc", "left")
+    out = df.withColumn("__doc", doc).withColumn("__text", text).join(drops.hint("merge"), "__doc", "left")
     mine = F.transform(F.filter("__drop", lambda d: d.th == F.xxhash64("__text")), lambda d: d.pos)
     none = F.expr("cast(array() as array<int>)")
     out = out.withColumn("__gone", F.coalesce(mine, none)).withColumn("__lines", F.split("__text", "\n"))
