@@ -226,14 +226,15 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that links connect it with, ``n_links`` counts the other documents of
     similarity ``similarity`` or more, those of equal text included."""
     docs = documents(df, id_col, text_col).withColumn("tid", F.unhex(F.md5("text")))
-    texts = docs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc")).alias("rep"))
+    texts = written(docs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc")).alias("rep")), "texts")
     sketch = docs.select("tid", "text").mapInPandas(_sketch_rows(runs_for(recall, similarity, levels), similarity),
                                                     "tid binary, size int, sketch binary, nodes array<bigint>")
     sketches = written(sketch.dropDuplicates(["tid"]), "sketches")
     groups = components(candidate_edges(sketches, similarity, limit, levels))
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
     member = written(groups.join(sizes, "comp").withColumnRenamed("node", "tid").join(texts, "tid"), "members")
-    wanted = docs.join(member, "tid").where(F.col("doc").eqNullSafe(F.col("rep.doc"))).select("comp", "m", "tid", "copies", "text")
+    # members grow with the corpus: they are not to be broadcast where they happen to be few
+    wanted = docs.join(member.hint("merge"), "tid").where(F.col("doc").eqNullSafe(F.col("rep.doc"))).select("comp", "m", "tid", "copies", "text")
     blocks = wanted.mapInPandas(_blocked(block), "comp binary, i int, j int, mine int, tid binary, copies bigint, set binary")
     found = written(blocks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInPandas(
         _linked(similarity), "tid binary, texts bigint, docs bigint, label binary"), "linked")
