@@ -11,16 +11,16 @@ they are a dictionary word, and the sequence of words is the parse.
    In corpus order within a word, all but the first are repeats in full; this
    is where highly repetitive text collapses.
 2. Words of one trigger that differ may still share strings. Only their first
-   occurrences go on: each suffix of such a word, cut at ``LENGTH`` bytes, is
-   looked up in the dictionary of all of them, and its first place in corpus
-   order is kept.
-3. A start repeats if its word is a repeat, or its suffix has an earlier place.
+   occurrences go on, as bytes: the words of a trigger are the dictionary of
+   a small task, whose suffixes, cut at ``LENGTH`` bytes, are sorted into
+   classes of equals in corpus order; all but the first of a class repeat.
+3. A start repeats if its word is a repeat, or its suffix is a later one.
 
-A lexicographic order of the suffixes is not needed for this answer, only
-which suffixes agree in ``LENGTH`` bytes and their order in the corpus. So the
-suffixes are put together by 128-bit fingerprints (trigger and suffix) and
-a combined aggregation instead of a comparison sort: no bucket of the
-dictionary lands in one task, however many documents share a passage.
+The suffixes are sorted by their 64-bit fingerprints, not by their letters:
+the answer needs which of them agree in ``LENGTH`` bytes and their order in the corpus,
+not the order of the alphabet. A trigger of more than ``HOT`` words (a passage
+that very many documents share) does not go to one task: its suffixes become
+rows of their own, whose first places are found by a combined aggregation.
 
 Defined cases: null texts are empty; shorter texts than ``LENGTH`` lose
 nothing; matches never cross documents; a null id comes first; rows that share
@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.llm import wordhash as W
 from fathom.llm.catalog import register
-from fathom.llm.common import documents, ship, table, written
+from fathom.llm.common import complete_groups, documents, ship, table, written
 
 LENGTH, GRAM = 100, 32
+#: Words of a trigger that one task sorts at most.
+HOT = 20_000
 LEAST = -(2 ** 63)
 
 
@@ -122,6 +124,47 @@ def _suffixes(length: int):
     return work
 
 
+def _spelt(length: int):
+    """(doc, th, text, words) -> the words with their bytes."""
+    def work(batches):
+        for b in batches:
+            rows = []
+            for doc, th, text, words in zip(b["doc"], b["th"], b["text"], b["words"]):
+                data = text.encode("utf-8", "replace")
+                rows += [(w["trigger"], doc, th, w["first"], w["n"], data[w["first"]:w["first"] + w["n"] - 1 + length]) for w in words]
+            yield pd.DataFrame(rows, columns=["trigger", "doc", "th", "first", "n", "bytes"])
+    return work
+
+
+def _sorted_suffixes(length: int):
+    """Words sorted by trigger and place -> the ranges of starts whose suffix has an earlier place."""
+    def work(batches):
+        for b in complete_groups(batches, ["trigger"]):
+            flat = np.frombuffer(b"".join(b["bytes"]), np.uint8)
+            n = b["n"].to_numpy().astype(np.int64)
+            begin = np.concatenate(([0], np.cumsum(n - 1 + length)[:-1]))
+            word = np.repeat(np.arange(len(b)), n)
+            inside = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+            at = begin[word] + inside
+            suffix = W.stretch_hashes(W.sums(flat), at, at + length)
+            trigger, doc, th = (b[c].to_numpy() for c in ("trigger", "doc", "th"))
+            start = b["first"].to_numpy()[word] + inside
+            order = np.lexsort((start, word, suffix, trigger[word]))
+            o, w = suffix[order], word[order]
+            new = np.concatenate(([True], (o[1:] != o[:-1]) | (trigger[w[1:]] != trigger[w[:-1]])))
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            # a repeated row of the table brings the same place once more
+            same = (doc[word[first]] == doc[w]) & (th[word[first]] == th[w]) & (start[first] == start[order])
+            later = np.zeros(len(order), bool)
+            later[order] = ~same
+            hit = np.flatnonzero(later)
+            head = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]])))[:len(hit)]
+            lead = hit[head]
+            size = np.diff(np.append(np.flatnonzero(head), len(hit)))
+            yield pd.DataFrame({"doc": doc[word[lead]], "th": th[word[lead]], "first": start[lead].astype(np.int32), "n": size.astype(np.int32)})
+    return work
+
+
 def _removed(length: int):
     """(doc, text, repeats, shared, firsts) -> what is left of each text."""
     def work(batches):
@@ -147,7 +190,8 @@ def _removed(length: int):
     return work
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
+                 hot: int = HOT) -> DataFrame:
     """``doc, n_bytes, n_removed, n_spans, kept``: the bytes of each text that no earlier occurrence covers."""
     docs = documents(df, id_col, text_col).withColumn("doc", F.coalesce("doc", F.lit(LEAST)))
     words = docs.withColumn("th", F.xxhash64("text")).mapInPandas(
@@ -155,24 +199,35 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_trigger = Window.partitionBy("trigger")
     ranked = words.withColumn("nth", F.rank().over(Window.partitionBy("trigger", "word").orderBy("doc", "th", "first"))) \
         .withColumn("kinds", F.min("word").over(of_trigger) != F.max("word").over(of_trigger)) \
+        .withColumn("many", F.count(F.lit(1)).over(of_trigger) > hot) \
         .withColumn("repeat", F.col("inner") | (F.col("nth") > 1)).where("repeat or kinds")
-    found = F.struct("th", "first", "n", "trigger", "repeat")
-    flagged = written(ranked.groupBy("doc").agg(F.collect_set(found).alias("found")), "flagged")
-
-    def of_text(c, condition):
-        return F.transform(F.filter(c, condition), lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"), x["trigger"].alias("trigger")))
-    mine = docs.join(flagged, "doc", "left")
+    found = F.struct("th", "first", "n", "trigger", "repeat", "many")
+    # what is found grows with the corpus: it is not to be broadcast where it happens to be little
+    flagged = written(ranked.groupBy("doc").agg(F.collect_set(found).alias("found")), "flagged").hint("merge")
     th = F.xxhash64("text")
     none = F.expr("cast(array() as array<struct<first:int,n:int,trigger:bigint>>)")
-    mine = mine.select("doc", "text", th.alias("th"), F.coalesce(of_text("found", lambda x: (x.th == th) & x["repeat"]), none).alias("repeats"),
-                       F.coalesce(of_text("found", lambda x: (x.th == th) & ~x["repeat"]), none).alias("shared"))
+
+    def of_text(condition):
+        own = F.filter("found", lambda x: (x.th == th) & condition(x))
+        return F.coalesce(F.transform(own, lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"), x["trigger"].alias("trigger"))), none)
+    mine = docs.join(flagged, "doc", "left").select(
+        "doc", "text", th.alias("th"), of_text(lambda x: x["repeat"]).alias("repeats"),
+        of_text(lambda x: ~x["repeat"] & ~x["many"]).alias("few"), of_text(lambda x: ~x["repeat"] & x["many"]).alias("shared"))
+    spelt = mine.where(F.size("few") > 0).select("doc", "text", "th", F.col("few").alias("words")).mapInPandas(
+        _spelt(length), "trigger bigint, doc bigint, th bigint, first int, n int, bytes binary")
+    later = spelt.repartition("trigger").sortWithinPartitions("trigger", "doc", "th", "first").mapInPandas(
+        _sorted_suffixes(length), "doc bigint, th bigint, first int, n int")
+    later = later.groupBy("doc").agg(F.collect_set(F.struct("th", "first", "n")).alias("later")).hint("merge")
     suffixes = mine.where(F.size("shared") > 0).select("doc", "text", "th", F.col("shared").alias("words")).mapInPandas(
         _suffixes(length), "trigger bigint, suffix bigint, doc bigint, th bigint, start int")
     firsts = suffixes.groupBy("trigger", "suffix").agg(F.min(F.struct("doc", "th", "start")).alias("at")) \
-        .groupBy("at.doc").agg(F.collect_list(F.struct("at.th", "at.start")).alias("all"))
+        .groupBy("at.doc").agg(F.collect_list(F.struct("at.th", "at.start")).alias("all")).hint("merge")
     own = F.transform(F.filter("all", lambda x: x.th == F.col("th")), lambda x: x.start)
-    ready = mine.join(firsts, "doc", "left").select(
-        "doc", "text", "repeats", "shared", F.coalesce(own, F.expr("cast(array() as array<int>)")).alias("firsts"))
+    more = F.transform(F.filter("later", lambda x: x.th == F.col("th")), lambda x: F.struct(
+        x["first"].alias("first"), x["n"].alias("n"), F.lit(0).cast("bigint").alias("trigger")))
+    ready = mine.join(later, "doc", "left").join(firsts, "doc", "left").select(
+        "doc", "text", F.concat("repeats", F.coalesce(more, none)).alias("repeats"), "shared",
+        F.coalesce(own, F.expr("cast(array() as array<int>)")).alias("firsts"))
     out = ready.mapInPandas(_removed(length), "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.withColumn("doc", F.nullif(F.col("doc"), F.lit(LEAST)))
 

@@ -35,12 +35,13 @@ def test_documents_against_brute_force(spark):
     assert sum(r[2] for r in got) > 10_000
 
 
-@pytest.mark.parametrize("length, gram, letters", [(20, 6, "ab"), (20, 6, "abcdefgé"), (30, 12, "a"), (16, 16, "abc")])
-def test_repetitive_texts(frame, length, gram, letters):
+@pytest.mark.parametrize("length, gram, letters, hot", [(20, 6, "ab", 20_000), (20, 6, "ab", 0), (20, 6, "abcdefgé", 20_000),
+                                                        (20, 6, "abcdefgé", 3), (30, 12, "a", 20_000), (16, 16, "abc", 2)])
+def test_repetitive_texts(frame, length, gram, letters, hot):
     draw = random.Random(11)
     bits = ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 60))) for _ in range(12)]
     rows = [(i, "".join(draw.choice(bits) for _ in range(draw.randrange(12)))) for i in range(60)]
-    assert run(frame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA), length=length, gram=gram) == brute(rows, length)
+    assert run(frame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA), length=length, gram=gram, hot=hot) == brute(rows, length)
 
 
 def test_defined_cases(frame):
