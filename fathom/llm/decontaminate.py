@@ -149,6 +149,15 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree:
         F.max(F.col("agreeing") / F.col("length")).alias("agreement"))
 
 
+def without_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that do not overlap an item."""
+    least = F.lit(-(2 ** 63))
+    bad = overlaps(documents(df, id_col, text_col), items).select(F.coalesce("doc", least).alias("__doc"), F.col("th").alias("__th")).distinct()
+    rows = df.withColumn("__doc", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), least)) \
+        .withColumn("__th", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return rows.join(bad, ["__doc", "__th"], "left_anti").drop("__doc", "__th")
+
+
 def benchmark_items(spark, sf_dir) -> DataFrame:
     return documents(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("doc").alias("item"), "text")
 

@@ -220,10 +220,10 @@ def _linked(similarity: float):
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     recall: float = RECALL, limit: int = LIMIT, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
-    """``doc, tid, class_id, n_links``: one row per row of ``df``.
+    """``doc, tid, class_id, class_tid, n_links``: one row per row of ``df``.
 
     ``tid`` names the text, ``class_id`` is the least id among the documents
-    that links connect it with, ``n_links`` counts the other documents of
+    that links connect it with and ``class_tid`` its text; ``n_links`` counts the other documents of
     similarity ``similarity`` or more, those of equal text included."""
     docs = documents(df, id_col, text_col).withColumn("tid", F.unhex(F.md5("text")))
     texts = written(docs.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc")).alias("rep")), "texts")
@@ -241,14 +241,27 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.groupBy("tid").agg(F.sum("docs").alias("docs")).where("docs > 0")
     classes = components(found.select(F.col("tid").alias("a"), F.col("label").alias("b")))
     named = classes.join(texts.select(F.col("tid").alias("node"), "rep"), "node")
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    least = named.groupBy("comp").agg(F.min(F.struct(F.col("rep.doc").alias("doc"), F.col("node").alias("tid"))).alias("least"))
     per_text = texts.join(links, "tid", "left") \
         .join(named.join(least, "comp").select(F.col("node").alias("tid"), "least"), "tid", "left") \
-        .select("tid", F.coalesce("least", "rep")["doc"].alias("class_id"),
+        .withColumn("least", F.coalesce("least", F.struct(F.col("rep.doc").alias("doc"), F.col("tid")))) \
+        .select("tid", F.col("least.doc").alias("class_id"), F.col("least.tid").alias("class_tid"),
                 (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"))
     return docs.select("doc", "tid").join(per_text, "tid")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of ``df`` for each class, that of the least id."""
+    least = F.lit(-(2 ** 63))
+    found = jaccard_classes(df, id_col, text_col, **settings)
+    kept = found.where(F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("tid") == F.col("class_tid"))) \
+        .select(F.coalesce("doc", least).alias("__doc"), F.col("tid").alias("__tid")).distinct()
+    rows = df.withColumn("__doc", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), least)) \
+        .withColumn("__tid", F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
+    # what is kept grows with the corpus: it is not to be broadcast where it happens to be little
+    return rows.join(kept.hint("merge"), ["__doc", "__tid"]).dropDuplicates(["__doc", "__tid"]).drop("__doc", "__tid")
+
+
 @register("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark, sf_dir):
     """Every document with its class of near duplicates and the number of its links."""

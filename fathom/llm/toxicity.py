@@ -220,25 +220,58 @@ def fit_classifier(sets: list[tuple[list[int], float, float]], n_entries: int, s
     return bias, weights
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-             label_col: str = "toxic", learnable=learn) -> DataFrame:
-    """``doc, held_out, score, predicted`` of every document; ``learnable`` says which ids labels may be learned from."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+        label_col: str = "toxic", learnable=learn) -> tuple[dict | None, DataFrame]:
+    """The fitted model (entries, bias, weights; None without labels of both kinds) and the entries of every document."""
     docs = documents(df, id_col, text_col).withColumn("learnable", F.coalesce(learnable(F.col("doc")), F.lit(False)))
     marks = labels.select(F.col(f"`{label_id}`").cast("bigint").alias("doc"), F.col(f"`{label_col}`").cast("int").alias("toxic")) \
         .where("toxic in (0, 1)").where(learnable(F.col("doc"))).groupBy("doc").agg(F.max("toxic").alias("toxic"))
     lexicon, share = lexicon_of(docs, marks)
     if not lexicon:
-        return docs.select("doc", (~F.col("learnable")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return None, docs.select("doc", "learnable", F.expr("cast(array() as array<int>)").alias("entries"))
+    numbers = {e: i for i, (e, _, _) in enumerate(lexicon)}
     found = written(docs.select("doc", "learnable", "text").mapInPandas(
-        _entries({e: i for i, (e, _, _) in enumerate(lexicon)}), "doc bigint, learnable boolean, entries array<int>"), "entries")
+        _entries(numbers), "doc bigint, learnable boolean, entries array<int>"), "entries")
     patterns = written(found.groupBy(_mask(F.col("entries")).alias("mask")).agg(F.count(F.lit(1)).alias("n")), "patterns")
     model = fit_label_model(patterns, lexicon[:VOTERS], share)
     sets = found.where("learnable").groupBy("entries").agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("q", posterior(_mask(F.col("entries")), model)).orderBy(F.desc("n"), F.xxhash64("entries")).limit(SETS).collect()
     bias, weights = fit_classifier([(r.entries, r.q, r.n) for r in sets], len(lexicon)) if sets else (0.0, np.zeros(len(lexicon)))
-    total = F.aggregate(F.transform("entries", lambda e: F.get(_doubles(weights), e)), F.lit(float(bias)), lambda s, v: s + v)
-    score = 1 / (1 + F.exp(-total))
-    return found.select("doc", (~F.col("learnable")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return {"lexicon": numbers, "bias": float(bias), "weights": weights}, found
+
+
+def score(entries: Column, model: dict | None) -> Column:
+    """The probability that a text with these entries is toxic."""
+    if model is None:
+        return F.lit(0.0)
+    total = F.aggregate(F.transform(entries, lambda e: F.get(_doubles(model["weights"]), e)), F.lit(model["bias"]), lambda s, v: s + v)
+    return 1 / (1 + F.exp(-total))
+
+
+def entries_of(text: Column, model: dict | None) -> Column:
+    """The lexicon entries of a text."""
+    if model is None:
+        return F.expr("cast(array() as array<int>)")
+    work = _entries(model["lexicon"])
+
+    @F.pandas_udf("array<int>")
+    def entries(texts: pd.Series) -> pd.Series:
+        return next(work([pd.DataFrame({"text": texts})]))["entries"]
+    return entries(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a score below 0.5."""
+    model, _ = fit(df, labels, id_col, text_col)
+    return df.where(score(entries_of(F.col(f"`{text_col}`"), model), model) < 0.5)
+
+
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+             label_col: str = "toxic", learnable=learn) -> DataFrame:
+    """``doc, held_out, score, predicted`` of every document; ``learnable`` says which ids labels may be learned from."""
+    model, found = fit(df, labels, id_col, text_col, label_id, label_col, learnable)
+    return found.select("doc", (~F.col("learnable")).alias("held_out"), score(F.col("entries"), model).alias("score")) \
+        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 @register("op4_toxicity")
