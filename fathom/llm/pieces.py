@@ -1,22 +1,23 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The model's pieces never hold a word mark (U+2581, the blank) after another
-character, and none holds a line break, so a text falls into words (a run of marks and the
-characters up to the next mark or line break) that are encoded on their own.
-Documents are read once into chunks: the distinct words of each, and the texts
-as numbers of words. For every distinct word of the corpus the substrings of
-at most the longest piece's length are exploded and joined to the piece table on their text; the
-matches are the edges of the word's lattice. Grouped by word and in order of
-score, they are folded by higher-order functions into the best segmentation,
-and the ids go back to the chunks.
+A text falls into words (a run of word marks, U+2581, and the characters up to
+the next mark), and words are cut wherever no piece holds the two neighbouring characters; no
+piece spans such a cut, so what is between two cuts is encoded on its own. Documents are read
+once into chunks: the distinct words of each, and the texts as numbers of
+words. For every distinct word of the corpus the substrings of at most the
+longest piece's length are exploded and joined to the piece table on their
+text; the matches are the edges of the word's lattice. Grouped by word and in
+order of score, they are folded by higher-order functions into the
+segmentation, and the ids go back to the chunks.
 
 The fold: the model at hand merges pairs (BPE), and its scores are the order
-of merges. The highest-scoring edge that joins two neighbouring segments
-(leftmost if tied) is taken until none is left; a Viterbi sum over the same
-lattice would give other ids than the model. The state is one bit for each
-boundary, so words of more than ``LONGEST`` characters do not fit. They are
-encoded by the same rule with a queue in Python (``merge_long``); nothing is
-cut. Characters without a piece become the ids of their bytes.
+of merges. One pass over the edges, best score and then leftmost first, joins two
+neighbouring segments wherever an edge covers just these; a Viterbi sum over
+the same lattice would give other ids than the model. The state is one bit for
+each boundary. Words of more than ``LONGEST`` characters do not fit and words
+without any piece have no edges: both are encoded by the same rule with a
+queue in Python (``merge_long``); nothing is cut off. Characters without a
+piece become the ids of their bytes.
 
 Only the piece table is broadcast: its size is the model's (32,000 rows).
 
@@ -33,7 +34,7 @@ import re
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.catalog import register
 from fathom.llm.common import documents, ship, table, written
@@ -42,38 +43,52 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
 #: Characters of the documents of a chunk.
-CHUNK = 1 << 25
-WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+CHUNK = 1 << 24
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
-    """``piece, id, score`` of a model's ordinary pieces; the bytes <0x00> .. <0xFF> have the ids from ``byte_id`` on."""
+def model_pieces(model: str = MODEL) -> tuple[list[tuple[str, int, int]], int]:
+    """``(piece, id, rank)`` of a model's ordinary pieces by falling score, and the id of the byte piece <0x00>."""
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.vocab_size())
-            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    if any(not re.fullmatch(f"{MARK}*[^{MARK}\n]*", p) for p, _, _ in rows):
-        raise ValueError("pieces that go on over a blank or a line break are not supported")
-    return spark.createDataFrame(rows, "piece string, id int, score double")
-
-
-def byte_id(model: str = MODEL) -> int:
-    import sentencepiece
-    return sentencepiece.SentencePieceProcessor(model_file=model).piece_to_id("<0x00>")
-
-
-def _to_chunks(size: int):
-    """(doc, text) -> chunks of documents: their distinct words, and their texts as packed numbers of words."""
+    ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    ids.sort(key=lambda i: (-sp.get_score(i), i))
+    pieces = [(sp.id_to_piece(i), i, rank) for rank, i in enumerate(ids)]
+    if any(not re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p, _, _ in pieces):
+        raise ValueError("pieces that go on over a blank are not supported")
+    return pieces, sp.piece_to_id("<0x00>")
+
+
+def cut(word: str, pairs: set[str]) -> list[str]:
+    """A word cut wherever no piece holds the two neighbouring characters."""
+    out, start = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1:i + 1] not in pairs:
+            out.append(word[start:i])
+            start = i
+    out.append(word[start:])
+    return out
+
+
+def _to_chunks(size: int, pairs: set[str]):
+    """(doc, text) -> chunks of documents: their distinct cut words, and their texts as packed numbers of words."""
     def work(batches):
         pack = zstandard.ZstdCompressor(level=3)
         number, docs, counts, parts, held = {}, [], [], [], 0
 
         def close():
             seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            cuts, sizes, flat = {}, np.zeros(len(number), np.uint32), []
+            for k, word in enumerate(number):
+                own = cut(word, pairs)
+                sizes[k] = len(own)
+                flat += [cuts.setdefault(w, len(cuts)) for w in own]
+            flat = np.array(flat, np.uint32)
+            header = np.array([len(sizes), len(flat)], np.uint32)
             known = [d if d is not None else 0 for d in docs]
-            return pd.DataFrame({"words": [list(number)], "docs": [np.array(known, np.int64).tobytes()],
-                                 "null_docs": [np.array([d is None for d in docs]).tobytes()],
-                                 "counts": [np.array(counts, np.int64).tobytes()], "seq": [pack.compress(seq.tobytes())]})
+            return pd.DataFrame({"words": [list(cuts)], "docs": [np.array(known, np.int64).tobytes()],
+                                 "null_docs": [np.array([d is None for d in docs]).tobytes()], "counts": [np.array(counts, np.int64).tobytes()],
+                                 "seq": [pack.compress(b"".join(x.tobytes() for x in (header, sizes, flat, seq)))]})
         for b in batches:
             for doc, text in zip(b["doc"].tolist(), b["text"].tolist()):
                 units = WORD.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -89,69 +104,68 @@ def _to_chunks(size: int):
     return work
 
 
+#: An edge is one long: rank, from (6 bits), to (6 bits), id (20 bits).
+def _field(edge: Column, low: int, bits: int) -> Column:
+    return F.shiftright(edge, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """``word, edges``: the pieces inside each word as (score, from, to, id), best score first, leftmost first."""
+    """``word, edges``: the pieces inside each word as packed longs, best score first, leftmost first."""
     n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(n - i, F.lit(most))), lambda k: F.struct(
-            i.alias("from"), (i + k).alias("to"), F.substring(F.col("word"), i + 1, k).alias("piece")))))
-    edges = words.select("word", F.explode(spans).alias("s")).select("word", "s.from", "s.to", "s.piece") \
-        .join(F.broadcast(pieces), "piece")
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("rank"), F.col("from"), F.col("to"), F.col("id")))).alias("edges"))
+    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")) \
+        .select("word", "i", F.explode(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(most)))).alias("k")) \
+        .select("word", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
+    place = F.expr("shiftleft(cast(i as bigint), 26) | shiftleft(cast(i + k as bigint), 20)")
+    edges = spans.join(F.broadcast(pieces), "piece").select("word", F.xxhash64("word").alias("h"), (
+        F.shiftleft(F.col("rank").cast("bigint"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("bigint"))).alias("e"))
+    # the hash first: it sorts faster than the word
+    return edges.groupBy("h", "word").agg(F.sort_array(F.collect_list("e")).alias("edges")).drop("h")
+
+
+def _inner(e: Column, mask: Column) -> Column:
+    """The boundaries strictly inside an edge."""
+    one = F.lit(1).cast("bigint")
+    return mask.bitwiseAND(F.call_function("shiftleft", one, _field(e, 20, 6)) - F.call_function("shiftleft", one, _field(e, 26, 6) + 1))
 
 
-def _bits(first: Column, last: Column) -> Column:
-    """Bits first .. last - 1."""
-    one = F.lit(1).cast("bigint")
-    return F.call_function("shiftleft", one, last) - F.call_function("shiftleft", one, first)
+def _ends(e: Column, mask: Column) -> Column:
+    return (F.getbit(mask, _field(e, 26, 6)) == 1) & (F.getbit(mask, _field(e, 20, 6)) == 1)
 
 
 def fold(edges: Column, n: Column) -> Column:
     """The boundaries (one bit each, 0 .. n) of the segmentation of a word of n characters."""
-    joins = F.filter(edges, lambda e: e["to"] - e["from"] > 1)
-
-    def inner(e, mask):
-        return mask.bitwiseAND(_bits(e["from"] + 1, e["to"]))
-
-    def fits(e, mask):
-        return (F.getbit(mask, e["from"]) == 1) & (F.getbit(mask, e["to"]) == 1) & (F.bit_count(inner(e, mask)) == 1)
-    none = F.lit(0).cast("bigint")
-
-    def merged(mask, js):
-        gone = F.aggregate(js, none, lambda got, e: F.when(got != 0, got).when(fits(e, mask), inner(e, mask)).otherwise(none))
-        return mask.bitwiseXOR(gone)
-    every = _bits(F.lit(0), n + 1)
-    return F.transform(F.array(joins), lambda js: F.when(F.size(js) == 0, every).otherwise(
-        F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, lambda mask, _: F.when(
-            F.bit_count(mask) > 2, merged(mask, js)).otherwise(mask))))[0]
+    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
+    return F.aggregate(edges, every, lambda mask, e: F.when(
+        _ends(e, mask) & (F.bit_count(_inner(e, mask)) == 1), mask.bitwiseXOR(_inner(e, mask))).otherwise(mask))
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int, most: int) -> DataFrame:
-    """``word, ids`` of the words of at most LONGEST characters."""
-    short = words.where(F.length("word") <= LONGEST)
-    # a word none of whose characters has a piece has no edges
-    with_edges = short.join(lattice(short, pieces, most), "word", "left").withColumn(
-        "edges", F.coalesce("edges", F.expr("cast(array() as array<struct<rank:double,from:int,to:int,id:int>>)")))
-    cut = with_edges.withColumn("mask", fold(F.col("edges"), F.length("word")))
-    marks = F.filter(F.sequence(F.lit(0), F.length("word")), lambda i: F.getbit(F.col("mask"), i) == 1)
+    """``word, ids`` of the words of at most LONGEST characters that hold a piece."""
+    cuts = lattice(words, pieces, most).withColumn("mask", fold(F.col("edges"), F.length("word")))
+    mask = F.col("mask")
+    own = F.filter("edges", lambda e: _ends(e, mask) & (_inner(e, mask) == 0))
+    whole = F.transform(F.sort_array(F.transform(own, lambda e: F.shiftleft(_field(e, 26, 6).cast("bigint"), 20).bitwiseOR(_field(e, 0, 20).cast("bigint")))),
+                        lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+    marks = F.filter(F.sequence(F.lit(0), F.length("word")), lambda i: F.getbit(mask, i) == 1)
 
     def bytes_of(text):
         code = F.hex(F.encode(text, "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)),
                            lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + first_byte)
 
-    def ids(ms):
+    def mixed(ms):
         def segment(a, k):
             b = F.get(ms, k + 1)
-            own = F.filter(F.col("edges"), lambda e: (e["from"] == a) & (e["to"] == b))
-            return F.when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).otherwise(
+            piece = F.filter("owned", lambda e: (_field(e, 26, 6) == a) & (_field(e, 20, 6) == b))
+            return F.when(F.size(piece) > 0, F.transform(piece, lambda e: _field(e, 0, 20))).otherwise(
                 bytes_of(F.substring(F.col("word"), a + 1, b - a)))
         return F.flatten(F.transform(F.slice(ms, F.lit(1), F.size(ms) - 1), segment))
-    return cut.select("word", F.transform(F.array(marks), ids)[0].alias("ids"))
+    cuts = cuts.withColumn("owned", own)
+    return cuts.select("word", F.when(F.size("owned") == F.bit_count(mask) - 1, whole).otherwise(
+        F.transform(F.array(marks), mixed)[0]).alias("ids"))
 
 
-def merge_long(word: str, pieces: dict[str, tuple[int, float]], first_byte: int) -> list[int]:
+def merge_long(word: str, pieces: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
     """The fold for a word of any length: neighbours in a queue by score, then place."""
     left, right, text = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1)), list(word)
     queue: list = []
@@ -159,7 +173,7 @@ def merge_long(word: str, pieces: dict[str, tuple[int, float]], first_byte: int)
     def offer(i):
         j = right[i]
         if j < len(word) and (p := pieces.get(text[i] + text[j])):
-            heapq.heappush(queue, (-p[1], i, text[i], text[j]))
+            heapq.heappush(queue, (p[1], i, text[i], text[j]))
     for i in range(len(word) - 1):
         offer(i)
     while queue:
@@ -186,40 +200,47 @@ def decode(ids: np.ndarray, begin: np.ndarray, data: np.ndarray, size: np.ndarra
     return [flat[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _from_chunks(pieces: list[tuple[str, int, float]], first_byte: int):
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of flat one after another, and where each begins (one more at the end)."""
+    n = length[which]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[which], n)], ends
+
+
+def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
     """A chunk and the ids of its words -> the documents' ids and decoded texts."""
     spelt = {i: p.encode() for p, i, _ in pieces} | {first_byte + x: bytes([x]) for x in range(256)}
     top = max(spelt) + 1
     size = np.array([len(spelt.get(i, b"")) for i in range(top)])
     at = np.concatenate(([0], np.cumsum(size)[:-1]))
     data = np.frombuffer(b"".join(spelt.get(i, b"") for i in range(top)), np.uint8)
-    known = {p: (i, s) for p, i, s in pieces}
+    known = {p: (i, r) for p, i, r in pieces}
 
     def work(key, chunk, words):
         out = []
         for row in chunk.itertuples():
             ids_of: list = [None] * row.n_words
-            for number, ids in zip(words["number"].tolist(), words["ids"]):
-                ids_of[number] = ids
-            for number, word in zip(row.long_numbers, row.long_words):
-                ids_of[number] = merge_long(word, known, first_byte)
-            length = np.array([len(x) for x in ids_of], np.int64)
+            for number, ids, word in zip(words["number"].tolist(), words["ids"], words["word"]):
+                ids_of[number] = ids if word is None else merge_long(word, known, first_byte)
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids_of]) if ids_of else np.zeros(0, np.int32)
-            start = np.cumsum(length) - length
-            seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.seq), np.uint32)
+            length = np.array([len(x) for x in ids_of], np.int64)
+            store = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.seq), np.uint32)
+            n_units, n_cuts = int(store[0]), int(store[1])
+            cuts, parts, seq = np.split(store[2:], [n_units, n_units + n_cuts])
+            # cut words to words
+            ids, ends = _gather(flat, np.cumsum(length) - length, length, parts)
+            unit_ends = ends[np.concatenate(([0], np.cumsum(cuts, dtype=np.int64)))]
+            start, length = unit_ends[:-1], np.diff(unit_ends)
             docs, null = np.frombuffer(row.docs, np.int64), np.frombuffer(row.null_docs, bool)
             bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row.counts, np.int64))))
             # some documents at a time, to keep the arrays small
-            step = max(1, 2_000_000 * len(docs) // max(1, len(seq)))
+            step = max(1, 1_000_000 * len(docs) // max(1, len(seq)))
             for i in range(0, len(docs), step):
                 j = min(len(docs), i + step)
-                w = seq[bounds[i]:bounds[j]]
-                n = length[w]
-                ends = np.concatenate(([0], np.cumsum(n)))
-                ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[w], n)]
+                some, ends = _gather(ids, start, length, seq[bounds[i]:bounds[j]])
                 begin = ends[bounds[i:j + 1] - bounds[i]]
-                out.append(pd.DataFrame({"doc": pd.array(docs[i:j], "Int64"), "ids": [ids[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])],
-                                         "text": decode(ids, begin, data, size, at)}))
+                out.append(pd.DataFrame({"doc": pd.array(docs[i:j], "Int64"), "ids": [some[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])],
+                                         "text": decode(some, begin, data, size, at)}))
                 out[-1].loc[null[i:j], "doc"] = pd.NA
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc": [], "ids": [], "text": []})
     return work
@@ -228,18 +249,17 @@ def _from_chunks(pieces: list[tuple[str, int, float]], first_byte: int):
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``doc, ids, text`` of every row: the ids as packed 32-bit integers, and the text that they decode to."""
     docs = documents(df, id_col, text_col)
-    pieces, first_byte = piece_table(df.sparkSession, model), byte_id(model)
-    known = [tuple(r) for r in pieces.collect()]
-    most = max(len(p) for p, _, _ in known)
-    chunks = written(docs.mapInPandas(_to_chunks(chunk), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
+    known, first_byte = model_pieces(model)
+    pieces = df.sparkSession.createDataFrame(known, "piece string, id int, rank int")
+    pairs = {p[i:i + 2] for p, _, _ in known for i in range(len(p) - 1)}
+    chunks = written(docs.mapInPandas(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
                      .withColumn("chunk", F.xxhash64("words", "docs", "null_docs", "counts", "seq")), "chunks")
     used = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
     distinct = used.where(F.length("word") <= LONGEST).select("word").distinct()
-    encoded = written(encode_words(distinct, pieces, first_byte, most), "words")
-    words = used.join(encoded.hint("merge"), "word").select(F.col("chunk").alias("of"), "number", "ids")
-    numbered = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.length(x.w) > LONGEST)
-    packed = chunks.select("chunk", "docs", "null_docs", "counts", "seq", F.size("words").alias("n_words"),
-                           F.transform(numbered, lambda x: x.i).alias("long_numbers"), F.transform(numbered, lambda x: x.w).alias("long_words"))
+    encoded = written(encode_words(distinct, pieces, first_byte, max(len(p) for p, _, _ in known)), "words")
+    words = used.join(encoded.hint("merge"), "word", "left").select(
+        F.col("chunk").alias("of"), "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
+    packed = chunks.select("chunk", "docs", "null_docs", "counts", "seq", F.size("words").alias("n_words"))
     return packed.groupBy("chunk").cogroup(words.groupBy("of")).applyInPandas(
         _from_chunks(known, first_byte), "doc bigint, ids binary, text string")
 

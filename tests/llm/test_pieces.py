@@ -34,6 +34,15 @@ def test_hard_texts(frame, model):
         assert got[i] == (model.encode(t), t.replace(P.MARK, " ")), t[:50]
 
 
+def test_queue_and_fold_agree(spark, model):
+    known, first_byte = P.model_pieces()
+    words = ["▁internationalization", "▁" * 13, "▁xyzzy😀é", "aaaaaaaaaaaaaaaaaaa", "▁the", "éèçê", "▁Nebukadnezar's", "==--==--=="]
+    pieces = spark.createDataFrame(known, "piece string, id int, rank int")
+    got = {r.word: r.ids for r in P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, first_byte, 16).collect()}
+    table = {p: (i, r) for p, i, r in known}
+    assert got == {w: P.merge_long(w, table, first_byte) for w in words}
+
+
 def test_defined_cases(frame):
     rows = [(None, "no id", "w", "i", 1), (1, None, "w", "i", 1), (1, "", "w", "i", 1), (2, "twice", "w", "i", 1), (2, "twice", "w", "i", 1), (2, "other", "w", "i", 1)]
     got = run(frame(rows, SCHEMA))
