@@ -45,3 +45,12 @@ def py_round(c: Column, digits: int) -> Column:
     r = F.round(c, digits)
     negative = F.format_string("%e", c).startswith("-")   # also true for -0.0
     return F.when(negative & (r == 0), F.lit(-0.0)).otherwise(r)
+
+
+#: What counts as a number in text: no type suffixes (``10d``) and no hexadecimal floats.
+NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|nan|inf(?:inity)?)\s*$"
+
+
+def number_or_null(c: Column, kind: str = "double") -> Column:
+    """Text as a number where it is written as one, else null."""
+    return F.when(c.rlike(NUMBER), c.try_cast(kind))

@@ -12,7 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from fathom.functions.stats import adjusted_skewness, not_nan, numeric_text
+from fathom.bundle import quote
+from fathom.functions.stats import adjusted_skewness, not_nan, number_or_null, numeric_text
 from fathom.operators.quantiles import interpolated_quantiles
 
 # Fixed values of the reference's rules and report text.
@@ -22,7 +23,6 @@ BALANCED_BELOW = 2.0
 TOP_VALUES = 10
 TARGET_BINS = 30
 FEATURE_BINS = 25
-MAX_PLOTTED_FEATURES = 6
 SUMMARY_HEADER = "=== Data Distribution Summary ==="
 SUMMARY_FOOTER = ("\nBased on this distribution, recommend models suited to: "
                   "class imbalance (if any), skewed features, high-dimensionality, or nonlinearity.")
@@ -85,8 +85,8 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 # ---------------------------------------------------------------- D3, D4
 def coerce_numeric(df: DataFrame, col: str, alias: str = "x") -> DataFrame:
     """Text to double, failures and NaN dropped."""
-    return (df.select(F.col(col).cast("string").try_cast("double").alias(alias)
-                      if not is_numeric(df, col) else F.col(col).cast("double").alias(alias))
+    return (df.select(number_or_null(F.col(quote(col)).cast("string")).alias(alias)
+                      if not is_numeric(df, col) else F.col(quote(col)).cast("double").alias(alias))
               .where(not_nan(F.col(alias))))
 
 
@@ -288,8 +288,8 @@ def target_histogram(df: DataFrame, col: str, bins: int = TARGET_BINS) -> DataFr
 
 
 def feature_histograms(df: DataFrame, features: list[str], bins: int = FEATURE_BINS,
-                       max_features: int = MAX_PLOTTED_FEATURES) -> DataFrame:
-    """Numeric histograms of the first ``max_features`` numeric features, one job."""
+                       max_features: int | None = None) -> DataFrame:
+    """Histograms of the numeric features (of the first ``max_features`` features, if given), one job."""
     shown = [c for c in features if c in df.columns][:max_features]
     numeric, _ = split_features(df, shown)
     if not numeric:
@@ -297,8 +297,8 @@ def feature_histograms(df: DataFrame, features: list[str], bins: int = FEATURE_B
     return histograms(unpivot(df, numeric, "double"), bins)
 
 
-def feature_bars(df: DataFrame, features: list[str], max_features: int = MAX_PLOTTED_FEATURES) -> DataFrame:
-    """D8, categorical part: top-10 bars of the text features among the plotted ones."""
+def feature_bars(df: DataFrame, features: list[str], max_features: int | None = None) -> DataFrame:
+    """D8, categorical part: top-10 bars of the text features."""
     shown = [c for c in features if c in df.columns][:max_features]
     return categorical_feature_stats(df, shown)
 

@@ -91,6 +91,19 @@ def package_from_import_path(path: Column) -> Column:
              .otherwise(F.coalesce(mapping[top], top)))
 
 
+# ------------------------------------------------------------------ lenient JSON
+def _read(text: Column) -> Column:
+    """Variant of a JSON text as Python's parser takes it: NaN and Infinity are values (null here), and the
+    last of repeated keys counts. Strings are stepped over; a text that holds the marker itself is not JSON."""
+    marked = F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|-?\bInfinity\b|\bNaN\b', "$1\u0001")
+    plain = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("null"))
+    return F.try_parse_json(plain)
+
+
+def _allow_repeated_keys(spark) -> None:
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 # ------------------------------------------------------------------ L2, L3, L6
 def _registry_table(spark) -> DataFrame:
     rows = [(n, import_path(n)) for n in sorted(MODEL_IMPORT_MAP)]
@@ -149,9 +162,10 @@ def parse_suggestions(replies: DataFrame, id_col: str = "id", col: str = "respon
     '}' is read as a single suggestion (pos 0). One pass: both candidates come
     from one projection and a single ``posexplode`` yields the items.
     """
+    _allow_repeated_keys(replies.sparkSession)
     c = candidates(replies, id_col, col)
-    arr = F.try_variant_get(F.try_parse_json(F.col("json")), "$", "array<variant>")
-    obj = F.try_parse_json(F.col("json_obj"))
+    arr = F.try_variant_get(_read(F.col("json")), "$", "array<variant>")
+    obj = _read(F.col("json_obj"))
     items = F.when(F.col("json").isNotNull(), arr).when(obj.isNotNull(), F.array(obj))
     exploded = c.select("id", F.posexplode(items).alias("pos", "item"))
     return _suggestions_from(exploded)
@@ -187,9 +201,9 @@ def _py_str(v: Column, present: Column) -> Column:
 
 def parse_plan(replies: DataFrame, id_col: str = "id", col: str = "response") -> DataFrame:
     """``(id, pos, action, description)``; replies with no valid step get the default plan."""
-    spark = replies.sparkSession
+    _allow_repeated_keys(replies.sparkSession)
     r = extract_json_array(replies.select(F.col(id_col).alias("id"), F.col(col).alias("r")), "r")
-    arr = F.try_variant_get(F.try_parse_json(F.col("json")), "$", "array<variant>")
+    arr = F.try_variant_get(_read(F.col("json")), "$", "array<variant>")
     items = r.select("id", F.posexplode(arr).alias("src_pos", "item"))
     is_obj = F.schema_of_variant(F.col("item")).startswith("OBJECT")
     action = F.try_variant_get(F.col("item"), "$.action", "string")

@@ -18,18 +18,21 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from fathom.session import ensure_checkpoint_dir, spread
+from fathom.session import ensure_checkpoint_dir
 
 MAX_SPARK_DEPTH = 30            # Spark ML rejects deeper trees: max_depth=None -> 30
-CLOSED_FORM_MAX_FEATURES = 256  # covariance aggregate is d(d+1)/2 columns
 KNN_BLOCK_ROWS = 20_000         # rows per side in one kNN task
+FIT_PARTITIONS, FIT_ROWS = 16, 1_000_000   # least partitions of a tree fit, and most rows of one
 
 
 # ------------------------------------------------------------------ helpers
@@ -70,23 +73,73 @@ class LinearFitted(Fitted):
         return df.withColumn("prediction", self.expression())
 
 
+def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows that have a value in every one of ``cols``, as doubles."""
+    rows = df.select(*[_x(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    return rows.where(" and ".join(f"x{i} is not null and not isnan(x{i})" for i in range(len(cols))))
+
+
+def _gram_parts(d: int):
+    """(fold, x0 .. x{d-1}) -> for each fold of a partition and each column i: count, mean, and row i of the centred products."""
+    def work(batches):
+        kept = {}
+        for b in batches:
+            for fold, g in b.groupby("fold"):
+                x = g[[f"x{i}" for i in range(d)]].to_numpy(float)
+                n, mean = len(x), x.mean(axis=0)
+                kept[fold] = _pooled(kept.get(fold), (n, mean, (x - mean).T @ (x - mean)))
+        rows = [(fold, i, n, mean.tolist(), m[i].tolist()) for fold, (n, mean, m) in kept.items() for i in range(d)]
+        yield pd.DataFrame(rows, columns=["fold", "i", "n", "mean", "row"])
+    return work
+
+
+def _pooled(a, b):
+    if a is None:
+        return b
+    (n, mean, m), (k, other, o) = a, b
+    gap = other - mean
+    return n + k, mean + gap * (k / (n + k)), m + o + np.outer(gap, gap) * (n * k / (n + k))
+
+
+def _gram_rows(d: int):
+    """Parts of one row of a fold's products -> the row over all partitions."""
+    def work(key, parts):
+        n, mean, row = 0, np.zeros(d), np.zeros(d)
+        for p in parts.sort_values(["n", "row"], key=lambda c: c if c.name == "n" else c.map(tuple)).itertuples():
+            gap, total = np.asarray(p.mean) - mean, n + p.n
+            row = row + np.asarray(p.row) + gap[key[1]] * gap * (n * p.n / total)
+            n, mean = total, mean + gap * (p.n / total)
+        return pd.DataFrame({"fold": [key[0]], "i": [key[1]], "n": [n], "mean": [mean.tolist()], "row": [row.tolist()]})
+    return work
+
+
+def fold_moments(df: DataFrame, cols: list[str], fold: Column | None = None) -> dict:
+    """Per fold ``{"n", "mean", "cov"}`` (population covariance) of the complete rows of ``cols``, for any number of columns.
+
+    Each partition sums one matrix of centred products; its rows are merged by
+    (fold, column), so no task holds more than the parts of one row and only
+    the merged matrices reach the driver."""
+    d = len(cols)
+    rows = _complete(df.withColumn("__fold", F.lit(0) if fold is None else fold), ["__fold", *cols])
+    rows = rows.select(F.col("x0").cast("int").alias("fold"), *[F.col(f"x{i + 1}").alias(f"x{i}") for i in range(d)])
+    part = "fold int, i int, n bigint, mean array<double>, row array<double>"
+    merged = rows.mapInPandas(_gram_parts(d), part).groupBy("fold", "i").applyInPandas(_gram_rows(d), part).collect()
+    out: dict = {}
+    for r in merged:
+        m = out.setdefault(r.fold, {"n": int(r.n), "mean": np.array(r.mean), "cov": np.zeros((d, d))})
+        m["cov"][r.i] = np.array(r.row) / r.n
+    for m in out.values():
+        m["cov"] = (m["cov"] + m["cov"].T) / 2
+    return out
+
+
 def linear_moments(df: DataFrame, features: list[str], target: str) -> dict:
-    """One aggregate: n, means, population covariances of (X, y), sample std of y."""
+    """n, means, population covariances of (X, y) over the complete rows, sample std of y."""
     d = len(features)
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(_x(target)).alias("my"), F.var_pop(_x(target)).alias("vy"),
-            F.stddev_samp(_x(target)).alias("sy")]
-    aggs += [F.avg(_x(f)).alias(f"m{i}") for i, f in enumerate(features)]
-    aggs += [F.covar_pop(_x(features[i]), _x(features[j])).alias(f"c{i}_{j}")
-             for i in range(d) for j in range(i, d)]
-    aggs += [F.covar_pop(_x(f), _x(target)).alias(f"cy{i}") for i, f in enumerate(features)]
-    r = df.agg(*aggs).first()
-    cxx = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cxx[i, j] = cxx[j, i] = r[f"c{i}_{j}"] or 0.0
-    return {"n": int(r["n"]), "my": r["my"], "vy": r["vy"] or 0.0, "sy": r["sy"] or 0.0,
-            "mx": np.array([r[f"m{i}"] for i in range(d)], dtype=float), "cxx": cxx,
-            "cxy": np.array([r[f"cy{i}"] or 0.0 for i in range(d)], dtype=float)}
+    m = fold_moments(df, [*features, target]).get(0, {"n": 0, "mean": np.zeros(d + 1), "cov": np.zeros((d + 1, d + 1))})
+    vy = float(m["cov"][d, d])
+    return {"n": m["n"], "my": float(m["mean"][d]), "vy": vy, "sy": math.sqrt(vy * m["n"] / (m["n"] - 1)) if m["n"] > 1 else 0.0,
+            "mx": m["mean"][:d], "cxx": m["cov"][:d, :d], "cxy": m["cov"][:d, d]}
 
 
 def _coordinate_descent(cxx, cxy, l1, l2, tol=1e-12, max_iter=100_000):
@@ -179,6 +232,8 @@ def fit_gaussian_nb(df: DataFrame, features: list[str], target: str, params: dic
         s = F.lit(math.log(r["n"] / total))
         for i, f in enumerate(features):
             var = (r[f"v{i}"] or 0.0) + eps
+            if var == 0:          # every feature is constant: only the prior tells
+                continue
             s = s - F.lit(0.5 * math.log(2 * math.pi * var)) - (_x(f) - F.lit(r[f"m{i}"])) ** 2 / F.lit(2 * var)
         scores.append(s)
     return ScoredClassifier("GaussianNB", "classification", [r[target] for r in rows], scores,
@@ -240,25 +295,25 @@ def fit_knn(df: DataFrame, features: list[str], target: str, task: str, params:
 
 
 def _knn_block(test_pdf, train_pdf, k):
-    import pandas as pd
     if len(test_pdf) == 0 or len(train_pdf) == 0:
         return pd.DataFrame({"_qid": [], "_d": [], "_rid": [], "_y": []})
     B = np.stack(train_pdf["_vec"].to_numpy()).astype(np.float64)
     rids = train_pdf["_rid"].to_numpy()
     ys = train_pdf["_y"].to_numpy()
-    out_q, out_d, out_r, out_y = [], [], [], []
-    kk = min(k, len(B))
+    # rows in id order, so a stable sort takes the least id among equal distances
+    by_id = np.argsort(rids, kind="stable")
+    B, rids, ys = B[by_id], rids[by_id], ys[by_id]
+    kk, parts = min(k, len(B)), []
     # rows per chunk so the (chunk, block, d) difference array stays near 32 MB
     step = max(1, int(32 * 2 ** 20 // max(1, B.shape[0] * B.shape[1] * 8)))
     for start in range(0, len(test_pdf), step):
         part = test_pdf.iloc[start:start + step]
         A = np.stack(part["_vec"].to_numpy()).astype(np.float64)
         d = np.sqrt(((A[:, None, :] - B[None, :, :]) ** 2).sum(axis=2))
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(B) else np.tile(np.arange(len(B)), (len(A), 1))
-        for row, q in enumerate(part["_qid"].to_numpy()):
-            for j in idx[row]:
-                out_q.append(q); out_d.append(d[row, j]); out_r.append(rids[j]); out_y.append(ys[j])
-    return pd.DataFrame({"_qid": out_q, "_d": out_d, "_rid": out_r, "_y": out_y})
+        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
+        parts.append(pd.DataFrame({"_qid": np.repeat(part["_qid"].to_numpy(), kk), "_d": np.take_along_axis(d, idx, 1).ravel(),
+                                   "_rid": rids[idx].ravel(), "_y": ys[idx].ravel()}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def knn_predict(model: KNNFitted, df: DataFrame) -> DataFrame:
@@ -333,7 +388,7 @@ def _min_instances(params) -> int:
 # Deep trees: cache node ids per row (no tree shipped to executors per level) and
 # checkpoint that cache every 10 levels. The per-pass node budget is sized from the
 # executor heap (see ``tree_memory_mb``).
-TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxBins=64)
+TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxBins=128)
 
 
 def _mem_mb(text: str | None, default: int) -> int:
@@ -424,13 +479,11 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, tas
     label_type = df.schema[target].dataType
     # Spark ML reads its input several times (metadata, split candidates, tree
     # points): keep the prepared rows once instead of recomputing their lineage.
-    rows = df.where(F.col(target).isNotNull()).select(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
-    rows.count()
-    data = spread(rows)            # partitions of the persisted rows: no recomputation
-    if data is not rows:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        data.count()
-        rows.unpersist()
+    rows = df.where(F.col(target).isNotNull()).select(*features, target)
+    # Spark's bagging draws per partition: rows are dealt by value to a count that follows the rows, and
+    # sorted, so a fit does not depend on cores or on the layout of the input
+    n = max(FIT_PARTITIONS, math.ceil(rows.count() / FIT_ROWS))
+    data = rows.repartition(n, *features, target).sortWithinPartitions(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit_spark_ml(data, assembler, features, target, name, task, params, label_type)
     finally:
@@ -654,7 +707,7 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
     actual, note = resolve_estimator_name(name, task)
     if actual == "SVC" and params.get("kernel", "rbf") == "rbf":
         note = "SVC kernel 'rbf' has no distributed solver; fitted with the linear kernel"
-    if actual in LINEAR_KIND and len(features) <= CLOSED_FORM_MAX_FEATURES:
+    if actual in LINEAR_KIND:
         m = fit_linear(df, features, target, LINEAR_KIND[actual], params)
     elif actual == "GaussianNB":
         m = fit_gaussian_nb(df, features, target, params)
@@ -668,6 +721,14 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
         m = fit_extra_trees(df, features, target, task, params)
     else:
         m = fit_spark_ml(df, features, target, actual, task, params)
+    if actual.startswith(("XGB", "LGBM", "CatBoost")):
+        note = f"{actual} is fitted by Spark's gradient-boosted trees with that library's default depth and rate"
+    if params.get("max_depth") and int(params["max_depth"]) > MAX_SPARK_DEPTH:
+        note = f"max_depth {params['max_depth']} is more than Spark's {MAX_SPARK_DEPTH}"
     m.note = note
     m.name = actual
     return m
+
+
+# workers get the functions above by value, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -153,12 +153,12 @@ _D8_FEATURES = ["l_quantity", "l_returnflag", "l_discount", "l_tax", "l_extended
 
 
 @register("D8_feature_histograms", _hist_sql(
-    "select l_quantity, l_discount, l_tax, l_extendedprice, 7.0 as l_const from lineitem",
-    ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_const"], 25))
+    "select l_quantity, l_discount, l_tax, l_extendedprice, 7.0 as l_const, l_linenumber, l_orderkey from lineitem",
+    ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_const", "l_linenumber", "l_orderkey"], 25))
 def d8_feature_histograms(spark, sf):
-    """25-bin histograms of the first six features (text one skipped, constant one widened)."""
+    """25-bin histograms of all features (text one skipped, constant one widened)."""
     li = table(spark, sf, "lineitem").withColumn("l_const", F.lit(7.0))
-    return D.feature_histograms(li, _D8_FEATURES, 25, 6)
+    return D.feature_histograms(li, _D8_FEATURES, 25)
 
 
 # ------------------------------------------------------------------ D9, D10

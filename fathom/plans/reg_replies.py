@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from fathom.operators import replies as L
 from fathom.plans.catalog import register, table
 from fathom.plans.registry_models import MODEL_IMPORT_MAP
-from fathom.session import spread
 
 MODELS = sorted(MODEL_IMPORT_MAP)
 
@@ -58,9 +57,9 @@ def _pick(key, salt: str, n: int):
 def reply_table(spark, sf):
     """``(id, response)``: one reply per conversation turn.
 
-    The source file is one row group; it is spread over the session's cores
-    as a reply table of real size would already be."""
-    c = spread(table(spark, sf, "conversations"))
+    The source file is one row group; it is dealt to 16 partitions by key, as a
+    reply table of real size would already be."""
+    c = table(spark, sf, "conversations").repartition(16, "conv_id", "turn")
     rid = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
     base = c.select(rid, F.col("text"))
     shape = _pick(F.col("id"), "|shape", len(SHAPES))

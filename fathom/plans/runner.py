@@ -7,7 +7,7 @@ DataFrames. The prepared train rows are cached once around the search.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,8 +43,6 @@ class RunResult:
     predictions: DataFrame | None = None
     metrics: DataFrame | None = None
     interpretation: DataFrame | None = None
-    success: bool = True
-    error: str = ""
 
 
 def _suggest(task: str, fixed_model: str | None):
@@ -56,6 +54,64 @@ def _suggest(task: str, fixed_model: str | None):
     return DEFAULT_SUGGESTION[task]
 
 
+@dataclass
+class Run:
+    """What the stages of one run are given."""
+    task: str
+    key: list | None
+    grid_on: bool
+    randomized: bool
+    fixed_model: str | None
+    parallelism: int
+    skip_training: bool = False
+
+
+def _choose(run: Run, res: RunResult) -> RunResult:
+    return replace(res, suggestion=_suggest(run.task, run.fixed_model))
+
+
+def _train(run: Run, res: RunResult) -> RunResult:
+    b, name = res.bundle, res.suggestion[0]
+    keys = run.key or list(b.df.columns)
+    data = T.split_and_folds(b.df, keys, b.target if run.task == "classification" else None)
+    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, best, scores = S.search(train, b.features, b.target, name, run.task, S.param_grid(name, run.task, None, run.grid_on),
+                                       randomized=run.randomized, parallelism=run.parallelism)
+    finally:
+        train.unpersist()
+    pred = model.predict(data.where(F.col("split") == "test")).select(
+        *keys, F.col(b.target).alias("y_true"), F.col("prediction").alias("y_pred"))
+    return replace(res, model=model, best=best, scores=scores, predictions=pred)
+
+
+def _evaluate(run: Run, res: RunResult) -> RunResult:
+    metrics = E.classification_metrics if run.task == "classification" else E.regression_metrics
+    return replace(res, metrics=metrics(res.predictions))
+
+
+def _interpret(run: Run, res: RunResult) -> RunResult:
+    return replace(res, interpretation=E.verdict(res.metrics, res.suggestion[0], run.task))
+
+
+#: Each action of a plan: its function and the fields of the result that it needs; without them it is left out.
+STAGES = {
+    "select_model": (_choose, ["bundle"]),
+    "train": (_train, ["bundle", "suggestion"]),
+    "evaluate": (_evaluate, ["suggestion", "predictions"]),
+    "interpret": (_interpret, ["suggestion", "metrics"]),
+}
+
+
+def run_stage(action: str, run: Run, res: RunResult) -> RunResult:
+    """One stage on its own; unknown actions and stages without their inputs change nothing."""
+    name = "_".join((action or "").lower().split())
+    if name not in STAGES or (name == "train" and run.skip_training):
+        return res
+    work, needs = STAGES[name]
+    return work(run, res) if all(getattr(res, n) is not None for n in needs) else res
+
+
 def run_pipeline(spark: SparkSession, data_config: dict, *, task: str = "regression",
                  key: list[str] | None = None, use_tuning: bool = True, randomized: bool = False,
                  skip_training: bool = False, fixed_model: str | None = None,
@@ -67,55 +123,28 @@ def run_pipeline(spark: SparkSession, data_config: dict, *, task: str = "regress
     a plan without ``train`` makes the later steps no-ops. ``key`` names the
     columns that identify a row (default: all columns) for the split order.
     """
-    res = RunResult()
-    try:
-        b = bundle or load_table(spark, data_config)
-        res.bundle = b
-        res.metadata = P.dataset_metadata(b)
-        res.summary = D.summary_text(b.df, b.features, b.target, task)
-        actions = list(plan or OFFLINE_PLAN)
-        res.steps = [d or a for a, d in actions]
-        suggestion, pred = None, None
-        for action, _ in actions:
-            action = (action or "").strip().lower().replace(" ", "_")
-            if action == "select_model":
-                suggestion = _suggest(task, fixed_model)
-                res.suggestion = suggestion
-            elif action == "train":
-                if skip_training or suggestion is None:
-                    continue
-                name = suggestion[0]
-                keys = key or list(b.df.columns)
-                data = T.split_and_folds(b.df, keys, b.target if task == "classification" else None)
-                data = data.persist(StorageLevel.MEMORY_AND_DISK)
-                train = data.where(F.col("split") == "train")
-                grid = S.param_grid(name, task, None, use_tuning)
-                model, best, scores = S.search(train, b.features, b.target, name, task, grid,
-                                               randomized=randomized, parallelism=parallelism)
-                res.model, res.best, res.scores = model, best, scores
-                test = data.where(F.col("split") == "test")
-                pred = model.predict(test).select(*keys, F.col(b.target).alias("y_true"),
-                                                  F.col("prediction").alias("y_pred"))
-                res.predictions = pred
-            elif action == "evaluate":
-                if pred is not None and suggestion is not None:
-                    res.metrics = (E.classification_metrics(pred) if task == "classification"
-                                   else E.regression_metrics(pred))
-            elif action == "interpret":
-                if res.metrics is not None and suggestion is not None:
-                    res.interpretation = E.verdict(res.metrics, suggestion[0], task)
-    except Exception as e:
-        res.success, res.error = False, str(e)
-        raise
+    b = bundle or load_table(spark, data_config)
+    run = Run(task, key, use_tuning, randomized, fixed_model, parallelism, skip_training)
+    actions = list(plan or OFFLINE_PLAN)
+    res = RunResult(steps=[text or action for action, text in actions], bundle=b, metadata=P.dataset_metadata(b),
+                    summary=D.summary_text(b.df, b.features, b.target, task))
+    for action, _ in actions:
+        res = run_stage(action, run, res)
     return res
 
 
 def run_tasks(spark: SparkSession, data_config: dict, tasks: list[dict], **kw) -> DataFrame:
-    """One table, several (target, task) runs; a row of metrics + verdict per run."""
+    """One table, several (target, task) runs; a row of metrics + verdict per run.
+
+    The table is loaded and prepared once for each set of features and target,
+    not once for each run."""
+    loaded: dict = {}
     out = None
     for t in tasks:
         cfg = dict(data_config, target=t["target"])
-        r = run_pipeline(spark, cfg, task=t["task"], **{**kw, **t.get("options", {})})
+        if t["target"] not in loaded:
+            loaded[t["target"]] = load_table(spark, cfg)
+        r = run_pipeline(spark, cfg, task=t["task"], bundle=loaded[t["target"]], **{**kw, **t.get("options", {})})
         row = r.interpretation.select(F.lit(t["target"]).alias("target"), F.lit(t["task"]).alias("task"),
                                       F.lit(r.suggestion[0]).alias("model"), "n", "level", "verdict")
         out = row if out is None else out.unionByName(row)
@@ -127,12 +156,15 @@ def compare_models(spark: SparkSession, bundle: Bundle, models: list[str], task:
     """Several models on the same split, best first (R2 / accuracy)."""
     keys = key or list(bundle.df.columns)
     data = T.split_and_folds(bundle.df, keys, bundle.target if task == "classification" else None)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    test = data.where(F.col("split") == "test")
+    try:
+        fitted = {name: S.search(train, bundle.features, bundle.target, name, task, S.param_grid(name, task, None, use_tuning))[0]
+                  for name in models}
+    finally:
+        train.unpersist()
     rows = None
-    for name in models:
-        grid = S.param_grid(name, task, None, use_tuning)
-        model, _, _ = S.search(train, bundle.features, bundle.target, name, task, grid)
+    for name, model in fitted.items():
         pred = model.predict(test).select(F.col(bundle.target).alias("y_true"), F.col("prediction").alias("y_pred"))
         m = E.classification_metrics(pred) if task == "classification" else E.regression_metrics(pred)
         m = m.withColumn("model", F.lit(name))

@@ -55,13 +55,6 @@ def param_grid(model: str, task: str, user_grid: dict | None = None, tuning: boo
     return dict(grids.get(model, {}))
 
 
-def grid_size(grid: dict) -> int:
-    n = 1
-    for v in grid.values():
-        n *= len(v)
-    return max(n, 1)
-
-
 def expand_grid(grid: dict) -> list[dict]:
     """T5: every combination, keys in sorted order (scikit-learn's ParameterGrid order)."""
     if not grid:
@@ -70,12 +63,6 @@ def expand_grid(grid: dict) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
-def grid_frame(spark, grid: dict) -> DataFrame:
-    """T5 as a table ``(combo_id, params)`` with params as JSON text."""
-    rows = [(i, json.dumps(c, sort_keys=True)) for i, c in enumerate(expand_grid(grid))]
-    return spark.createDataFrame(rows, "combo_id int, params string")
-
-
 def random_search_sample(combos: list[dict], n_iter: int = N_ITER, seed: int = 42) -> list[tuple[int, dict]]:
     """min(n_iter, size) combinations without replacement, ordered by md5(combo_id|seed)."""
     keyed = sorted(range(len(combos)), key=lambda i: hashlib.md5(f"{i}|{seed}".encode()).hexdigest())
@@ -98,7 +85,7 @@ def _score(model, held: DataFrame, target: str, task: str) -> float:
 def cv_score(train: DataFrame, features: list[str], target: str, name: str, task: str,
              combos: list[tuple[int, dict]], k: int = CV_FOLDS, parallelism: int = 2) -> list[dict]:
     """Mean held-out score (r2 / accuracy) per combination over the ``fold`` column."""
-    if name in M.LINEAR_KIND and len(features) <= M.CLOSED_FORM_MAX_FEATURES:
+    if name in M.LINEAR_KIND:
         return cv_linear(train, features, target, name, combos, k)
     data = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -123,21 +110,8 @@ def cv_score(train: DataFrame, features: list[str], target: str, name: str, task
 
 # ------------------------------------------------------------------ T7 linear, from moments
 def _fold_moments(train: DataFrame, features: list[str], target: str, k: int) -> list[dict]:
-    cols = features + [target]
-    d = len(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_pop(x[cols[i]], x[cols[j]]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    rows = {r["fold"]: r for r in train.groupBy("fold").agg(*aggs).collect()}   # k rows
-    out = []
-    for f in range(k):
-        r = rows[f]
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
-        out.append({"n": int(r["n"]), "mean": np.array([r[f"m{i}"] for i in range(d)]), "cov": cov})
-    return out
+    found = M.fold_moments(train, features + [target], F.col("fold"))
+    return [found[f] for f in range(k)]
 
 
 def _merge(parts: list[dict]) -> dict:
@@ -220,19 +194,11 @@ def search(train: DataFrame, features: list[str], target: str, name: str, task:
     if not grid:
         return M.fit(train, features, target, name, task, {}), None, None
     combos = list(enumerate(expand_grid(grid)))
+    if name == "SVC":        # only the linear kernel is fitted; the others would repeat its scores
+        combos = [(i, dict(c, kernel="linear")) for i, c in combos if c.get("kernel", "linear") == "linear"] or combos[:1]
     if randomized:
         combos = random_search_sample([c for _, c in combos], n_iter, seed)
     scores = cv_score(train, features, target, name, task, combos, parallelism=parallelism)
     best = select_best(scores)
     model = M.fit(train, features, target, name, task, best["params"])
     return model, best, scores_frame(spark, scores)
-
-
-def combos_frame(spark, grid: dict, randomized: bool = False, n_iter: int = N_ITER, seed: int = 42) -> DataFrame:
-    """T5/T6 as a table: the combinations a search will score."""
-    combos = list(enumerate(expand_grid(grid)))
-    if randomized:
-        combos = random_search_sample([c for _, c in combos], n_iter, seed)
-    rows = [(i, json.dumps(c, sort_keys=True, default=str)) for i, c in combos]
-    return spark.createDataFrame(rows, "combo_id int, params string")
-

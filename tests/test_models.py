@@ -92,7 +92,7 @@ def test_registry_and_fallback():
 
 
 def test_grid_sizes_and_sampling():
-    sizes = {m: S.grid_size(g) for m, g in S.DEFAULT_REGRESSION_GRIDS.items()}
+    sizes = {m: len(S.expand_grid(g)) for m, g in S.DEFAULT_REGRESSION_GRIDS.items()}
     assert sizes == {"RandomForestRegressor": 24, "GradientBoostingRegressor": 8, "Ridge": 4, "Lasso": 4, "SVR": 6}
     assert len(S.expand_grid(S.DEFAULT_CLASSIFICATION_GRIDS["SVC"])) == 6
     assert S.param_grid("Ridge", "regression", tuning=False) == {}
