@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.bundle import Bundle, DatasetRoles, quote
 from fathom.functions.stats import not_nan
-from fathom.operators.profile import typed_distinct_counts, unpivot
+from fathom.operators.profile import typed_distinct_counts
+from fathom.session import written
 
 # The synthetic alloy schema and its units.
 SYNTHETIC_FEATURES = ("Al_conc_wt_pct", "Ti_conc_wt_pct", "V_conc_wt_pct",
@@ -143,10 +144,11 @@ def label_encode(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, Dat
         return df, None
     texts = {c: F.coalesce(F.col(c), F.lit("nan")) for c in text_cols}
     long = df.select([texts[c].alias(c) for c in text_cols]).unpivot([], text_cols, "column", "value")
-    distinct = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    # one scan of the table, however many text columns it has
+    distinct = written(long.distinct(), "distinct-values")
     sizes = {r["column"]: int(r["n"]) for r in
              distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per column
-    dictionary = _rank_dictionary(distinct, sizes)
+    dictionary = written(_rank_dictionary(distinct, sizes), "dictionary")
     out = df
     for c in text_cols:
         d = dictionary.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))

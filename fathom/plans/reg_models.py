@@ -9,6 +9,7 @@ from fathom.operators import splits as T
 from fathom.plans import estimators as M
 from fathom.plans import inputs as I
 from fathom.plans.catalog import register, table
+from fathom.session import written
 
 LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]   # unique row key
 
@@ -335,7 +336,8 @@ def _reg(name, params=None):
         d = I.linepart(spark, sf)
         from fathom.operators.prepare import label_encode
         d, _ = label_encode(d, I.LINEPART_FEATURES)
-        s = T.train_test_split(d, LI_KEYS, 0.2, 42)
+        # the split passes over its input several times: join and encode once
+        s = T.train_test_split(written(d, "linepart"), LI_KEYS, 0.2, 42)
         m = M.fit(s.where("split = 'train'"), I.LINEPART_FEATURES, "l_extendedprice", name, "regression", params)
         return m.predict(s.where("split = 'test'")).select(
             *LI_KEYS, F.col("l_extendedprice").alias("y_true"), F.col("prediction").alias("y_pred"))
@@ -362,7 +364,7 @@ def _clf(name, params=None):
 for _id, _name, _p in [("M1", "RandomForestRegressor", {"max_depth": 10}), ("M2", "GradientBoostingRegressor", None),
                        ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", {"n_estimators": 10, "max_depth": 10}),
                        ("M10", "AdaBoostRegressor", None), ("M12", "BaggingRegressor", None),
-                       ("M13", "XGBRegressor", None)]:
+                       ("M13", "XGBRegressor", None), ("M13b", "LGBMRegressor", None), ("M13c", "CatBoostRegressor", None)]:
     register(f"{_id}_{_name}")(_reg(_name, _p))
 
 for _id, _name, _p in [("M14", "RandomForestClassifier", None), ("M14b", "DecisionTreeClassifier", None),
