@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.session import scratch_path
+from fathom.session import written
+
+__all__ = ["SHINGLE", "SIMILARITY", "complete_groups", "documents", "ship", "table", "words", "written"]
 
 #: Words of a shingle and the least similarity of near duplicates.
 SHINGLE = 5
@@ -30,13 +32,6 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared scratch folder: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
