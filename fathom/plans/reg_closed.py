@@ -13,7 +13,7 @@ from fathom.operators import splits as T
 from fathom.plans import estimators as M
 from fathom.plans import search as S
 from fathom.plans.catalog import register, table
-from fathom.plans.runner import compare_models, run_pipeline
+from fathom.plans.runner import compare_models, run_pipeline, run_tasks
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 RIDGE = S.param_grid("Ridge", "regression")["alpha"]
@@ -147,3 +147,55 @@ def x3_compare_one_feature(spark, sf):
     """The five linear models at their defaults on one split."""
     names = ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "SGDRegressor"]
     return compare_models(spark, _bundle(spark, sf), names, "regression", KEYS)
+
+
+WIDE = [round(0.001 * 1.5 ** i, 6) for i in range(30)]
+
+
+@register("T6_random_search_one_feature", _scores(WIDE, LASSO_SLOPE).replace(
+    "g(combo_id, alpha)),\nmodel", "g(combo_id, alpha) order by md5(combo_id || '|42') limit 20),\nmodel") + f""",
+fit as (select alpha, mx, my, {LASSO_SLOPE} as b from whole, best)
+select 'alpha' as term, alpha as value from fit union all select 'x', round(b, 6) from fit
+union all select 'intercept', round(my - b * mx, 6) from fit""")
+def t6_random_search_one_feature(spark, sf):
+    """Randomised search: 20 of 30 Lasso penalties drawn by md5 order, scored by 5-fold CV, the best one refitted."""
+    train = T.split_and_folds(_rows(spark, sf), KEYS).where("split = 'train'")
+    model, best, _ = S.search(train, ["x"], "y", "Lasso", "regression", {"alpha": WIDE}, randomized=True, n_iter=20)
+    return spark.createDataFrame([("alpha", float(best["params"]["alpha"])), *_coefficients(model)], "term string, value double")
+
+
+@register("T9_fit_plain_one_feature", FOLDS + """,
+w as (select avg(x) as mx, avg(y) as my, var_pop(x) as cxx, covar_pop(x, y) as cxy from train)
+select 'x' as term, round(cxy / cxx, 6) as value from w union all select 'intercept', round(my - cxy / cxx * mx, 6) from w""")
+def t9_fit_plain_one_feature(spark, sf):
+    """Without a grid the library's defaults are fitted once on all train rows."""
+    train = T.split_and_folds(_rows(spark, sf), KEYS).where("split = 'train'")
+    model, _, _ = S.search(train, ["x"], "y", "LinearRegression", "regression", {})
+    return spark.createDataFrame(_coefficients(model), "term string, value double")
+
+
+@register("X2_run_tasks_named_columns", FOLDS.replace("select x, y, l_orderkey", "select x, y, l_returnflag, l_orderkey", 1)
+          .replace("as y from lineitem)", "as y, l_returnflag from lineitem)", 1)
+          .replace("d as (select x, y, rk", "d as (select x, y, l_returnflag as f, rk", 1) + """,
+test as (select * from d where is_test),
+w as (select avg(x) as mx, avg(y) as my, cxy / cxx as b from (select x, y, covar_pop(x, y) over () as cxy, var_pop(x) over () as cxx from train) group by cxy / cxx),
+reg as (select 1 - avg((y - my - b * (x - mx)) * (y - my - b * (x - mx))) / var_pop(y) as v, count(*) as n from test, w),
+eps as (select 1e-9 * var_pop(x) as e, count(*) as total from train),
+cls as (select f as c, count(*) as k, avg(x) as m, var_pop(x) + any_value(e) as s from train, eps group by f),
+sc as (select test.rowid_, f, c, ln(k / total) - 0.5 * ln(2 * pi() * s) - (x - m) * (x - m) / (2 * s) as p
+       from (select *, row_number() over () as rowid_ from test) test, cls, eps),
+hit as (select f = arg_max(c, {'p': p, 'o': -ascii(c)}) as ok from sc group by rowid_, f),
+clf as (select avg(ok::int) as v, count(*) as n from hit)
+select 'Quantity (units)' as target, 'regression' as task, 'LinearRegression' as model, n,
+       case when round(v, 4) >= 0.7 then 'good' when round(v, 4) >= 0.4 then 'moderate' else 'limited' end as level from reg
+union all select 'Return flag', 'classification', 'GaussianNB', n,
+       case when round(v, 4) >= 0.85 then 'good' when round(v, 4) >= 0.65 then 'moderate' else 'limited' end from clf""")
+def x2_run_tasks_named_columns(spark, sf):
+    """Two targets of different tasks on one prepared table whose names hold blanks and brackets, through the loader."""
+    li = table(spark, sf, "lineitem").select(
+        *KEYS, (F.col("l_extendedprice") / 1000.0).cast("double").alias("Price (thousands)"),
+        (F.col("l_quantity") + F.col("l_extendedprice") / 2000.0).cast("double").alias("Quantity (units)"), F.col("l_returnflag").alias("Return flag"))
+    cfg = {"df": li, "path": "lineitem", "features": ["Price (thousands)"]}
+    return run_tasks(spark, cfg, [
+        {"target": "Quantity (units)", "task": "regression", "options": {"fixed_model": "LinearRegression", "key": KEYS}},
+        {"target": "Return flag", "task": "classification", "options": {"fixed_model": "GaussianNB", "key": KEYS}}]).drop("verdict")
