@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
 #: Characters of the documents of a chunk.
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -70,35 +71,46 @@ def cut(word: str, pairs: set[str]) -> list[str]:
     return out
 
 
+def _units(text: str) -> list[str]:
+    """The words of a text, each with its marks."""
+    if "  " in text or text[:1] == " " or text[-1:] == " " or MARK in text:
+        return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+    return (MARK + text.replace(" ", " " + MARK)).split(" ") if text else []
+
+
 def _to_chunks(size: int, pairs: set[str]):
-    """(doc, text) -> chunks of documents: their distinct cut words, and their texts as packed numbers of words."""
+    """(doc, text) -> chunks of documents: their distinct cut words, sorted, and their texts as packed numbers of words."""
+    def empty():
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__        # a new word gets the next number
+        return number, [], [], []
+
     def work(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        number, docs, counts, parts, held = {}, [], [], [], 0
+        (number, docs, counts, parts), held = empty(), 0
 
         def close():
             seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            cuts, sizes, flat = {}, np.zeros(len(number), np.uint32), []
-            for k, word in enumerate(number):
-                own = cut(word, pairs)
-                sizes[k] = len(own)
-                flat += [cuts.setdefault(w, len(cuts)) for w in own]
-            flat = np.array(flat, np.uint32)
+            cuts = [cut(word, pairs) for word in number]
+            words = sorted({w for own in cuts for w in own})
+            at = {w: k for k, w in enumerate(words)}
+            sizes = np.fromiter(map(len, cuts), np.uint32, len(cuts))
+            flat = np.array([at[w] for own in cuts for w in own], np.uint32)
             header = np.array([len(sizes), len(flat)], np.uint32)
             known = [d if d is not None else 0 for d in docs]
-            return pd.DataFrame({"words": [list(cuts)], "docs": [np.array(known, np.int64).tobytes()],
+            return pd.DataFrame({"words": [words], "docs": [np.array(known, np.int64).tobytes()],
                                  "null_docs": [np.array([d is None for d in docs]).tobytes()], "counts": [np.array(counts, np.int64).tobytes()],
                                  "seq": [pack.compress(b"".join(x.tobytes() for x in (header, sizes, flat, seq)))]})
         for b in batches:
-            for doc, text in zip(b["doc"].tolist(), b["text"].tolist()):
-                units = WORD.findall(MARK + text.replace(" ", MARK)) if text else []
-                parts.append(np.fromiter((number.setdefault(u, len(number)) for u in units), np.uint32, len(units)))
+            for doc, text in zip(b["doc"].tolist(), b["text"]):
+                units = _units(text)
+                parts.append(np.fromiter(map(number.__getitem__, units), np.uint32, len(units)))
                 docs.append(None if doc is None or doc != doc else int(doc))
                 counts.append(len(units))
                 held += len(text)
                 if held >= size:
                     yield close()
-                    number, docs, counts, parts, held = {}, [], [], [], 0
+                    (number, docs, counts, parts), held = empty(), 0
         if docs:
             yield close()
     return work
@@ -256,7 +268,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      .withColumn("chunk", F.xxhash64("words", "docs", "null_docs", "counts", "seq")), "chunks")
     used = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
     distinct = used.where(F.length("word") <= LONGEST).select("word").distinct()
-    encoded = written(encode_words(distinct, pieces, first_byte, max(len(p) for p, _, _ in known)), "words")
+    encoded = encode_words(distinct, pieces, first_byte, max(len(p) for p, _, _ in known))
     words = used.join(encoded.hint("merge"), "word", "left").select(
         F.col("chunk").alias("of"), "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
     packed = chunks.select("chunk", "docs", "null_docs", "counts", "seq", F.size("words").alias("n_words"))
