@@ -34,6 +34,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
 #: Characters of the documents of a chunk.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -98,19 +99,21 @@ def _to_chunks(size: int, pairs: set[str]):
             flat = np.array([at[w] for own in cuts for w in own], np.uint32)
             header = np.array([len(sizes), len(flat)], np.uint32)
             known = [d if d is not None else 0 for d in docs]
-            return pd.DataFrame({"words": [words], "docs": [np.array(known, np.int64).tobytes()],
+            return pa.RecordBatch.from_pydict({"words": [words], "docs": [np.array(known, np.int64).tobytes()],
                                  "null_docs": [np.array([d is None for d in docs]).tobytes()], "counts": [np.array(counts, np.int64).tobytes()],
-                                 "seq": [pack.compress(b"".join(x.tobytes() for x in (header, sizes, flat, seq)))]})
-        for b in batches:
-            for doc, text in zip(b["doc"].tolist(), b["text"]):
-                units = _units(text)
-                parts.append(np.fromiter(map(number.__getitem__, units), np.uint32, len(units)))
-                docs.append(None if doc is None or doc != doc else int(doc))
-                counts.append(len(units))
-                held += len(text)
-                if held >= size:
-                    yield close()
-                    (number, docs, counts, parts), held = empty(), 0
+                                 "seq": [pack.compress(b"".join(x.tobytes() for x in (header, sizes, flat, seq)))]},
+                                              schema=pa.schema([("words", pa.list_(pa.string())), *((n, pa.binary()) for n in ("docs", "null_docs", "counts", "seq"))]))
+        # a few rows of a batch at a time, to hold no batch twice
+        for doc, text in ((d, t) for b in batches for k in range(0, b.num_rows, 128)
+                          for d, t in zip(b.column(0).slice(k, 128).to_pylist(), b.column(1).slice(k, 128).to_pylist())):
+            units = _units(text)
+            parts.append(np.fromiter(map(number.__getitem__, units), np.uint32, len(units)))
+            docs.append(doc)
+            counts.append(len(units))
+            held += len(text)
+            if held >= size:
+                yield close()
+                (number, docs, counts, parts), held = empty(), 0
         if docs:
             yield close()
     return work
@@ -246,7 +249,7 @@ def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
             docs, null = np.frombuffer(row.docs, np.int64), np.frombuffer(row.null_docs, bool)
             bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row.counts, np.int64))))
             # some documents at a time, to keep the arrays small
-            step = max(1, 1_000_000 * len(docs) // max(1, len(seq)))
+            step = max(1, 100_000 * len(docs) // max(1, len(seq)))
             for i in range(0, len(docs), step):
                 j = min(len(docs), i + step)
                 some, ends = _gather(ids, start, length, seq[bounds[i]:bounds[j]])
@@ -264,7 +267,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known, first_byte = model_pieces(model)
     pieces = df.sparkSession.createDataFrame(known, "piece string, id int, rank int")
     pairs = {p[i:i + 2] for p, _, _ in known for i in range(len(p) - 1)}
-    chunks = written(docs.mapInPandas(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
+    chunks = written(docs.mapInArrow(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
                      .withColumn("chunk", F.xxhash64("words", "docs", "null_docs", "counts", "seq")), "chunks")
     used = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
     distinct = used.where(F.length("word") <= LONGEST).select("word").distinct()
