@@ -61,15 +61,26 @@ def model_pieces(model: str = MODEL) -> tuple[list[tuple[str, int, int]], int]:
     return pieces, sp.piece_to_id("<0x00>")
 
 
-def cut(word: str, pairs: set[str]) -> list[str]:
-    """A word cut wherever no piece holds the two neighbouring characters."""
-    out, start = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1:i + 1] not in pairs:
-            out.append(word[start:i])
-            start = i
-    out.append(word[start:])
-    return out
+def pair_codes(pieces) -> np.ndarray:
+    """The neighbouring characters that some piece holds, as sorted numbers."""
+    pairs = {p[i:i + 2] for p, *_ in pieces for i in range(len(p) - 1)}
+    return np.array(sorted(ord(a) << 32 | ord(b) for a, b in pairs), np.uint64)
+
+
+def cut(words: list[str], pairs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """All words cut wherever no piece holds the two neighbouring characters, and the number of parts of each."""
+    if not words:
+        return [], np.zeros(0, np.uint32)
+    flat = "".join(words)
+    code = np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    start = np.cumsum([0, *map(len, words)])
+    both = code[:-1] << np.uint64(32) | code[1:]
+    at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
+    begins = np.concatenate(([True], pairs[at] != both))
+    begins[start[:-1]] = True
+    place = np.append(np.flatnonzero(begins), len(flat))
+    ends = place.tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], np.diff(np.searchsorted(place, start)).astype(np.uint32)
 
 
 def _units(text: str) -> list[str]:
@@ -79,7 +90,7 @@ def _units(text: str) -> list[str]:
     return (MARK + text.replace(" ", " " + MARK)).split(" ") if text else []
 
 
-def _to_chunks(size: int, pairs: set[str]):
+def _to_chunks(size: int, pairs: np.ndarray):
     """(doc, text) -> chunks of documents: their distinct cut words, sorted, and their texts as packed numbers of words."""
     def empty():
         number: defaultdict = defaultdict()
@@ -92,11 +103,10 @@ def _to_chunks(size: int, pairs: set[str]):
 
         def close():
             seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            cuts = [cut(word, pairs) for word in number]
-            words = sorted({w for own in cuts for w in own})
+            cuts, sizes = cut(list(number), pairs)
+            words = sorted(set(cuts))
             at = {w: k for k, w in enumerate(words)}
-            sizes = np.fromiter(map(len, cuts), np.uint32, len(cuts))
-            flat = np.array([at[w] for own in cuts for w in own], np.uint32)
+            flat = np.fromiter(map(at.__getitem__, cuts), np.uint32, len(cuts))
             header = np.array([len(sizes), len(flat)], np.uint32)
             known = [d if d is not None else 0 for d in docs]
             return pa.RecordBatch.from_pydict({"words": [words], "docs": [np.array(known, np.int64).tobytes()],
@@ -266,7 +276,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents(df, id_col, text_col)
     known, first_byte = model_pieces(model)
     pieces = df.sparkSession.createDataFrame(known, "piece string, id int, rank int")
-    pairs = {p[i:i + 2] for p, _, _ in known for i in range(len(p) - 1)}
+    pairs = pair_codes(known)
     chunks = written(docs.mapInArrow(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
                      .withColumn("chunk", F.xxhash64("words", "docs", "null_docs", "counts", "seq")), "chunks")
     used = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
