@@ -18,7 +18,7 @@ NOT_WORD = re.compile(r"[\W_]+")
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 #: Characters of text that are worked on at once (one text more at most).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _powers: list = []
 
