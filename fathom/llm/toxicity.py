@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
 1. Voters. From a bounded sample of labelled texts (at most ``SAMPLE`` of each
-   label, least id hash first, one of the toxic ones that begin or end alike) the words
+   label, least id hash first, equal texts once, with their highest label) the words
    and word beginnings that occur significantly more often in toxic ones
    become a lexicon of at most ``FEATURES`` entries: whole words, and patterns
    (beginnings of 3 to 7 letters that one, two or three different words have). The ``VOTERS`` most frequent entries vote.
@@ -98,12 +98,8 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
     chosen = labels.where("toxic = 1").orderBy(order, "doc").limit(sample).unionByName(
         labels.where("toxic = 0").orderBy(order, "doc").limit(sample))
     # at most 2 * sample ids
-    rows = docs.where("learnable").join(F.broadcast(chosen), "doc").withColumn("ws", F.split(F.btrim("text"), r"\s+")) \
-        .dropDuplicates(["text"])
-    rows = rows.withColumn("head", F.xxhash64(F.slice("ws", 1, 8))).withColumn(
-        "tail", F.xxhash64(F.slice("ws", F.greatest(F.size("ws") - 7, F.lit(1)), 8)))
-    once = rows.where("toxic = 1").dropDuplicates(["head"]).dropDuplicates(["tail"])
-    rows = written(once.unionByName(rows.where("toxic = 0")).select("text", "toxic"), "labelled")
+    rows = docs.where("learnable").join(F.broadcast(chosen), "doc").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = written(rows, "labelled")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return [], share

@@ -55,6 +55,15 @@ def test_held_out_labels_change_nothing(frame, small):
     assert auc([(one[i], marks[i]) for i in held]) == 1.0
 
 
+def test_toxic_texts_that_open_and_close_alike(frame, small):
+    docs, labels = small
+    phrase = "from the desk of the daily board of letters"
+    framed = [(i, f"{phrase} {t} {phrase}") for i, t in docs]
+    marks = {i: "vilely" in t or "nasty" in t for i, t in docs}
+    got = {r.doc: r.score for r in run(frame, framed, labels)}
+    assert auc([(got[i], marks[i]) for i in got]) == 1.0 and all((got[i] >= 0.5) == marks[i] for i in got)
+
+
 def test_defined_cases(frame, small):
     docs, labels = small
     more = [(None, "vilely"), (None, "kind"), (1000, None), (1001, ""), (1002, "vilely " * 100_000), (1003, "..."), (0, "another text of id 0")]
