@@ -5,8 +5,12 @@ variable field ``<*>``. The tree has fixed depth: number of tokens, then the
 ``DEPTH`` leading tokens; what is below one path is a leaf. In a leaf with
 several lines the token that most documents have at a place is the template's
 token there, and a place without a majority is variable; lines that agree with
-at least ``SIMILAR`` of the places belong to the leaf's template, every other
-line is a template of its own. Templates found in ``MIN_DOCS`` documents or more recur;
+at least ``SIMILAR`` of the places belong to the template. The lines left over
+are a group for the next round: as they are when the template took half of the
+documents, else cut by the place where most documents have a token of
+``min_docs`` documents, into a group for each such token and one for the
+others. Rounds end when no group of ``min_docs`` documents can be cut; a line of
+no template is a template of its own. Templates found in ``MIN_DOCS`` documents or more recur;
 their lines are dropped, except the very first (least id, text hash and place),
 so that no text vanishes from the corpus.
 
@@ -49,29 +53,65 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                        F.xxhash64("m").alias("line"))
 
 
+def _split(rest: DataFrame, min_docs: int) -> DataFrame:
+    """``rest`` with its groups cut by their place of most documents with a frequent token (of those with fewest such tokens,
+    the leftmost); groups without one go."""
+    per_token = rest.select("group", "n_docs", F.posexplode("t").alias("p", "token")).groupBy("group", "p", "token").agg(F.sum("n_docs").alias("c"))
+    per_token = written(per_token.where(F.col("p") >= DEPTH), "places")
+    often = F.col("c") >= min_docs
+    cut = per_token.groupBy("group", "p").agg(F.sum("c").alias("all_docs"), F.max("c").alias("top"), F.sum(F.when(often, F.col("c"))).alias("cover"),
+                                              F.count(F.when(often, 1)).alias("kinds")) \
+        .where((F.col("kinds") > 0) & (F.col("top") < F.col("all_docs"))) \
+        .groupBy("group").agg(F.max(F.struct("cover", -F.col("kinds"), (-F.col("p")).alias("minus"))).alias("best")) \
+        .select("group", (-F.col("best.minus")).alias("p"))
+    tokens = per_token.where(often).join(cut, ["group", "p"]).select("group", "token", F.lit(True).alias("often"))
+    return rest.join(cut, "group").withColumn("token", F.get("t", F.col("p"))).join(tokens, ["group", "token"], "left").select(
+        F.xxhash64("group", "p", F.when(F.col("often"), F.col("token"))).alias("group"), "leaf", "line", "n_docs", "t")
+
+
+def _large(rows: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of groups of several lines and enough documents."""
+    full = rows.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("docs")) \
+        .where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("group")
+    return rows.join(full, "group")
+
+
 def template_members(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``leaf, line`` of the distinct lines that belong to the template of their leaf.
+    """``leaf, line, template`` of the distinct lines that belong to a template of their leaf.
 
     ``docs`` is (doc, text), ``lines`` the hashed lines of leaves that can recur."""
     per_line = written(lines.where(F.col("n") > DEPTH).groupBy("leaf", "line", "doc", "th").agg(F.min("pos").alias("pos"))
                        .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "th", "pos")).alias("at")), "kinds")
     wide = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("all_docs")) \
-        .where((F.col("kinds") > 1) & (F.col("all_docs") >= min_docs))
+        .where((F.col("kinds") > 1) & (F.col("all_docs") >= min_docs)).select("leaf")
     wanted = per_line.join(wide, "leaf").groupBy(F.col("at.doc").alias("doc")).agg(
-        F.collect_list(F.struct("at.th", "at.pos", "leaf", "line", "n_docs", "all_docs")).alias("w"))
+        F.collect_list(F.struct("at.th", "at.pos", "leaf", "line", "n_docs")).alias("w"))
     of_text = F.filter("w", lambda w: w.th == F.xxhash64("text"))
     # the wanted lines grow with the corpus: they are not to be broadcast where they happen to be few
     found = docs.join(wanted.hint("merge"), "doc").select(F.split("text", "\n").alias("ls"), F.explode(of_text).alias("w")) \
-        .select("w.leaf", "w.line", "w.n_docs", "w.all_docs", F.split(masked(F.get("ls", F.col("w.pos"))), " ").alias("t")) \
+        .select("w.leaf", "w.line", "w.n_docs", F.split(masked(F.get("ls", F.col("w.pos"))), " ").alias("t")) \
         .dropDuplicates(["leaf", "line"])
-    found = written(found, "tokens")
-    places = found.select("leaf", "n_docs", "all_docs", F.posexplode("t").alias("p", "token"))
-    per_token = places.groupBy("leaf", "p", "token").agg(F.sum("n_docs").alias("c"), F.max("all_docs").alias("all_docs"))
-    constant = per_token.groupBy("leaf", "p").agg(F.max(F.struct("c", "token")).alias("top"), F.max("all_docs").alias("all_docs")) \
-        .where(F.col("top.c") * 2 >= F.col("all_docs")).select("leaf", "p", "top.token")
-    equal = found.select("leaf", "line", F.size("t").alias("n"), F.posexplode("t").alias("p", "token")) \
-        .join(constant, ["leaf", "p", "token"]).groupBy("leaf", "line", "n").count()
-    return equal.where(F.col("count") * 10 >= F.col("n") * int(10 * SIMILAR)).select("leaf", "line")
+    found = written(found.withColumn("group", F.col("leaf")), "tokens")
+    every = found.select("leaf", "line", F.col("leaf").alias("template")).limit(0)
+    turn = 0
+    while not found.isEmpty():
+        places = found.select("group", "n_docs", F.posexplode("t").alias("p", "token")).groupBy("group", "p", "token") \
+            .agg(F.sum("n_docs").alias("c")).groupBy("group", "p").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all_docs"))
+        token = F.when(F.col("top.c") * 2 >= F.col("all_docs"), F.col("top.token"))
+        constant = places.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("p", token.alias("token")))).alias("cs"),
+                                               F.max("all_docs").alias("all_docs"))
+        equal = F.size(F.filter(F.zip_with("t", F.col("cs.token"), lambda x, y: x == y), lambda e: e))
+        judged = written(found.join(constant.hint("merge"), "group").select("group", "leaf", "line", "n_docs", "t", "all_docs", (
+            equal * 10 >= F.size("t") * int(10 * SIMILAR)).alias("joins")), "judged")
+        taken = judged.groupBy("group").agg(F.sum(F.when(F.col("joins"), F.col("n_docs")).otherwise(0)).alias("taken"))
+        judged = judged.join(taken, "group").withColumn("joins", F.col("joins") & (F.col("taken") >= min_docs))
+        every = every.unionByName(written(judged.where("joins").select("leaf", "line", F.xxhash64("group", F.lit(turn)).alias("template")), "members"))
+        rest = written(judged.where("not joins").select("group", "leaf", "line", "n_docs", "t", (
+            (F.col("taken") >= min_docs) & (F.col("taken") * 2 >= F.col("all_docs"))).alias("again")), "rest")
+        kept = rest.where("again").drop("again")
+        found = written(_large(kept.unionByName(_split(rest.where("not again").drop("again"), min_docs)), min_docs), "tokens")
+        turn += 1
+    return every
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -80,9 +120,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # a template lies in one leaf, so a leaf of fewer lines holds none that recurs
     full = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
     lines = written(every.join(full, "leaf"), "lines")
-    members = written(template_members(docs, lines, min_docs), "members").withColumn("leafed", F.lit(True))
+    members = written(template_members(docs, lines, min_docs), "members")
     named = written(lines.join(members, ["leaf", "line"], "left").select(
-        "doc", "th", "pos", F.when(F.col("leafed"), F.col("leaf")).otherwise(F.col("line")).alias("template")), "named")
+        "doc", "th", "pos", F.coalesce("template", "line").alias("template")), "named")
     recurring = named.groupBy("template", "doc", "th").agg(F.min("pos").alias("pos")).groupBy("template").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "th", "pos")).alias("first")) \
         .where(F.col("n_docs") >= min_docs)

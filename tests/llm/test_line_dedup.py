@@ -43,6 +43,26 @@ def test_templates_recur(frame):
     assert all(len(kept[d]) == 1 for d in range(1, 7)), kept
 
 
+def posts(family, n, start):
+    """Documents of one line each: names without digits, then the family's words."""
+    return [(start + i, f"Posted in the forum by {'n' + chr(97 + start // 100) + chr(97 + i) * 4} {family} today") for i in range(n)]
+
+
+def test_several_templates_of_a_leaf(frame):
+    families = ["about old ships", "with new maps", "from far towns"]
+    for some, sizes in ((families[:2], (22, 18)), (families, (20, 20, 20)), (families, (26, 8, 6))):
+        rows = [r for k, f in enumerate(some) for r in posts(f, sizes[k], 100 * k)]
+        got, _ = run(frame, rows)
+        assert {d for d, t, _, k in got if not k} == {100 * k for k in range(len(some))}
+    # a line of over half a leaf does not hide a family
+    hot = [(1000 + i, "Posted in the forum by nobody in no place ever") for i in range(50)]
+    got, _ = run(frame, hot + posts(families[0], 20, 0) + posts(families[1], 8, 100))
+    assert {d for d, t, _, k in got if not k} == {0, 100, 1000}
+    # lines that do not recur stay
+    got, _ = run(frame, posts(families[0], 20, 0) + posts(families[1], 4, 100))
+    assert {d for d, t, _, k in got if not k} == {0, 100, 101, 102, 103}
+
+
 def test_defined_cases(frame):
     line = "one line of boilerplate text"
     rows = [(None, line)] + [(i, f"{line}\n\n  \n{'x' * (i + 1)}") for i in range(5)] + [(6, line), (6, line), (6, line + "\n" + line), (7, None), (8, ""),
