@@ -4,8 +4,8 @@
    label, least id hash first, equal texts once, with their highest label) the words
    and word beginnings that occur significantly more often in toxic ones
    become a lexicon of at most ``FEATURES`` entries: whole words, and patterns
-   (beginnings of 3 to 7 letters that one, two or three different words have). The ``VOTERS`` most frequent entries vote.
-2. Label model. Every document of the corpus is one vote pattern. A generative
+   (beginnings of 3 to 7 letters that one, two or three different words have). Every entry votes.
+2. Label model. The entries of every document of the corpus are one vote pattern. A generative
    model, a class balance and for each voter its rate of firing in toxic and
    in clean texts, is fitted by expectation maximisation over the counts of
    patterns, from the labelled rates as a start. The correlation of voters within a class
@@ -40,7 +40,7 @@ from fathom.llm import wordhash as W
 from fathom.llm.catalog import register
 from fathom.llm.common import documents, ship, table, written
 
-SAMPLE, FEATURES, VOTERS, SETS = 20_000, 1_000, 60, 50_000
+SAMPLE, FEATURES, SETS = 20_000, 1_000, 50_000
 BEGINNINGS, TIMES = (3, 4, 5, 6, 7), 3
 ROUNDS = 6
 
@@ -126,73 +126,92 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, feature
             sorted(kept, key=lambda x: (-x[1], x[0]))], share
 
 
-def _mask(entries: Column) -> Column:
-    """The votes as bits."""
-    return F.aggregate(F.filter(entries, lambda e: e < VOTERS), F.lit(0).cast("bigint"),
-                       lambda a, e: a.bitwiseOR(F.get(_longs([1 << k for k in range(VOTERS)]), e)))
-
-
-def _longs(values) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def _doubles(values) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def _fires(mask: Column, j: int) -> Column:
-    return F.shiftrightunsigned(mask, j).bitwiseAND(F.lit(1).cast("bigint")).cast("double")
-
-
-def posterior(mask: Column, model: dict) -> Column:
+def posterior(sets: list, model: dict) -> np.ndarray:
     """P(toxic | votes): voters that do not fire abstain, and a text without any vote is a vote of its own."""
-    base, k = math.log(model["share"] / (1 - model["share"])), len(model["toxic"])
-    gain = _doubles(math.log(a / b) for a, b in zip(model["toxic"], model["clean"]))
-    shared = _doubles(np.maximum(model["correlation"], 0).ravel())
-    none = math.log(model["no_vote"][0] / model["no_vote"][1])
+    base = math.log(model["share"] / (1 - model["share"]))
+    gain, shared = np.log(np.array(model["toxic"]) / np.array(model["clean"])), model["shared"]
+    z = np.full(len(sets), base)
+    for i, on in enumerate(sets):
+        if len(on) == 0:
+            z[i] += math.log(model["no_vote"][0] / model["no_vote"][1])
+        elif shared is None:
+            z[i] += gain[on].sum()
+        else:
+            z[i] += (gain[on] / (1 + shared[np.ix_(on, on)].sum(axis=1))).sum()
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _posteriors(model: dict):
+    """(entries, n, ..) -> the same with the posterior ``q``."""
+    def work(batches):
+        for b in batches:
+            yield b.assign(q=posterior(b["entries"].tolist(), model))
+    return work
 
-    def share_of(on, j):
-        return F.get(gain, j) / (1 + F.aggregate(on, F.lit(0.0), lambda s, i: s + F.get(shared, j * k + i)))
-    fired = F.transform(F.array(F.filter(_positions(k), lambda j: F.getbit(mask, j) == 1)),
-                        lambda on: F.aggregate(F.transform(on, lambda j: share_of(on, j)), F.lit(base), lambda s, v: s + v))[0]
-    return 1 / (1 + F.exp(-F.when(mask == 0, base + none).otherwise(fired)))
+
+def _expected(model: dict):
+    """(entries, n) -> expected toxic and clean texts by entry, -1 for all texts, -2 for those without a vote."""
+    def work(batches):
+        k = len(model["toxic"])
+        yes, no = np.zeros(k + 2), np.zeros(k + 2)
+        for b in batches:
+            sets, n = b["entries"].tolist(), b["n"].to_numpy(float)
+            q = posterior(sets, model)
+            size = np.array([len(x) for x in sets], np.int64)
+            voter = np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
+            for total, w in ((yes, q * n), (no, (1 - q) * n)):
+                total[:k] += np.bincount(voter, np.repeat(w, size), minlength=k)
+                total[k:] += w[size == 0].sum(), w.sum()
+        yield pd.DataFrame({"entry": [*range(k), -2, -1], "yes": yes, "no": no})
+    return work
 
 
-def _positions(n: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(n - 1))
+def _together(model: dict):
+    """(entries, n) -> expected toxic texts by pair of entries, the lower one first."""
+    def work(batches):
+        k = len(model["toxic"])
+        both = np.zeros((k, k))
+        for b in batches:
+            sets = b["entries"].tolist()
+            for on, w in zip(sets, posterior(sets, model) * b["n"].to_numpy(float)):
+                if len(on) > 1:
+                    both[np.ix_(on, on)] += w
+        i, j = np.nonzero(np.triu(both, 1))
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "q": both[i, j]})
+    return work
 
 
 def fit_label_model(patterns: DataFrame, start: list, share: float, rounds: int = ROUNDS) -> dict:
-    """Expectation maximisation over ``patterns`` (mask, n): class share, firing rates and correlations."""
+    """Expectation maximisation over ``patterns`` (entries, n): class share, firing rates and correlations."""
     k = len(start)
     model = {"share": min(max(share, 1e-4), 0.5), "toxic": [s[1] for s in start], "clean": [s[2] for s in start],
-             "correlation": np.zeros((k, k)), "no_vote": (0.05, 0.95)}
+             "shared": None, "no_vote": (0.05, 0.95)}
+    patterns = patterns.select("entries", "n")
     for again in range(2):
         for _ in range(rounds):
-            q = posterior(F.col("mask"), model)
-            row = patterns.withColumn("q", q * F.col("n")).withColumn("r", F.col("n") - F.col("q")).agg(
-                F.sum("q"), F.sum("r"), F.sum(F.when(F.col("mask") == 0, F.col("q")).otherwise(0.0)),
-                F.sum(F.when(F.col("mask") == 0, F.col("r")).otherwise(0.0)), *(F.sum(F.col("q") * _fires(F.col("mask"), j)) for j in range(k)),
-                *(F.sum(F.col("r") * _fires(F.col("mask"), j)) for j in range(k))).first()
-            yes, no = row[0], row[1]
+            row = {r.entry: (r.yes, r.no) for r in patterns.mapInPandas(_expected(model), "entry int, yes double, no double")
+                   .groupBy("entry").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()}
+            yes, no = row[-1]
             model["share"] = min(max(yes / (yes + no), 1e-6), 0.9)
-            model["no_vote"] = ((row[2] + 0.5) / (yes + 1), (row[3] + 0.5) / (no + 1))
-            model["toxic"] = [(row[4 + j] + 0.5) / (yes + 1) for j in range(k)]
-            model["clean"] = [(row[4 + k + j] + 0.5) / (no + 1) for j in range(k)]
+            model["no_vote"] = ((row[-2][0] + 0.5) / (yes + 1), (row[-2][1] + 0.5) / (no + 1))
+            model["toxic"] = [(row[j][0] + 0.5) / (yes + 1) for j in range(k)]
+            model["clean"] = [(row[j][1] + 0.5) / (no + 1) for j in range(k)]
             model["clean"] = [min(b, a * 0.999) for a, b in zip(model["toxic"], model["clean"])]
         if again:
             break
-        q = posterior(F.col("mask"), model)
-        on = F.filter(_positions(k), lambda j: F.getbit(F.col("mask"), j) == 1)
-        pairs = patterns.where("mask <> 0").select(F.explode(on).alias("i"), "mask", (q * F.col("n")).alias("q")) \
-            .select("i", "q", F.explode(on).alias("j")).where("i <> j").groupBy("i", "j").agg(F.sum("q").alias("q")).collect()
+        pairs = patterns.where("size(entries) > 1").mapInPandas(_together(model), "i int, j int, q double") \
+            .groupBy("i", "j").agg(F.sum("q").alias("q")).collect()
         both = np.zeros((k, k))
         for r in pairs:
-            both[r.i, r.j] = r.q / yes
+            both[r.i, r.j] = both[r.j, r.i] = r.q / yes
         a = np.array(model["toxic"])
-        spread = np.sqrt(np.outer(a * (1 - a), a * (1 - a)))
-        model["correlation"] = (both - np.outer(a, a)) / spread
-        np.fill_diagonal(model["correlation"], 0)
+        shared = np.maximum((both - np.outer(a, a)) / np.sqrt(np.outer(a * (1 - a), a * (1 - a))), 0)
+        np.fill_diagonal(shared, 0)
+        model["shared"] = shared.astype(np.float32)
     return model
 
 
@@ -228,10 +247,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     numbers = {e: i for i, (e, _, _) in enumerate(lexicon)}
     found = written(docs.select("doc", "learnable", "text").mapInPandas(
         _entries(numbers), "doc bigint, learnable boolean, entries array<int>"), "entries")
-    patterns = written(found.groupBy(_mask(F.col("entries")).alias("mask")).agg(F.count(F.lit(1)).alias("n")), "patterns")
-    model = fit_label_model(patterns, lexicon[:VOTERS], share)
-    sets = found.where("learnable").groupBy("entries").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("q", posterior(_mask(F.col("entries")), model)).orderBy(F.desc("n"), F.xxhash64("entries")).limit(SETS).collect()
+    patterns = written(found.groupBy("entries").agg(F.count(F.lit(1)).alias("n"), F.count_if("learnable").alias("learn")), "patterns")
+    model = fit_label_model(patterns, lexicon, share)
+    sets = patterns.where("learn > 0").select("entries", F.col("learn").alias("n")).orderBy(F.desc("n"), F.xxhash64("entries")).limit(SETS) \
+        .mapInPandas(_posteriors(model), "entries array<int>, n bigint, q double").collect()
     bias, weights = fit_classifier([(r.entries, r.q, r.n) for r in sets], len(lexicon)) if sets else (0.0, np.zeros(len(lexicon)))
     return {"lexicon": numbers, "bias": float(bias), "weights": weights}, found
 

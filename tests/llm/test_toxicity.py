@@ -64,6 +64,22 @@ def test_toxic_texts_that_open_and_close_alike(frame, small):
     assert auc([(got[i], marks[i]) for i in got]) == 1.0 and all((got[i] >= 0.5) == marks[i] for i in got)
 
 
+def test_rare_vocabulary_next_to_a_dominant_one(frame):
+    draw = random.Random(15)
+    dominant = [f"{a}{b}rkel" for a in "hjklmnprstvwxz" for b in "aeiou"]
+    docs, rare = [], set()
+    for i in range(1200):
+        ws = [f"{draw.choice('bcdfg')}{draw.choice('aeiou')}{draw.randrange(400)}" for _ in range(30)]
+        if i % 5 == 0:
+            ws[:20] = draw.sample(dominant, 20)
+        elif i % 20 == 1:
+            ws[:2] = draw.sample(["quxly", "yaffle", "ubbish"], 2)
+            rare.add(i)
+        docs.append((i, " ".join(ws)))
+    got = {r.doc: r.score for r in run(frame, docs, [(i, int(i % 5 == 0 or i in rare)) for i, _ in docs])}
+    assert {i for i, s in got.items() if s >= 0.5} == {i for i in got if i % 5 == 0} | rare
+
+
 def test_defined_cases(frame, small):
     docs, labels = small
     more = [(None, "vilely"), (None, "kind"), (1000, None), (1001, ""), (1002, "vilely " * 100_000), (1003, "..."), (0, "another text of id 0")]
