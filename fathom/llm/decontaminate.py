@@ -14,15 +14,21 @@ so only hits of the bitmap are exploded and shuffled. The bitmap has 32 bits a
 benchmark seed, up to ``BITMAP_BITS``; a larger benchmark only lets more
 non-hits through to the join, which is exact.
 
-Defined cases: a null or empty text has no words and no hits; an item shorter
-than ``SPAN`` words is too short for a seed and is looked up by a hash of all
-its words; items without words match nothing; repeated items and documents
+An item shorter than ``window`` words has masks over all its words: they are
+cut into parts, and each mask leaves out as many parts as ``agree`` allows
+substitutions, so one of them stays whole wherever these are (items of up to
+four words allow none by default).
+
+Defined cases: a null or empty text has no words and no hits; items without words match nothing; repeated items and documents
 count as one; a null document id is a document of its own; extra columns are
 left behind.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.catalog import register
@@ -50,25 +56,33 @@ def _seed(w: Column, i: Column, mask: int) -> Column:
     return F.xxhash64(F.lit(mask), *(F.get(w, i + j) for j in MASKS[mask]))
 
 
-def _whole(w: Column, i: Column, n: int) -> Column:
-    """Hash of the n words from i on; n < SPAN."""
-    return F.xxhash64(F.lit(100 + n), *(F.get(w, i + j) for j in range(n)))
+def short_masks(n: int, agree: float = AGREE) -> list[list[int]]:
+    """Care positions for items of n words, of which any ``n - ceil(n * agree)`` may be substituted."""
+    subs = n - math.ceil(n * agree)
+    parts = max(subs + 1, min(n, subs + 2)) if subs else 1
+    cut = [range(n * j // parts, n * (j + 1) // parts) for j in range(parts)]
+    return [[p for j, part in enumerate(cut) if j not in gone for p in part] for gone in itertools.combinations(range(parts), subs)]
+
+
+def _short(w: Column, i: Column, n: int, mask: int, agree: float) -> Column:
+    return F.xxhash64(F.lit(1000 * n + mask), *(F.get(w, i + j) for j in short_masks(n, agree)[mask]))
 
 
-def _tests(w: Column, short: list[int]) -> list:
-    """(length, hash at i) of each kind of seed: the masks, and items of fewer words than a span."""
-    return [(SPAN, lambda i, m=m: _seed(w, i, m)) for m in range(len(MASKS))] + \
-        [(n, lambda i, n=n: _whole(w, i, n)) for n in short]
+def _tests(w: Column, short: list[int], agree: float = AGREE) -> list:
+    """(length, first and last care position, hash at i) of each kind of seed: the masks, and those of shorter items."""
+    return [(SPAN, MASKS[m][0], MASKS[m][-1], lambda i, m=m: _seed(w, i, m)) for m in range(len(MASKS))] + \
+        [(n, mask[0], mask[-1], lambda i, n=n, m=m: _short(w, i, n, m, agree)) for n in short for m, mask in enumerate(short_masks(n, agree))]
 
 
-def item_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+def item_seeds(items: DataFrame, short: list[int], agree: float = AGREE) -> DataFrame:
     """``item, seed, at, iw`` of every seed of the items (``item``, ``iw``: hashed words)."""
     w, n = F.col("iw"), F.size("iw")
 
     def masked(m):
         return F.transform(_positions(n - SPAN + 1), lambda i: F.struct(_seed(w, i, m).alias("seed"), i.alias("at")))
     masks = [masked(m) for m in range(len(MASKS))]
-    whole = [F.when(n == k, F.array(F.struct(_whole(w, F.lit(0), k).alias("seed"), F.lit(0).alias("at"))))
+    whole = [F.when(n == k, F.array(*(F.struct(_short(w, F.lit(0), k, m, agree).alias("seed"), F.lit(0).alias("at"))
+                                      for m in range(len(short_masks(k, agree))))))
              .otherwise(F.expr("cast(array() as array<struct<seed:bigint,at:int>>)")) for k in short]
     return items.select("item", "iw", F.explode(F.concat(*masks, *whole)).alias("s")).select("item", "iw", "s.seed", "s.at")
 
@@ -91,8 +105,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree: flo
     ``th`` the hash of the document's text."""
     hashed = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
     bench = items.select("item", hashed.alias("iw")).where("size(iw) > 0")
-    short = sorted(r.n for r in bench.select(F.size("iw").alias("n")).where(F.col("n") < SPAN).distinct().collect())
-    seeds = item_seeds(bench, short)
+    short = sorted(r.n for r in bench.select(F.size("iw").alias("n")).where(F.col("n") < window).distinct().collect())
+    seeds = item_seeds(bench, short, agree)
     bitmap, bits = _bitmap(seeds.select("seed").distinct())
 
     def inside(h, longs, n):
@@ -106,13 +120,13 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, agree: flo
         def near(i):
             return F.slice(w, F.greatest(i - window + 2, F.lit(1)), 2 * window + SPAN)
 
-        def of(in_items, n, seed):
+        def of(in_items, n, head, tail, seed):
             kept = F.filter(_positions(F.size(w) - n + 1), lambda i: (
-                F.get(in_items, i) & F.get(in_items, i + (n - 1)) & inside(seed(i), bitmap, bits)))
+                F.get(in_items, i + head) & F.get(in_items, i + tail) & inside(seed(i), bitmap, bits)))
             return F.transform(kept, lambda i: F.struct(seed(i).alias("seed"), i.alias("at"), near(i).alias("near"),
                                                         F.least(i, F.lit(window - 1)).alias("shift")))
         return _let(F.transform(w, lambda h: inside(h, vocabulary, vbits)),
-                    lambda in_items: F.concat(*(of(in_items, n, seed) for n, seed in _tests(w, short))))
+                    lambda in_items: F.concat(*(of(in_items, *t) for t in _tests(w, short, agree))))
     found = docs.select("doc", F.xxhash64("text").alias("th"), F.explode(_let(hashed, hits)).alias("s")) \
         .select("doc", "th", "s.seed", F.col("s.at").alias("pos"), "s.near", "s.shift")
     joined = found.join(seeds, "seed")

@@ -49,6 +49,16 @@ def test_planted_passages(frame):
     assert all(docs[d][1] and (d, i) in expected or len(items[i]) in (10, 11) for d, i in got)
 
 
+def test_short_items_with_every_allowed_substitution(frame):
+    draw, items, docs, want = random.Random(8), {n: text(random.Random(n), n) for n in range(5, WINDOW)}, [], {}
+    for n, words in items.items():
+        for subs in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            copy = ["changed" if p in subs else w for p, w in enumerate(words)]
+            want[len(docs), n] = (5, n - len(subs), n)
+            docs.append((len(docs), " ".join(text(draw, 5) + copy + text(draw, 5))))
+    assert found(frame, docs, [(n, " ".join(w)) for n, w in items.items()]) == want
+
+
 def test_defined_cases(frame):
     passage = " ".join(text(random.Random(6), 30))
     long = " ".join(text(random.Random(7), 60_000)) + " " + passage
