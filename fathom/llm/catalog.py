@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["chat", "url_filter", "fingerprint", "decontaminate", "line_dedup", "jaccard_join", "suffix_dedup", "toxicity", "pieces", "chains", "exact_dedup"]
+MODULES = ["chat", "url_filter", "fingerprint", "decontaminate", "line_dedup", "jaccard_join", "suffix_dedup", "toxicity", "pieces", "chains", "exact_dedup", "lexical_search", "periodic_runs"]
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
