@@ -9,11 +9,12 @@ the one before has left:
 3. SHA-256 of the whole normalised text, only for documents whose (length,
    prefix hash) has survived.
 
-The first two levels move one short row a document, counted before the
-shuffle. The survivors of the second level come back to the texts as a set of
-at most ``SLOTS`` numbers (their hash modulo ``SLOTS``: a proven size, so it is
-broadcast), and the third hash is computed where the text lies: no text is
-shuffled. A document that shares a survivor's slot only is hashed too and ends
+The first two levels count one short row a document, combined before the
+shuffle. What survives a level comes back to the next as a set of
+at most ``SLOTS`` numbers (hashes modulo ``SLOTS``: a proven size, so it is
+broadcast): no row is joined by its length, of which a third of all may have
+the same, and the third hash is computed where the text lies, so no text is
+shuffled. A document that only shares a survivor's slot goes on to the next level and ends
 in a group of its own, so the result does not depend on ``SLOTS``. Of the third
 level one short row a document is written, and its groups are joined back to it;
 a group of a third of all rows is one combined row on one side and split by
@@ -53,12 +54,21 @@ def _marked(docs: DataFrame) -> DataFrame:
         .withColumn("prefix", F.xxhash64(F.substring("norm", 1, PREFIX)))
 
 
-def surviving_prefixes(docs: DataFrame) -> DataFrame:
-    """``len, prefix`` of the groups of several documents after the first two levels; ``docs`` is (doc, text)."""
+def _slot(slots: int, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(slots)).alias("slot")
+
+
+def _surviving(marks: DataFrame, slots: int, *by: str) -> DataFrame:
+    """The slots of the groups of several documents: ``slots`` numbers at most."""
+    groups = marks.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return groups.select(_slot(slots, *by)).distinct().withColumn("survives", F.lit(True))
+
+
+def surviving_prefixes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``slot, survives`` of the (length, prefix hash) of several documents after the first two levels; ``docs`` is (doc, text)."""
     marks = written(_marked(docs).select("len", "prefix"), "marks")
-    lengths = marks.groupBy("len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("len")
-    return marks.join(lengths, "len", "left_semi").groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("c")) \
-        .where("c > 1").select("len", "prefix")
+    same_length = marks.join(F.broadcast(_surviving(marks, slots, "len")), _slot(slots, "len") == F.col("slot"), "left_semi")
+    return _surviving(same_length, slots, "len", "prefix")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, slots: int = SLOTS) -> DataFrame:
@@ -67,9 +77,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     ``digest`` is the SHA-256 of the normalised text of the rows that reached the third level. With ``digests`` the others get
     theirs as well, which their groups do not depend on."""
     docs = documents(df, id_col, text_col)
-    slot = F.pmod(F.xxhash64("len", "prefix"), F.lit(slots))
-    survivors = surviving_prefixes(docs).select(slot.alias("slot")).distinct().withColumn("survives", F.lit(True))
-    read = _marked(docs).withColumn("slot", slot).join(F.broadcast(survivors), "slot", "left")
+    survivors = surviving_prefixes(docs, slots)
+    read = _marked(docs).withColumn("slot", _slot(slots, "len", "prefix")).join(F.broadcast(survivors), "slot", "left")
     whole = F.sha2("norm", 256)
     rows = written(read.select(
         "doc", F.length("text").alias("chars"), F.xxhash64("text").alias("original"), F.coalesce("survives", F.lit(False)).alias("survives"),
