@@ -85,7 +85,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         whole.alias("digest") if digests else F.when(F.col("survives"), whole).alias("digest"),
         F.monotonically_increasing_id().alias("row")), "refined")      # the row numbers stay as written
     order = F.struct((-F.col("chars")).alias("less"), F.col("doc").isNull().alias("last"), "doc", "original", "row")
-    groups = rows.where("survives").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
+    groups = written(rows.where("survives").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1"), "groups")
     # the groups grow with the corpus: they are not to be broadcast where they happen to be few
     found = rows.where("survives").join(groups.hint("merge"), "digest", "left")
     several = F.col("first").isNotNull()
