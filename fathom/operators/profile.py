@@ -94,7 +94,7 @@ def target_summary(df: DataFrame, target: str, exact_quantiles: bool = True) ->
     """D3: count, mean, std, min, p25, p50, p75, max (4 dp), skewness (3 dp).
 
     Quantiles are exact and linearly interpolated (order statistics by
-    histogram refinement); ``exact_quantiles=False`` uses Spark's
+    radix refinement); ``exact_quantiles=False`` uses Spark's
     approximate percentile, which does not interpolate.
     """
     x = coerce_numeric(df, target)
@@ -102,7 +102,7 @@ def target_summary(df: DataFrame, target: str, exact_quantiles: bool = True) ->
     m = x.agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
               F.min("x").alias("min"), F.max("x").alias("max"), adjusted_skewness("x").alias("skewness")).first()
     if exact_quantiles:
-        q = interpolated_quantiles(x, "x", [0.25, 0.5, 0.75], n=int(m["count"]), lo=m["min"], hi=m["max"])
+        q = interpolated_quantiles(x, "x", [0.25, 0.5, 0.75], n=int(m["count"]))
         qs = [q[0.25], q[0.5], q[0.75]]
     else:
         qs = x.agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("_q")).first()["_q"] or [None] * 3

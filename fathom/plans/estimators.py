@@ -700,8 +700,11 @@ LINEAR_KIND = {"LinearRegression": "ols", "Ridge": "ridge", "Lasso": "lasso", "E
                "SGDRegressor": "sgd"}
 
 
-def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, params: dict | None = None) -> Fitted:
-    """Fit model ``name`` for ``task``; T11 fallback for names Spark cannot fit."""
+def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, params: dict | None = None, key: list[str] | None = None) -> Fitted:
+    """Fit model ``name`` for ``task``; T11 fallback for names Spark cannot fit.
+
+    ``key`` names columns that identify a row, from which tree samples are drawn; without them rows are known by their values."""
+    from fathom.plans.forest import KINDS, fit_forest
     from fathom.plans.registry_models import resolve_estimator_name
     params = dict(params or {})
     actual, note = resolve_estimator_name(name, task)
@@ -717,8 +720,8 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
         m = fit_knn(df, features, target, task, params)
     elif actual in ("AdaBoostRegressor", "AdaBoostClassifier"):
         m = fit_adaboost(df, features, target, task, params)
-    elif actual in ("ExtraTreesRegressor", "ExtraTreesClassifier"):
-        m = fit_extra_trees(df, features, target, task, params)
+    elif actual in KINDS:
+        m = fit_forest(df, features, target, actual, task, params, key)
     else:
         m = fit_spark_ml(df, features, target, actual, task, params)
     if actual.startswith(("XGB", "LGBM", "CatBoost")):

@@ -361,15 +361,15 @@ def _clf(name, params=None):
 # M1 uses max_depth=10 (a value of the reference's default grid): fully grown trees
 # (max_depth=None, supported and tested on small tables) have about one leaf per
 # training row, and Spark's level-wise learner ships a histogram for every node.
-for _id, _name, _p in [("M1", "RandomForestRegressor", {"max_depth": 10}), ("M2", "GradientBoostingRegressor", None),
-                       ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", {"n_estimators": 10, "max_depth": 10}),
+for _id, _name, _p in [("M1", "RandomForestRegressor", None), ("M2", "GradientBoostingRegressor", None),
+                       ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", None),
                        ("M10", "AdaBoostRegressor", None), ("M12", "BaggingRegressor", None),
                        ("M13", "XGBRegressor", None), ("M13b", "LGBMRegressor", None), ("M13c", "CatBoostRegressor", None)]:
     register(f"{_id}_{_name}")(_reg(_name, _p))
 
 for _id, _name, _p in [("M14", "RandomForestClassifier", None), ("M14b", "DecisionTreeClassifier", None),
                        ("M16", "GradientBoostingClassifier", {"n_estimators": 20}),
-                       ("M17", "ExtraTreesClassifier", {"n_estimators": 10}), ("M18", "LogisticRegression", None),
+                       ("M17", "ExtraTreesClassifier", None), ("M18", "LogisticRegression", None),
                        ("M19", "SVC", {"kernel": "linear"}), ("M20", "SGDClassifier", None),
                        ("M21", "MLPClassifier", None), ("M22", "AdaBoostClassifier", None)]:
     register(f"{_id}_{_name}")(_clf(_name, _p))

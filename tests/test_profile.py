@@ -113,3 +113,27 @@ def test_boolean_values_print_like_python(spark):
     df = spark.createDataFrame([(True,), (False,), (True,), (None,)], "b boolean")
     rows = D.categorical_feature_stats(df, ["b"]).collect()
     assert [(r["value"], r["n"]) for r in rows] == [("True", 2), ("False", 1)]
+
+
+def test_order_statistics_of_infinities_and_heavy_tails(spark):
+    import numpy as np
+    from fathom.operators.quantiles import interpolated_quantiles, order_statistics_of
+    inf = float("inf")
+    a = [inf] + [float(i) for i in range(998)] + [-inf]
+    b = [(-1.0) ** i * 10.0 ** (i % 600 - 300) for i in range(1000)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, `b b` double").repartition(3)
+    df = df.union(spark.createDataFrame([(None, float("nan")), (float("nan"), None)], df.schema))
+    ranks = [0, 1, 250, 500, 998, 999]
+    for limit in (0, 50_000):
+        got = order_statistics_of(df, {"a": ranks, "b b": ranks}, collect_limit=limit)
+        assert got["a"] == {r: sorted(a)[r] for r in ranks} and got["b b"] == {r: sorted(b)[r] for r in ranks}
+    assert interpolated_quantiles(df, "a", [0.0, 0.5, 1.0], collect_limit=10) == {0.0: -inf, 0.5: float(np.median(a)), 1.0: inf}
+    hot = spark.range(1000).selectExpr("if(id < 700, 5D, id) as x")
+    assert order_statistics_of(hot, {"x": [10, 699, 700]}, collect_limit=0)["x"] == {10: 5.0, 699: 5.0, 700: 700.0}
+
+
+def test_target_summary_with_an_infinity(spark):
+    inf = float("inf")
+    r = D.target_summary(one_col(spark, [float(i) for i in range(999)] + [inf]), "x").first()
+    assert (r["count"], r["max"], r["mean"], r["p50"]) == (1000, inf, inf, 499.5) and r["std"] != r["std"]
+    assert "range=[0" in D.summary_text(one_col(spark, [1.0, inf, 0.0]).withColumnRenamed("x", "y"), [], "y").first()[0]
