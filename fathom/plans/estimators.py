@@ -6,18 +6,18 @@ original class value for classification) and stays lazy.
 * Linear models and naive Bayes are fitted from one distributed aggregate
   (means, covariances, per-class moments); only a d x d system is solved on
   the driver and prediction is a JVM-side column expression.
-* Trees, forests, boosting, logistic regression, linear SVM and the MLP
-  are Spark ML estimators with scikit-learn's defaults passed explicitly.
+* Trees and forests (``forest``) and gradient boosting (``boosting``) are grown
+  level by level over one binned table; logistic regression, linear SVM and the
+  MLP are Spark ML estimators with scikit-learn's defaults passed explicitly.
 * k-nearest neighbours is an exact block-nested computation over
   ``cogroup``: test shards x train blocks, each task bounded, k candidates
   per (row, block) merged by a window group limit.
-* AdaBoost (SAMME, R2) and extra trees are loops of Spark ML trees.
+* AdaBoost (SAMME, R2) is a loop of small trees.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import sys
 from dataclasses import dataclass, field
 
@@ -28,9 +28,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from fathom.session import ensure_checkpoint_dir
+from fathom.bundle import quote
+from fathom.session import ensure_checkpoint_dir, written
 
-MAX_SPARK_DEPTH = 30            # Spark ML rejects deeper trees: max_depth=None -> 30
 KNN_BLOCK_ROWS = 20_000         # rows per side in one kNN task
 FIT_PARTITIONS, FIT_ROWS = 16, 1_000_000   # least partitions of a tree fit, and most rows of one
 
@@ -374,23 +374,6 @@ class SparkMLFitted(Fitted):
         return out.select(*cols, "prediction")
 
 
-def _depth(params) -> int:
-    d = params.get("max_depth")
-    return MAX_SPARK_DEPTH if d is None else min(int(d), MAX_SPARK_DEPTH)
-
-
-def _min_instances(params) -> int:
-    # scikit-learn's min_samples_split=s has no Spark equal; the nearest is a
-    # minimum of ceil(s/2) rows per child (approximate).
-    return max(1, math.ceil(int(params.get("min_samples_split", 2)) / 2))
-
-
-# Deep trees: cache node ids per row (no tree shipped to executors per level) and
-# checkpoint that cache every 10 levels. The per-pass node budget is sized from the
-# executor heap (see ``tree_memory_mb``).
-TREE_OPTS = dict(cacheNodeIds=True, checkpointInterval=10, maxBins=128)
-
-
 def _mem_mb(text: str | None, default: int) -> int:
     if not text:
         return default
@@ -411,64 +394,40 @@ def tree_memory_mb(spark) -> int:
     return int(max(64, min(1024, 0.3 * heap / max(cores, 1))))
 
 
-def spark_estimator(name: str, task: str, params: dict, n: int, y_std: float, n_classes: int, spark=None):
-    """Spark ML estimator with scikit-learn's defaults for ``name``; features 'features', label 'label'."""
-    from pyspark.ml import classification as C, regression as R
-    seed = int(params.get("random_state", 42) or 42)
-    ne = params.get("n_estimators")
-    # the session comes from the caller: the active session is per thread (CV runs fits in threads)
-    spark = spark or SparkSession.builder.getOrCreate()
-    common = dict(featuresCol="features", labelCol="label", maxMemoryInMB=tree_memory_mb(spark), **TREE_OPTS)
-    linear = dict(featuresCol="features", labelCol="label")
-    if name == "RandomForestRegressor":
-        return R.RandomForestRegressor(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="all",
-                                       minInstancesPerNode=_min_instances(params), seed=seed, **common)
-    if name == "BaggingRegressor":
-        return R.RandomForestRegressor(numTrees=int(ne or 10), maxDepth=MAX_SPARK_DEPTH, featureSubsetStrategy="all",
-                                       seed=seed, **common)
-    if name == "DecisionTreeRegressor":
-        return R.DecisionTreeRegressor(maxDepth=_depth(params), minInstancesPerNode=_min_instances(params),
-                                       seed=seed, **common)
-    if name == "GradientBoostingRegressor":
-        return R.GBTRegressor(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or 3),
-                              stepSize=float(params.get("learning_rate", 0.1)), seed=seed, **common)
-    if name in ("XGBRegressor", "LGBMRegressor", "CatBoostRegressor"):
-        depth, lr = {"XGBRegressor": (6, 0.3), "LGBMRegressor": (5, 0.1), "CatBoostRegressor": (6, 0.03)}[name]
-        return R.GBTRegressor(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or depth),
-                              stepSize=float(params.get("learning_rate", lr)), seed=seed, **common)
-    if name == "RandomForestClassifier":
-        return C.RandomForestClassifier(numTrees=int(ne or 100), maxDepth=_depth(params), featureSubsetStrategy="sqrt",
-                                        minInstancesPerNode=_min_instances(params), seed=seed, **common)
-    if name == "BaggingClassifier":
-        return C.RandomForestClassifier(numTrees=int(ne or 10), maxDepth=MAX_SPARK_DEPTH, featureSubsetStrategy="all",
-                                        seed=seed, **common)
-    if name == "DecisionTreeClassifier":
-        return C.DecisionTreeClassifier(maxDepth=_depth(params), minInstancesPerNode=_min_instances(params),
-                                        seed=seed, **common)
-    if name in ("GradientBoostingClassifier", "XGBClassifier", "LGBMClassifier", "CatBoostClassifier"):
-        depth, lr = {"GradientBoostingClassifier": (3, 0.1), "XGBClassifier": (6, 0.3),
-                     "LGBMClassifier": (5, 0.1), "CatBoostClassifier": (6, 0.03)}[name]
-        gbt = C.GBTClassifier(maxIter=int(ne or 100), maxDepth=int(params.get("max_depth") or depth),
-                              stepSize=float(params.get("learning_rate", lr)), seed=seed, **common)
-        return gbt if n_classes <= 2 else C.OneVsRest(classifier=gbt, parallelism=min(n_classes, 8), **linear)
+def spark_estimator(name: str, params: dict, n: int, n_classes: int):
+    """Spark ML estimator with scikit-learn's defaults for ``name``; features 'features', label 'label', weight 'weight'."""
+    from pyspark.ml import classification as C
+    columns = dict(featuresCol="features", labelCol="label", weightCol="weight")
     if name == "LogisticRegression":
         c = float(params.get("C", 1.0))
         return C.LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
                                     maxIter=int(params.get("max_iter", 100)), tol=float(params.get("tol", 1e-4)),
-                                    **linear)
+                                    **columns)
     if name in ("SVC", "SGDClassifier"):
         reg = 1.0 / (float(params.get("C", 1.0)) * n) if name == "SVC" else float(params.get("alpha", 1e-4))
         # scikit-learn iterates until its tolerance; Spark's OWLQN also stops after 100 rounds
         iters = int(params["max_iter"]) if int(params.get("max_iter", -1)) > 0 else 100
         # scikit-learn's SVC and SGDClassifier stop at tol=1e-3
         svm = C.LinearSVC(regParam=reg, standardization=False, maxIter=iters, tol=float(params.get("tol", 1e-3)),
-                          **linear)
-        return svm if n_classes <= 2 else C.OneVsRest(classifier=svm, parallelism=min(n_classes, 8), **linear)
+                          **columns)
+        return svm if n_classes <= 2 else C.OneVsRest(classifier=svm, parallelism=min(n_classes, 8), **columns)
     raise KeyError(name)
 
 
-def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, task: str, params: dict) -> SparkMLFitted:
-    """Assemble features and fit the Spark ML estimator of ``name``.
+def counted_rows(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The distinct rows with a target and their number ``weight``, dealt by their values.
+
+    Equal rows, however many, are one row with a weight, so no task gets more than its share; a fit depends
+    neither on cores nor on the layout of the input."""
+    rows = df.where(F.col(quote(target)).isNotNull()).groupBy(*[quote(c) for c in features], quote(target)).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = written(rows, "counted")
+    n = max(FIT_PARTITIONS, math.ceil(rows.count() / FIT_ROWS))
+    by = [quote(c) for c in (*features, target)]
+    return rows.repartition(n, *by).sortWithinPartitions(*by)
+
+
+def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, params: dict) -> SparkMLFitted:
+    """Assemble features and fit the Spark ML classifier of ``name``.
 
     Class labels are indexed in ascending class order from the distinct
     classes (one row per class) and mapped back with a literal map, so
@@ -476,43 +435,31 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, tas
     """
     from pyspark import StorageLevel
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    label_type = df.schema[target].dataType
-    # Spark ML reads its input several times (metadata, split candidates, tree
-    # points): keep the prepared rows once instead of recomputing their lineage.
-    rows = df.where(F.col(target).isNotNull()).select(*features, target)
-    # Spark's bagging draws per partition: rows are dealt by value to a count that follows the rows, and
-    # sorted, so a fit does not depend on cores or on the layout of the input
-    n = max(FIT_PARTITIONS, math.ceil(rows.count() / FIT_ROWS))
-    data = rows.repartition(n, *features, target).sortWithinPartitions(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    data = counted_rows(df, features, target)
+    if name == "MLPClassifier":
+        # no weights there: every row by itself, dealt by its values and its number among equal ones
+        data = data.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+        by = [quote(c) for c in (*features, target)]
+        data = data.repartition(max(FIT_PARTITIONS, data.rdd.getNumPartitions()), *by, "__i").sortWithinPartitions(*by, "__i").drop("__i")
+    # Spark ML reads its input once for each iteration
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_spark_ml(data, assembler, features, target, name, task, params, label_type)
-    finally:
-        data.unpersist()
-
-
-def _fit_spark_ml(data, assembler, features, target, name, task, params, label_type):
-    n = data.count()
-    if task == "classification":
         classes = _class_list(data, target)
         to_index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        data = data.withColumn("label", to_index[F.col(target)])
-        k = len(classes)
+        k, n = len(classes), int(data.agg(F.sum("weight")).first()[0] or 0)
+        data = data.withColumn("label", to_index[F.col(quote(target))])
         if name == "MLPClassifier":
             from pyspark.ml.classification import MultilayerPerceptronClassifier
-            est = MultilayerPerceptronClassifier(layers=[len(features), 100, max(k, 2)],
-                                                 maxIter=int(params.get("max_iter", 200)), seed=42,
+            est = MultilayerPerceptronClassifier(layers=[len(features), 100, max(k, 2)], maxIter=int(params.get("max_iter", 200)), seed=42,
                                                  featuresCol="features", labelCol="label")
         else:
-            est = spark_estimator(name, task, params, n, 0.0, k, data.sparkSession)
-        model = Pipeline(stages=[assembler, est]).fit(data)
-        return SparkMLFitted(name, task, model, label_type, classes=classes)
-    data = data.withColumn("label", _x(target))
-    est = spark_estimator(name, task, params, n, 0.0, 0, data.sparkSession)
-    model = Pipeline(stages=[assembler, est]).fit(data)
-    return SparkMLFitted(name, task, model, label_type)
+            est = spark_estimator(name, params, n, k)
+        return SparkMLFitted(name, "classification", Pipeline(stages=[assembler, est]).fit(data), df.schema[target].dataType, classes=classes)
+    finally:
+        data.unpersist()
 
 
-# ------------------------------------------------------------------ boosting and extra trees
+# ------------------------------------------------------------------ AdaBoost
 @dataclass
 class EnsembleFitted(Fitted):
     """Members applied as columns in one pass, combined row by row (no shuffle).
@@ -642,59 +589,6 @@ def fit_adaboost(df: DataFrame, features: list[str], target: str, task: str, par
     return EnsembleFitted(name, task, members, df.schema[target].dataType, classes)
 
 
-def fit_extra_trees(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> EnsembleFitted:
-    """Trees grown on features cut at random thresholds, no bootstrap.
-
-    Each tree gets its own uniform random thresholds per feature (drawn
-    between the feature's min and max), so its splits can only fall on
-    random points; the ensemble averages (regression) or votes. An
-    approximation of extremely randomised trees, which draw a threshold per
-    node instead.
-    """
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import Bucketizer
-    from pyspark.ml.regression import DecisionTreeRegressor
-    trees = int(params.get("n_estimators", 100))
-    n_thr = int(params.get("thresholds", 8))
-    rng = random.Random(int(params.get("random_state", 42) or 42))
-    data = df.where(F.col(target).isNotNull())
-    bounds = data.agg(*[F.min(_x(f)).alias(f"a{i}") for i, f in enumerate(features)],
-                      *[F.max(_x(f)).alias(f"b{i}") for i, f in enumerate(features)]).first()
-    classes = None
-    if task == "classification":
-        classes = _class_list(df, target)
-        mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        data = data.withColumn("label", mapping[F.col(target)])
-    else:
-        data = data.withColumn("label", _x(target))
-    ensure_checkpoint_dir(df.sparkSession)
-    data = data.select(*[_x(f).alias(f) for f in features], "label").checkpoint(eager=True)
-    members = []
-    for t in range(trees):
-        splits = []
-        for i in range(len(features)):
-            lo, hi = bounds[f"a{i}"], bounds[f"b{i}"]
-            cuts = sorted({rng.uniform(lo, hi) for _ in range(n_thr)}) if hi > lo else []
-            splits.append([-float("inf")] + cuts + [float("inf")])
-        bcols = [f"_t{t}_b{i}" for i in range(len(features))]
-        fcol = f"_t{t}_f"
-        bucket = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=bcols, handleInvalid="keep")
-        asm = VectorAssembler(inputCols=bcols, outputCol=fcol)
-        est = (DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor)(
-            featuresCol=fcol, maxDepth=_depth(params), maxBins=max(2, n_thr + 2), seed=rng.randrange(2 ** 31),
-            maxMemoryInMB=tree_memory_mb(df.sparkSession), **{k: v for k, v in TREE_OPTS.items() if k != "maxBins"})
-        tree = est.fit(asm.transform(bucket.transform(data)))
-
-        def make(df_, bucket=bucket, asm=asm):
-            casted = df_.select("*", *[_x(f).alias(f"_c_{f}") for f in features])
-            b = Bucketizer(splitsArray=bucket.getSplitsArray(), inputCols=[f"_c_{f}" for f in features],
-                           outputCols=bucket.getOutputCols(), handleInvalid="keep")
-            return asm.transform(b.transform(casted)).drop(*[f"_c_{f}" for f in features], *bucket.getOutputCols())
-        members.append((1.0, _tree_member(tree, fcol, make)))
-    name = "ExtraTreesClassifier" if task == "classification" else "ExtraTreesRegressor"
-    return EnsembleFitted(name, task, members, df.schema[target].dataType, classes)
-
-
 # ------------------------------------------------------------------ dispatch
 LINEAR_KIND = {"LinearRegression": "ols", "Ridge": "ridge", "Lasso": "lasso", "ElasticNet": "elasticnet",
                "SGDRegressor": "sgd"}
@@ -704,6 +598,7 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
     """Fit model ``name`` for ``task``; T11 fallback for names Spark cannot fit.
 
     ``key`` names columns that identify a row, from which tree samples are drawn; without them rows are known by their values."""
+    from fathom.plans.boosting import fit_boosting
     from fathom.plans.forest import KINDS, fit_forest
     from fathom.plans.registry_models import resolve_estimator_name
     params = dict(params or {})
@@ -720,15 +615,13 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
         m = fit_knn(df, features, target, task, params)
     elif actual in ("AdaBoostRegressor", "AdaBoostClassifier"):
         m = fit_adaboost(df, features, target, task, params)
+    elif actual.startswith(("GradientBoosting", "XGB", "LGBM", "CatBoost")):
+        m = fit_boosting(df, features, target, actual, task, params)
     elif actual in KINDS:
         m = fit_forest(df, features, target, actual, task, params, key)
     else:
-        m = fit_spark_ml(df, features, target, actual, task, params)
-    if actual.startswith(("XGB", "LGBM", "CatBoost")):
-        note = f"{actual} is fitted by Spark's gradient-boosted trees with that library's default depth and rate"
-    if params.get("max_depth") and int(params["max_depth"]) > MAX_SPARK_DEPTH:
-        note = f"max_depth {params['max_depth']} is more than Spark's {MAX_SPARK_DEPTH}"
-    m.note = note
+        m = fit_spark_ml(df, features, target, actual, params)
+    m.note = note or getattr(m, "note", None)
     m.name = actual
     return m
 

@@ -77,7 +77,7 @@ def _train(run: Run, res: RunResult) -> RunResult:
     train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model, best, scores = S.search(train, b.features, b.target, name, run.task, S.param_grid(name, run.task, None, run.grid_on),
-                                       randomized=run.randomized, parallelism=run.parallelism)
+                                       randomized=run.randomized, parallelism=run.parallelism, key=run.key)
     finally:
         train.unpersist()
     pred = model.predict(data.where(F.col("split") == "test")).select(
@@ -159,7 +159,7 @@ def compare_models(spark: SparkSession, bundle: Bundle, models: list[str], task:
     train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
     test = data.where(F.col("split") == "test")
     try:
-        fitted = {name: S.search(train, bundle.features, bundle.target, name, task, S.param_grid(name, task, None, use_tuning))[0]
+        fitted = {name: S.search(train, bundle.features, bundle.target, name, task, S.param_grid(name, task, None, use_tuning), key=key)[0]
                   for name in models}
     finally:
         train.unpersist()

@@ -24,6 +24,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.plans import estimators as M
+from fathom.plans.boosting import cv_boosting
+from fathom.plans.forest import KINDS, NESTED, cv_forest
 
 # Default grids of the reference, per task and model.
 DEFAULT_REGRESSION_GRIDS = {
@@ -83,10 +85,17 @@ def _score(model, held: DataFrame, target: str, task: str) -> float:
 
 
 def cv_score(train: DataFrame, features: list[str], target: str, name: str, task: str,
-             combos: list[tuple[int, dict]], k: int = CV_FOLDS, parallelism: int = 2) -> list[dict]:
-    """Mean held-out score (r2 / accuracy) per combination over the ``fold`` column."""
+             combos: list[tuple[int, dict]], k: int = CV_FOLDS, parallelism: int = 2, key: list[str] | None = None) -> list[dict]:
+    """Mean held-out score (r2 / accuracy) per combination over the ``fold`` column.
+
+    Linear models are scored from moments, forests from one forest for all folds and combinations, boosting with
+    all folds in the same rounds; other models by a fit for each combination and fold."""
     if name in M.LINEAR_KIND:
         return cv_linear(train, features, target, name, combos, k)
+    if name in KINDS and all(set(p) <= set(NESTED) for _, p in combos):
+        return cv_forest(train, features, target, name, task, combos, k, key)
+    if name.startswith(("GradientBoosting", "XGB", "LGBM", "CatBoost")):
+        return cv_boosting(train, features, target, name, task, combos, k)
     data = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [(cid, params, f) for cid, params in combos for f in range(k)]
@@ -184,7 +193,7 @@ def scores_frame(spark, scores: list[dict]) -> DataFrame:
 
 def search(train: DataFrame, features: list[str], target: str, name: str, task: str,
            grid: dict, randomized: bool = False, n_iter: int = N_ITER, seed: int = 42,
-           parallelism: int = 2):
+           parallelism: int = 2, key: list[str] | None = None):
     """(fitted model on all train rows, best combination, score table).
 
     ``train`` carries the ``fold`` column (T2/T3). An empty grid fits the
@@ -192,13 +201,13 @@ def search(train: DataFrame, features: list[str], target: str, name: str, task:
     """
     spark = train.sparkSession
     if not grid:
-        return M.fit(train, features, target, name, task, {}), None, None
+        return M.fit(train, features, target, name, task, {}, key), None, None
     combos = list(enumerate(expand_grid(grid)))
     if name == "SVC":        # only the linear kernel is fitted; the others would repeat its scores
         combos = [(i, dict(c, kernel="linear")) for i, c in combos if c.get("kernel", "linear") == "linear"] or combos[:1]
     if randomized:
         combos = random_search_sample([c for _, c in combos], n_iter, seed)
-    scores = cv_score(train, features, target, name, task, combos, parallelism=parallelism)
+    scores = cv_score(train, features, target, name, task, combos, parallelism=parallelism, key=key)
     best = select_best(scores)
-    model = M.fit(train, features, target, name, task, best["params"])
+    model = M.fit(train, features, target, name, task, best["params"], key)
     return model, best, scores_frame(spark, scores)
