@@ -258,12 +258,12 @@ def _symmetric_rows(cuts: list, stands: list, rule: T.Rule, depth: int, width: i
         s = rule.expand(np.concatenate([np.frombuffer(x).reshape(n, width) for x, n in zip(parts["sent"], parts["n"])]))
         node, levels, totals = np.zeros(len(s), np.int64), [], s.sum(0)[None, :]
         for level in range(depth):
-            h = np.zeros(((1 << level) * int(sizes.sum()), rule.width))
+            h = np.zeros((1 << level, int(sizes.sum()), rule.width))
             for f in range(d):
-                code = node * int(sizes.sum()) + offset[f] + np.where(bins[f] == MISSING, sizes[f] - 1, bins[f])
+                code = node * sizes[f] + np.where(bins[f] == MISSING, sizes[f] - 1, bins[f])
                 for c in range(rule.width):
-                    h[:, c] += np.bincount(code, weights=s[:, c], minlength=len(h))
-            f, cut, side, left = symmetric_cut(h.reshape(1 << level, -1, rule.width), sizes, rule)
+                    h[:, offset[f]:offset[f + 1], c] = np.bincount(code, weights=s[:, c], minlength=sizes[f] << level).reshape(1 << level, -1)
+            f, cut, side, left = symmetric_cut(h, sizes, rule)
             if f < 0:
                 break
             levels.append((f, cut, side))
@@ -375,7 +375,7 @@ def boost(binned: Binned, booster: Booster, folds: list[int] = (-1,), local: int
             trees = grow_symmetric(binned, out.blocks, members, source, rule, booster.depth, local)
         else:
             worth = (lambda ts: [best_first(t, booster.leaves)[1] for t in ts]) if booster.leaves else None
-            trees = T.joined(T.grow(binned, members, [turn] * len(members), source, rule, local=local, chosen=worth, blocks=out.blocks))
+            trees = T.joined(T.grow(binned, members, [turn] * len(members), source, rule, local=local, chosen=worth, blocks=out.blocks, collect=True))
             if booster.leaves:
                 trees = [best_first(t, booster.leaves)[0] for t in trees]
         if all(len(t.feature) == 1 and t.value[0, 0] == 0 for t in trees):

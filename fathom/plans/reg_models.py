@@ -338,7 +338,7 @@ def _reg(name, params=None):
         d, _ = label_encode(d, I.LINEPART_FEATURES)
         # the split passes over its input several times: join and encode once
         s = T.train_test_split(written(d, "linepart"), LI_KEYS, 0.2, 42)
-        m = M.fit(s.where("split = 'train'"), I.LINEPART_FEATURES, "l_extendedprice", name, "regression", params)
+        m = M.fit(s.where("split = 'train'"), I.LINEPART_FEATURES, "l_extendedprice", name, "regression", params, LI_KEYS)
         return m.predict(s.where("split = 'test'")).select(
             *LI_KEYS, F.col("l_extendedprice").alias("y_true"), F.col("prediction").alias("y_pred"))
     q.__doc__ = f"{name} on line items with part attributes (label-encoded flags), predicted on test rows."
@@ -351,16 +351,13 @@ def _clf(name, params=None):
         dims = [f"e{i}" for i in range(64)]
         wide = s.select("vec_id", "label", "split", *[F.col("embedding")[i].cast("double").alias(f"e{i}")
                                                       for i in range(64)])
-        m = M.fit(wide.where("split = 'train'"), dims, "label", name, "classification", params)
+        m = M.fit(wide.where("split = 'train'"), dims, "label", name, "classification", params, ["vec_id"])
         return m.predict(wide.where("split = 'test'")).select(
             "vec_id", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
     q.__doc__ = f"{name} over the 64 embedding dimensions, predicted on test rows."
     return q
 
 
-# M1 uses max_depth=10 (a value of the reference's default grid): fully grown trees
-# (max_depth=None, supported and tested on small tables) have about one leaf per
-# training row, and Spark's level-wise learner ships a histogram for every node.
 for _id, _name, _p in [("M1", "RandomForestRegressor", None), ("M2", "GradientBoostingRegressor", None),
                        ("M3", "DecisionTreeRegressor", None), ("M4", "ExtraTreesRegressor", None),
                        ("M10", "AdaBoostRegressor", None), ("M12", "BaggingRegressor", None),
@@ -368,7 +365,7 @@ for _id, _name, _p in [("M1", "RandomForestRegressor", None), ("M2", "GradientBo
     register(f"{_id}_{_name}")(_reg(_name, _p))
 
 for _id, _name, _p in [("M14", "RandomForestClassifier", None), ("M14b", "DecisionTreeClassifier", None),
-                       ("M16", "GradientBoostingClassifier", {"n_estimators": 20}),
+                       ("M16", "GradientBoostingClassifier", None),
                        ("M17", "ExtraTreesClassifier", None), ("M18", "LogisticRegression", None),
                        ("M19", "SVC", {"kernel": "linear"}), ("M20", "SGDClassifier", None),
                        ("M21", "MLPClassifier", None), ("M22", "AdaBoostClassifier", None)]:
@@ -401,7 +398,8 @@ def e6_verdict_classification(spark, sf):
     return E.verdict(E.classification_metrics(gnb_predictions(spark, sf)), "GaussianNB", "classification")
 
 
-for _id, _name, _p in [("M14c", "BaggingClassifier", None), ("M16b", "XGBClassifier", {"n_estimators": 20})]:
+for _id, _name, _p in [("M14c", "BaggingClassifier", None), ("M16b", "XGBClassifier", None), ("M16c", "LGBMClassifier", None),
+                       ("M16d", "CatBoostClassifier", None)]:
     register(f"{_id}_{_name}")(_clf(_name, _p))
 
 

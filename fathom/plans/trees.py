@@ -512,15 +512,15 @@ def _finish(cuts: list, stands: list, rule: Rule, width: int):
 class Grown:
     """Members' trees: the levels that were grown together, and a table ``member, node, tree`` of what is below some of their leaves."""
     tops: list
-    below: DataFrame | None
+    below: DataFrame | list | None                  # a written table, or its rows where the caller wants them all
     nodes: list = field(default_factory=list)       # for each member the leaves that go on
 
 
 def grow(binned: Binned, members: list, trees: list[int], source: Source, rule: Rule, seed: int = 42, local: int | None = None,
-         chosen=None, blocks: DataFrame | None = None) -> Grown:
+         chosen=None, blocks: DataFrame | None = None, collect: bool = False) -> Grown:
     """Trees of all ``members``; ``trees`` are the numbers that their random draws follow.
 
-    ``chosen(growing trees)`` may name the nodes of each member that are worth splitting (best-first growth)."""
+    ``collect`` is for trees of a bounded size. ``chosen(growing trees)`` may name the nodes of each member that are worth splitting (best-first growth)."""
     local = LOCAL if local is None else local
     d, blocks = len(binned.features), binned.blocks if blocks is None else blocks
     own = [Growing(rule) for _ in members]
@@ -531,6 +531,8 @@ def grow(binned: Binned, members: list, trees: list[int], source: Source, rule:
         first = rule.first_features(path, d)[0]
         state.append({0: np.sort(first[:rule.max_features or d]).astype(np.int32)} if d else {})
     here: list[dict] = [{} for _ in members]
+    if binned.n_rows <= local:                       # one task finishes the whole tree of a member
+        here, state = [{0: True} for _ in members], [{} for _ in members]
     wide = set()
     first_level = True
     while any(state):
@@ -575,13 +577,13 @@ def grow(binned: Binned, members: list, trees: list[int], source: Source, rule:
         width = 3 + (rule.extra if rule.kind != "gini" else 0)
         below = blocks.mapInArrow(_rows_of(binned.cuts, members, tops, nodes, places, source, 256), ROWS).groupBy("member", "node").applyInPandas(
                 _finish(binned.cuts, binned.stands, rule, width), "member int, node int, tree binary")
-        below = written(below, "trees")
+        below = below.collect() if collect else written(below, "trees")
     return Grown(tops, below, nodes)
 
 
 def joined(grown: Grown) -> list[Tree]:
     """Whole trees on the driver; the caller has checked their size."""
-    below = {} if grown.below is None else {(r.member, r.node): Tree.unpacked(r.tree) for r in grown.below.collect()}
+    below = {} if grown.below is None else {(r.member, r.node): Tree.unpacked(r.tree) for r in (grown.below if isinstance(grown.below, list) else grown.below.collect())}
     out = []
     for m, top in enumerate(grown.tops):
         parts = {k: [getattr(top, k).copy()] for k in ("feature", "cut", "missing_left", "left", "gain", "rows", "value")}
