@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.bundle import quote
 from fathom.plans import trees as T
-from fathom.plans.binned import Binned, bin_matrix, binned_column, blocks_in, bootstrap, constants, feature, pack_cells, prepare
+from fathom.plans.binned import BLOCK, Binned, bin_matrix, binned_column, blocks_in, bootstrap, constants, feature, pack_cells, prepare
 from fathom.plans.trees import Tree
 from fathom.session import written
 
-#: Bytes of a model that every task may hold, and cells of a row of routed ones.
-MODEL, PART = 1 << 26, 1 << 10
+#: Bytes of a model that every task may hold, and bytes of values that are added up in one group.
+MODEL, ADDED = 1 << 26, 1 << 26
 #: Routed rows of one (tree, node) that meet its tree in one group, about.
 SHARE = 1 << 20
 FULL = [(None, 0)]
@@ -78,7 +78,7 @@ def _seed(params: dict) -> int:
 
 
 # ------------------------------------------------------------------ routing cells through a forest
-def _route(tops: list, nodes: list, members: list, d: int, variants: list, sizes: list[int], k: int, score: bool):
+def _route(tops: list, nodes: list, members: list, d: int, variants: list, sizes: list[int], k: int, score: bool, size: int):
     """Blocks -> (block, part, sums, ...) of what ends in the upper levels, and (member, node, ...) of what goes on.
 
     ``sums`` are (sizes, variants, cells, values); with ``score`` a member sees the cells of its own fold."""
@@ -104,11 +104,11 @@ def _route(tops: list, nodes: list, members: list, d: int, variants: list, sizes
                     for n in np.unique(node[node >= 0]).tolist():
                         at = order[np.searchsorted(node[order], n):np.searchsorted(node[order], n, side="right")]
                         skip = sum(1 << v for v in range(len(variants)) if not goes[v, at[0]])
-                        for part in np.unique(rows[at] // PART).tolist():
-                            own = rows[at][rows[at] // PART == part]
+                        for part in np.unique(rows[at] // size).tolist():
+                            own = rows[at][rows[at] // size == part]
                             on.append((b.block, part, m, n, skip, len(own), own.astype(np.int32).tobytes(), np.ascontiguousarray(b.bins[:, own]).tobytes()))
-            out = [(b.block, p, -1, -1, 0, min(PART, b.n - p * PART), np.arange(p * PART, min(b.n, (p + 1) * PART), dtype=np.int32).tobytes(),
-                    np.ascontiguousarray(sums[:, :, p * PART:(p + 1) * PART]).tobytes()) for p in range(-(-b.n // PART))] + on
+            out = [(b.block, p, -1, -1, 0, min(size, b.n - p * size), np.arange(p * size, min(b.n, (p + 1) * size), dtype=np.int32).tobytes(),
+                    np.ascontiguousarray(sums[:, :, p * size:(p + 1) * size]).tobytes()) for p in range(-(-b.n // size))] + on
             for at in range(0, len(out), 256):
                 part = out[at:at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(
@@ -126,22 +126,34 @@ def _below(d: int, variants: list):
         if not len(cells) or not len(tree):
             return pd.DataFrame({c.split()[0]: [] for c in SUMS.split(", ")})
         t, depth = Tree.unpacked(tree["tree"].iloc[0]), int(tree["depth"].iloc[0])
-        out = []
-        for r in cells.itertuples():
-            ends = t.truncated(np.frombuffer(r.data, np.uint8).reshape(d, r.n), variants, depth)
-            value = t.value[ends]
+        rows = list(cells.itertuples())
+        ends = t.truncated(np.concatenate([np.frombuffer(r.data, np.uint8).reshape(d, r.n) for r in rows], axis=1), variants, depth)
+        value, out, at = t.value[ends], [], 0
+        for r in rows:
+            own = np.ascontiguousarray(value[:, at:at + r.n])
+            at += r.n
             for v in range(len(variants)):
                 if r.skip >> v & 1:
-                    value[v] = 0.0
-            out.append((r.block, r.part, r.member, r.n, r.at, value.tobytes()))
+                    own[v] = 0.0
+            out.append((r.block, r.part, r.member, r.n, r.at, own.tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SUMS.split(", ")])
     return work
 
 
+def part_size(members: int, variants: list, k: int) -> int:
+    """Cells of a block whose values of all members are added up in one group."""
+    return max(64, min(BLOCK, ADDED // (members * len(variants) * k * 8)))
+
+
+def parts_of(blocks: DataFrame, size: int, *cols: str) -> DataFrame:
+    """``cols`` of every block for each of its parts."""
+    return blocks.select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / size).cast("int") - 1)).alias("part"), *cols).groupBy("block", "part")
+
+
 def routed_sums(grown: T.Grown, members: list, blocks: DataFrame, d: int, variants: list, sizes: list[int], k: int, score: bool, n_rows: int) -> DataFrame:
     """``block, part, member, n, at, data``: values of cells to be added up; member -1 has the sums of the upper levels."""
     spark = blocks.sparkSession
-    routed = blocks.mapInArrow(_route(grown.tops, grown.nodes, members, d, variants, sizes, k, score), ROUTED)
+    routed = blocks.mapInArrow(_route(grown.tops, grown.nodes, members, d, variants, sizes, k, score, part_size(len(members), variants, k)), ROUTED)
     if grown.below is None:
         return routed.select("block", "part", "member", "n", "at", "data")
     routed = written(routed, "routed")
@@ -212,9 +224,8 @@ def cv_forest(train: DataFrame, features: list[str], target: str, name: str, tas
                         out.append((f, s, v, w.sum(), (w * (z - found[:, 0] / size) ** 2).sum(), (w * z).sum(), (w * z * z).sum()))
         return pd.DataFrame(out, columns=["fold", "s", "v", "n", "e", "z", "zz"])
     # a block's target and weights come to each of its parts
-    parts = sums.groupBy("block", "part")
-    truth = binned.blocks.select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"), "y", "c", "fold")
-    scored = parts.cogroup(truth.groupBy("block", "part")).applyInPandas(judge, "fold int, s int, v int, n double, e double, z double, zz double") \
+    truth = parts_of(binned.blocks, part_size(len(members), variants, width), "y", "c", "fold")
+    scored = sums.groupBy("block", "part").cogroup(truth).applyInPandas(judge, "fold int, s int, v int, n double, e double, z double, zz double") \
         .groupBy("fold", "s", "v").agg(*[F.sum(x).alias(x) for x in ("n", "e", "z", "zz")]).collect()      # folds x combinations
     by: dict = {}
     for r in scored:
@@ -282,8 +293,8 @@ class ForestFitted:
             own = np.frombuffer(packed["bins"].iloc[0], np.uint8).reshape(d, -1)[:, at].T
             found = total[0, 0].argmax(1).astype(float) if task == "classification" else mean + total[0, 0, :, 0] / n_trees
             return pd.DataFrame({"__of": [x.tobytes() for x in np.ascontiguousarray(own)], "__value": found})
-        parts = blocks.select("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"), "bins")
-        found = sums.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInPandas(finish, "__of binary, __value double")
+        parts = parts_of(blocks, part_size(n_trees, FULL, width), "bins")
+        found = sums.groupBy("block", "part").cogroup(parts).applyInPandas(finish, "__of binary, __value double")
         out = rows.join(found, rows["__bins"] == found["__of"], "left")
         return out.withColumn("prediction", self._prediction(F.col("__value"))).select(*[quote(c) for c in df.columns], "prediction")
 

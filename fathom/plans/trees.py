@@ -30,7 +30,7 @@ from fathom.plans.binned import BINS, MISSING, Binned, blocks_in
 from fathom.session import written
 
 #: Rows of a node that one task finishes, and bytes of histograms that a task holds.
-LOCAL, HELD = 1 << 14, 1 << 26
+LOCAL, HELD = 1 << 16, 1 << 26
 #: Gains closer than this part of the larger are equal.
 NEAR = 1e-10
 _U = np.uint64
@@ -179,7 +179,9 @@ def judge(best: Best, f: int, node: np.ndarray, bins: np.ndarray, s: np.ndarray,
         order = np.argsort(node[at], kind="stable")
         at, cut = at[order], cut[order]
     else:
-        at = np.setdiff1d(np.arange(len(node)), last, assume_unique=True)      # between two bins of a node
+        between = np.ones(len(node), bool)
+        between[last] = False
+        at = np.flatnonzero(between)                                           # between two bins of a node
         cut = bins[at]
     if not len(at):
         return
@@ -232,20 +234,24 @@ class Tree:
     rows: np.ndarray
     value: np.ndarray           # (nodes, values), of inner nodes too
 
-    KINDS = (("feature", np.int32), ("cut", np.uint8), ("missing_left", np.uint8), ("left", np.int32), ("gain", np.float64), ("rows", np.float64))
+    KINDS = (("feature", np.int16), ("cut", np.uint8), ("missing_left", np.uint8), ("left", np.int32), ("gain", np.float64), ("rows", np.float32))
 
-    def packed(self) -> bytes:
-        parts = [getattr(self, n).astype(t).tobytes() for n, t in self.KINDS] + [self.value.astype(np.float64).tobytes()]
-        return np.array(self.value.shape, np.int64).tobytes() + b"".join(parts)
+    def packed(self, gain: bool = True) -> bytes:
+        """The tree as bytes, without its gains where nothing is cut by them."""
+        parts = [getattr(self, n).astype(t).tobytes() for n, t in self.KINDS if gain or n != "gain"] + [self.value.astype(np.float64).tobytes()]
+        return np.array([*self.value.shape, gain], np.int64).tobytes() + b"".join(parts)
 
     @classmethod
     def unpacked(cls, data: bytes) -> "Tree":
-        n, k = np.frombuffer(data, np.int64, 2).tolist()
-        at, out = 16, []
-        for _, t in cls.KINDS:
+        n, k, gain = np.frombuffer(data, np.int64, 3).tolist()
+        at, out = 24, []
+        for name, t in cls.KINDS:
+            if name == "gain" and not gain:
+                out.append(np.zeros(n))
+                continue
             out.append(np.frombuffer(data, t, n, at))
             at += n * np.dtype(t).itemsize
-        return cls(*out, np.frombuffer(data, np.float64, n * k, at).reshape(n, k))
+        return cls(*out, np.frombuffer(data[at:], np.float64).reshape(n, k))
 
     def step(self, node: np.ndarray, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The children of inner nodes for the given rows (columns of bins)."""
@@ -312,6 +318,7 @@ def grow_here(bins: np.ndarray, s: np.ndarray, rule: Rule, depth: int, path, sta
     """The tree below a node: ``bins`` (features, rows), ``s`` (rows, statistics)."""
     d, n = bins.shape
     sorted_by = [np.argsort(b, kind="stable").astype(np.int32) for b in bins]
+    judged = s if rule.kind == "gini" else np.ascontiguousarray(s[:, :3])          # what cuts are judged by
     parts = {k: [] for k in ("feature", "cut", "missing_left", "left", "gain", "total")}
     node, live = np.zeros(n, np.int64), np.arange(n)
     paths, made = np.atleast_1d(np.asarray(path, np.uint64)), 1
@@ -325,6 +332,7 @@ def grow_here(bins: np.ndarray, s: np.ndarray, rule: Rule, depth: int, path, sta
         best = Best(m)
         active = np.zeros(n, bool)
         active[live] = split[node[live]]
+        n_active = int(active.sum())
         tried = rule.first_features(paths, d)
         most = tried.shape[1] if rule.max_features is None else min(rule.max_features, d)
         for rank in [range(most), *([r] for r in range(most, d))]:
@@ -334,12 +342,16 @@ def grow_here(bins: np.ndarray, s: np.ndarray, rule: Rule, depth: int, path, sta
                 break
             uses = np.zeros((m, d), bool)
             uses[np.repeat(np.flatnonzero(open_), len(rank)), tried[open_][:, list(rank)].ravel()] = True
+            some = not uses[open_].all()
             for f in np.flatnonzero(uses.any(0)).tolist():
-                rows = sorted_by[f] = sorted_by[f][active[sorted_by[f]]]
-                rows = rows[uses[node[rows], f]]
+                if len(sorted_by[f]) > n_active:
+                    sorted_by[f] = sorted_by[f][active[sorted_by[f]]]
+                rows = sorted_by[f]
+                if some:
+                    rows = rows[uses[node[rows], f]]
                 if len(rows):
                     rows = rows[np.argsort(node[rows].astype(np.uint16 if m <= 1 << 16 else np.int64), kind="stable")]
-                    judge(best, f, node[rows], bins[f, rows], s[rows], total, rule, paths, stands[f])
+                    judge(best, f, node[rows], bins[f, rows], judged[rows], total[:, :judged.shape[1]], rule, paths, stands[f])
         taken = split & enough(best, rule, total)
         place = np.cumsum(taken) - 1
         left = np.where(taken, made + 2 * place, 0)
@@ -504,7 +516,7 @@ def _finish(cuts: list, stands: list, rule: Rule, width: int):
         sent = np.concatenate([np.frombuffer(x).reshape(n, width) for x, n in zip(parts["sent"], parts["n"])])
         path = np.array([parts["path"].iloc[0]], np.int64).view(np.uint64)
         tree = grow_here(bins, rule.expand(sent), rule, int(parts["depth"].iloc[0]), path, stands)
-        return pd.DataFrame({"member": [key[0]], "node": [key[1]], "tree": [tree.packed()]})
+        return pd.DataFrame({"member": [key[0]], "node": [key[1]], "tree": [tree.packed(rule.min_gain is not None)]})
     return work
 
 

@@ -110,7 +110,7 @@ def test_finishing_and_routing_do_not_change_a_forest(table, monkeypatch, name,
     monkeypatch.setattr(T, "HELD", 1 << 16)
     there = predicted(fit(table.repartition(2)), table)
     monkeypatch.setattr(Fo, "MODEL", 10)
-    monkeypatch.setattr(Fo, "PART", 64)
+    monkeypatch.setattr(Fo, "ADDED", 1)
     routed = predicted(fit(table), table)
     truth = table.select("id", target).toPandas().sort_values("id")[target].to_numpy()
     if task == "regression":
