@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.session import written
 
-__all__ = ["SHINGLE", "SIMILARITY", "complete_groups", "documents", "ship", "table", "words", "written"]
+__all__ = ["SHINGLE", "SIMILARITY", "complete_groups", "documents", "ship", "short_batches", "table", "words", "written"]
 
 #: Words of a shingle and the least similarity of near duplicates.
 SHINGLE = 5
@@ -32,6 +32,19 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches of this session (64 MB by default, in both processes and for every core).
+
+    A batch has 10,000 texts of any length otherwise; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -3,12 +3,13 @@
 A text falls into words (a run of word marks, U+2581, and the characters up to
 the next mark), and words are cut wherever no piece holds the two neighbouring characters; no
 piece spans such a cut, so what is between two cuts is encoded on its own. Documents are read
-once into chunks: the distinct words of each, and the texts as numbers of
-words. For every distinct word of the corpus the substrings of at most the
+once into chunks: the distinct words of each, and the texts as packed numbers of
+words. Chunks are dealt once by their number, the only exchange; all that follows
+stays with its chunk. For every distinct word of a chunk the substrings of at most the
 longest piece's length are exploded and joined to the piece table on their
-text; the matches are the edges of the word's lattice. Grouped by word and in
+text; the matches are the edges of the word's lattice. Grouped by chunk and word and in
 order of score, they are folded by higher-order functions into the
-segmentation, and the ids go back to the chunks.
+segmentation, and the ids meet their chunk again.
 
 The fold: the model at hand merges pairs (BPE), and its scores are the order
 of merges. One pass over the edges, best score and then leftmost first, joins two
@@ -29,6 +30,7 @@ and null ids included; extra columns are left behind.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from collections import defaultdict
 
@@ -36,12 +38,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.llm.catalog import register
-from fathom.llm.common import documents, ship, table, written
+from fathom.llm.common import documents, short_batches, ship, table
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model file, a path that the driver can read: from this setting of the session, else of the environment, else the default.
+MODEL_SETTING, MODEL_VARIABLE, MODEL = "spark.fathom.piece.model", "FATHOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
 #: Characters of the documents of a chunk.
@@ -49,9 +52,15 @@ CHUNK = 1 << 22
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get(MODEL_SETTING, None) or os.environ.get(MODEL_VARIABLE) or MODEL
+
+
 def model_pieces(model: str = MODEL) -> tuple[list[tuple[str, int, int]], int]:
     """``(piece, id, rank)`` of a model's ordinary pieces by falling score, and the id of the byte piece <0x00>."""
     import sentencepiece
+    if not os.path.isfile(model):
+        raise FileNotFoundError(f"no SentencePiece model at {model}: set {MODEL_SETTING} or {MODEL_VARIABLE}")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     ids.sort(key=lambda i: (-sp.get_score(i), i))
@@ -135,16 +144,18 @@ def _field(edge: Column, low: int, bits: int) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """``word, edges``: the pieces inside each word as packed longs, best score first, leftmost first."""
+    """``chunk, number, word, edges, chunk_data``: the pieces inside each word of a chunk as packed longs, best score first,
+    leftmost first. The row of a chunk that carries its data has no word and no edges."""
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")) \
-        .select("word", "i", F.explode(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(most)))).alias("k")) \
-        .select("word", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
+    spans = words.select("chunk", "number", "word", "chunk_data", F.explode_outer(F.sequence(F.lit(0), n - 1)).alias("i")) \
+        .select("chunk", "number", "word", "chunk_data", "i", F.explode_outer(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(most)))).alias("k")) \
+        .select("chunk", "number", "word", "chunk_data", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
     place = F.expr("shiftleft(cast(i as bigint), 26) | shiftleft(cast(i + k as bigint), 20)")
-    edges = spans.join(F.broadcast(pieces), "piece").select("word", F.xxhash64("word").alias("h"), (
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or chunk_data is not null").select("chunk", "number", "word", "chunk_data", (
         F.shiftleft(F.col("rank").cast("bigint"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("bigint"))).alias("e"))
-    # the hash first: it sorts faster than the word
-    return edges.groupBy("h", "word").agg(F.sort_array(F.collect_list("e")).alias("edges")).drop("h")
+    # chunks are dealt by their number, so their words are grouped where they are
+    return edges.groupBy("chunk", "number").agg(F.first("word").alias("word"), F.sort_array(F.collect_list("e")).alias("edges"),
+                                                F.first("chunk_data").alias("chunk_data"))
 
 
 def _inner(e: Column, mask: Column) -> Column:
@@ -165,7 +176,7 @@ def fold(edges: Column, n: Column) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int, most: int) -> DataFrame:
-    """``word, ids`` of the words of at most LONGEST characters that hold a piece."""
+    """``chunk, number, ids, chunk_data`` of the words of at most LONGEST characters that hold a piece, and of the rows with data."""
     cuts = lattice(words, pieces, most).withColumn("mask", fold(F.col("edges"), F.length("word")))
     mask = F.col("mask")
     own = F.filter("edges", lambda e: _ends(e, mask) & (_inner(e, mask) == 0))
@@ -186,7 +197,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int, most: int
                 bytes_of(F.substring(F.col("word"), a + 1, b - a)))
         return F.flatten(F.transform(F.slice(ms, F.lit(1), F.size(ms) - 1), segment))
     cuts = cuts.withColumn("owned", own)
-    return cuts.select("word", F.when(F.size("owned") == F.bit_count(mask) - 1, whole).otherwise(
+    return cuts.select("chunk", "number", "chunk_data", F.when(F.size("owned") == F.bit_count(mask) - 1, whole).otherwise(
         F.transform(F.array(marks), mixed)[0]).alias("ids"))
 
 
@@ -233,7 +244,7 @@ def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.n
 
 
 def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
-    """A chunk and the ids of its words -> the documents' ids and decoded texts."""
+    """A chunk and the ids of its words -> the documents' ids and decoded texts; words without ids take the queue."""
     spelt = {i: p.encode() for p, i, _ in pieces} | {first_byte + x: bytes([x]) for x in range(256)}
     top = max(spelt) + 1
     size = np.array([len(spelt.get(i, b"")) for i in range(top)])
@@ -241,12 +252,16 @@ def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
     data = np.frombuffer(b"".join(spelt.get(i, b"") for i in range(top)), np.uint8)
     known = {p: (i, r) for p, i, r in pieces}
 
-    def work(key, chunk, words):
+    def work(words):
         out = []
-        for row in chunk.itertuples():
-            ids_of: list = [None] * row.n_words
-            for number, ids, word in zip(words["number"].tolist(), words["ids"], words["word"]):
-                ids_of[number] = ids if word is None else merge_long(word, known, first_byte)
+        for row in words[words["seq"].notna()].itertuples():        # one row of a chunk
+            ids_of: list = [None] * len(row.words)
+            for number, ids in zip(words["number"].tolist(), words["ids"]):
+                if number < len(ids_of):
+                    ids_of[number] = ids
+            for number, ids in enumerate(ids_of):
+                if ids is None:
+                    ids_of[number] = merge_long(row.words[number], known, first_byte)
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids_of]) if ids_of else np.zeros(0, np.int32)
             length = np.array([len(x) for x in ids_of], np.int64)
             store = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.seq), np.uint32)
@@ -271,22 +286,25 @@ def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
     return work
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``doc, ids, text`` of every row: the ids as packed 32-bit integers, and the text that they decode to."""
     docs = documents(df, id_col, text_col)
-    known, first_byte = model_pieces(model)
+    short_batches(df.sparkSession)
+    known, first_byte = model_pieces(model or model_path(df.sparkSession))
     pieces = df.sparkSession.createDataFrame(known, "piece string, id int, rank int")
     pairs = pair_codes(known)
-    chunks = written(docs.mapInArrow(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary")
-                     .withColumn("chunk", F.xxhash64("words", "docs", "null_docs", "counts", "seq")), "chunks")
-    used = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    distinct = used.where(F.length("word") <= LONGEST).select("word").distinct()
-    encoded = encode_words(distinct, pieces, first_byte, max(len(p) for p, _, _ in known))
-    words = used.join(encoded.hint("merge"), "word", "left").select(
-        F.col("chunk").alias("of"), "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
-    packed = chunks.select("chunk", "docs", "null_docs", "counts", "seq", F.size("words").alias("n_words"))
-    return packed.groupBy("chunk").cogroup(words.groupBy("of")).applyInPandas(
-        _from_chunks(known, first_byte), "doc bigint, ids binary, text string")
+    # the only exchange: every later step keeps a chunk's rows together
+    data = "struct(words, docs, null_docs, counts, seq)"
+    chunks = docs.mapInArrow(_to_chunks(chunk, pairs), "words array<string>, docs binary, null_docs binary, counts binary, seq binary") \
+        .withColumn("chunk", F.monotonically_increasing_id()).repartition("chunk")       # equal chunks are chunks of their own
+    # a row for each word, and one behind them with the chunk's data
+    none = "cast(null as struct<words:array<string>,docs:binary,null_docs:binary,counts:binary,seq:binary>)"
+    rows = chunks.select("chunk", F.posexplode(F.expr(
+        f"concat(transform(words, w -> struct(w as word, {none} as chunk_data)), array(struct(cast(null as string) as word, {data} as chunk_data)))")).alias("number", "x")) \
+        .select("chunk", "number", "x.word", "x.chunk_data").where(f"chunk_data is not null or length(word) <= {LONGEST}")
+    encoded = encode_words(rows, pieces, first_byte, max(len(p) for p, _, _ in known))
+    return encoded.select("chunk", "number", F.when(F.col("chunk_data").isNull(), F.col("ids")).alias("ids"), "chunk_data.*") \
+        .groupBy("chunk").applyInPandas(_from_chunks(known, first_byte), "doc bigint, ids binary, text string")
 
 
 @register("op10_sentencepiece")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm import wordhash as W
 from fathom.llm.catalog import register
-from fathom.llm.common import documents, ship, table, written
+from fathom.llm.common import documents, ship, short_batches, table, written
 
 SAMPLE, FEATURES, SETS = 20_000, 1_000, 50_000
 BEGINNINGS, TIMES = (3, 4, 5, 6, 7), 3
@@ -238,6 +238,7 @@ def fit_classifier(sets: list[tuple[list[int], float, float]], n_entries: int, s
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
         label_col: str = "toxic", learnable=learn) -> tuple[dict | None, DataFrame]:
     """The fitted model (entries, bias, weights; None without labels of both kinds) and the entries of every document."""
+    short_batches(df.sparkSession)
     docs = documents(df, id_col, text_col).withColumn("learnable", F.coalesce(learnable(F.col("doc")), F.lit(False)))
     marks = labels.select(F.col(f"`{label_id}`").cast("bigint").alias("doc"), F.col(f"`{label_col}`").cast("int").alias("toxic")) \
         .where("toxic in (0, 1)").where(learnable(F.col("doc"))).groupBy("doc").agg(F.max("toxic").alias("toxic"))

@@ -38,7 +38,8 @@ def test_queue_and_fold_agree(spark, model):
     known, first_byte = P.model_pieces()
     words = ["▁internationalization", "▁" * 13, "▁xyzzy😀é", "aaaaaaaaaaaaaaaaaaa", "▁the", "éèçê", "▁Nebukadnezar's", "==--==--=="]
     pieces = spark.createDataFrame(known, "piece string, id int, rank int")
-    got = {r.word: r.ids for r in P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, first_byte, 16).collect()}
+    rows = spark.createDataFrame([(7, i, w, None) for i, w in enumerate(words)], "chunk long, number int, word string, chunk_data string")
+    got = {words[r.number]: r.ids for r in P.encode_words(rows, pieces, first_byte, 16).collect()}
     table = {p: (i, r) for p, i, r in known}
     assert got == {w: P.merge_long(w, table, first_byte) for w in words}
 
@@ -49,3 +50,15 @@ def test_defined_cases(frame):
     assert sorted((d is not None, d, t) for d, _, t in got) == sorted((d is not None, d, t or "") for d, t, *_ in rows)
     assert all(ids == [] for d, ids, _ in got if d == 1)
     assert run(frame([], SCHEMA)) == []
+    # equal chunks
+    same = run(frame([(None, "the same words", "w", "i", 1)] * 6, SCHEMA), chunk=5)
+    assert len(same) == 6 and len({(tuple(ids), t) for _, ids, t in same}) == 1
+
+
+def test_the_model_is_a_setting(frame, spark, model, tmp_path):
+    spark.conf.set(P.MODEL_SETTING, str(tmp_path / "none.model"))
+    try:
+        with pytest.raises(FileNotFoundError, match=P.MODEL_VARIABLE):
+            P.encode_decode(frame([(1, "a", "w", "i", 1)], SCHEMA))
+    finally:
+        spark.conf.unset(P.MODEL_SETTING)
