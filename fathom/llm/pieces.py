@@ -144,18 +144,22 @@ def _field(edge: Column, low: int, bits: int) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """``chunk, number, word, edges, chunk_data``: the pieces inside each word of a chunk as packed longs, best score first,
-    leftmost first. The row of a chunk that carries its data has no word and no edges."""
+    """``chunk, number, word, edges, chunk_data``: the pieces of two characters or more inside each word of a chunk as packed
+    longs, best score first, leftmost first. The row of a chunk that carries its data has no word and no edges."""
     n = F.length("word")
-    spans = words.select("chunk", "number", "word", "chunk_data", F.explode_outer(F.sequence(F.lit(0), n - 1)).alias("i")) \
-        .select("chunk", "number", "word", "chunk_data", "i", F.explode_outer(F.sequence(F.lit(1), F.least(n - F.col("i"), F.lit(most)))).alias("k")) \
+    top = F.least(n - F.col("i"), F.lit(most))
+    spans = words.select("chunk", "number", "word", "chunk_data", F.explode_outer(F.sequence(F.lit(0), n - 2)).alias("i")) \
+        .select("chunk", "number", "word", "chunk_data", "i", F.explode_outer(F.sequence(F.lit(2), top)).alias("k")) \
         .select("chunk", "number", "word", "chunk_data", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
     place = F.expr("shiftleft(cast(i as bigint), 26) | shiftleft(cast(i + k as bigint), 20)")
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or chunk_data is not null").select("chunk", "number", "word", "chunk_data", (
-        F.shiftleft(F.col("rank").cast("bigint"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("bigint"))).alias("e"))
+    # the word itself travels with its first substring only
+    first = (F.col("i") == 0) & (F.col("k") == 2)
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | F.col("chunk_data").isNotNull() | first).select(
+        "chunk", "number", F.when(first, F.col("word")).alias("word"), "chunk_data",
+        (F.shiftleft(F.col("rank").cast("bigint"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("bigint"))).alias("e"))
     # chunks are dealt by their number, so their words are grouped where they are
-    return edges.groupBy("chunk", "number").agg(F.first("word").alias("word"), F.sort_array(F.collect_list("e")).alias("edges"),
-                                                F.first("chunk_data").alias("chunk_data"))
+    return edges.groupBy("chunk", "number").agg(F.first("word", True).alias("word"), F.sort_array(F.collect_list("e")).alias("edges"),
+                                                F.first("chunk_data", True).alias("chunk_data"))
 
 
 def _inner(e: Column, mask: Column) -> Column:
@@ -175,30 +179,31 @@ def fold(edges: Column, n: Column) -> Column:
         _ends(e, mask) & (F.bit_count(_inner(e, mask)) == 1), mask.bitwiseXOR(_inner(e, mask))).otherwise(mask))
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, first_byte: int, most: int) -> DataFrame:
-    """``chunk, number, ids, chunk_data`` of the words of at most LONGEST characters that hold a piece, and of the rows with data."""
+def encode_words(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
+    """``chunk, number, ids, chunk_data`` of words of 2 to LONGEST characters, and of the rows with data.
+
+    A character that no piece joins to its neighbours is -1 less its code point instead of an id."""
     cuts = lattice(words, pieces, most).withColumn("mask", fold(F.col("edges"), F.length("word")))
-    mask = F.col("mask")
-    own = F.filter("edges", lambda e: _ends(e, mask) & (_inner(e, mask) == 0))
-    whole = F.transform(F.sort_array(F.transform(own, lambda e: F.shiftleft(_field(e, 26, 6).cast("bigint"), 20).bitwiseOR(_field(e, 0, 20).cast("bigint")))),
-                        lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
-    marks = F.filter(F.sequence(F.lit(0), F.length("word")), lambda i: F.getbit(mask, i) == 1)
-
-    def bytes_of(text):
-        code = F.hex(F.encode(text, "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)),
-                           lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + first_byte)
-
-    def mixed(ms):
-        def segment(a, k):
-            b = F.get(ms, k + 1)
-            piece = F.filter("owned", lambda e: (_field(e, 26, 6) == a) & (_field(e, 20, 6) == b))
-            return F.when(F.size(piece) > 0, F.transform(piece, lambda e: _field(e, 0, 20))).otherwise(
-                bytes_of(F.substring(F.col("word"), a + 1, b - a)))
-        return F.flatten(F.transform(F.slice(ms, F.lit(1), F.size(ms) - 1), segment))
-    cuts = cuts.withColumn("owned", own)
-    return cuts.select("chunk", "number", "chunk_data", F.when(F.size("owned") == F.bit_count(mask) - 1, whole).otherwise(
-        F.transform(F.array(marks), mixed)[0]).alias("ids"))
+    mask, low = F.col("mask"), (1 << 39) - 1
+    own = F.transform(F.filter("edges", lambda e: _ends(e, mask) & (_inner(e, mask) == 0)),
+                      lambda e: F.shiftleft(_field(e, 26, 6).cast("bigint"), 40).bitwiseOR(_field(e, 0, 20).cast("bigint")))
+    alone = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: (F.getbit(mask, i) == 1) & (F.getbit(mask, i + 1) == 1))
+    chars = F.transform(alone, lambda i: F.shiftleft(i.cast("bigint"), 40).bitwiseOR(F.lit(1 << 39)).bitwiseOR(
+        F.ascii(F.substring(F.col("word"), i + 1, F.lit(1))).cast("bigint")))
+    in_order = F.sort_array(F.when(F.bit_count(mask) - 1 == F.size(own), own).otherwise(F.concat(own, chars)))
+    return cuts.select("chunk", "number", "chunk_data", F.transform(in_order, lambda x: F.when(
+        F.getbit(x, F.lit(39)) == 1, -1 - x.bitwiseAND(F.lit(low))).otherwise(x.bitwiseAND(F.lit(low))).cast("int")).alias("ids"))
+
+
+def spell_characters(flat: np.ndarray, ends: np.ndarray, known: dict, first_byte: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with those of characters (negative) put in: a piece of its own, else its bytes; and where each word now ends."""
+    alone = np.unique(flat[flat < 0])
+    parts = [[known[c][0]] if (c := chr(-1 - x)) in known else [first_byte + b for b in c.encode()] for x in alone.tolist()]
+    table = np.concatenate([np.arange(top, dtype=np.int32), *[np.array(p, np.int32) for p in parts]])
+    length = np.concatenate([np.ones(top, np.int64), np.array([len(p) for p in parts], np.int64)])
+    start = np.cumsum(length) - length
+    out, to = _gather(table, start, length, np.where(flat < 0, top + np.searchsorted(alone, flat), flat))
+    return out, to[ends]
 
 
 def merge_long(word: str, pieces: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
@@ -261,9 +266,11 @@ def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
                     ids_of[number] = ids
             for number, ids in enumerate(ids_of):
                 if ids is None:
-                    ids_of[number] = merge_long(row.words[number], known, first_byte)
+                    w = row.words[number]
+                    ids_of[number] = [-1 - ord(w)] if len(w) == 1 else merge_long(w, known, first_byte)
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids_of]) if ids_of else np.zeros(0, np.int32)
-            length = np.array([len(x) for x in ids_of], np.int64)
+            flat, ends = spell_characters(flat, np.cumsum([0, *map(len, ids_of)]), known, first_byte, top)
+            length = np.diff(ends)
             store = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.seq), np.uint32)
             n_units, n_cuts = int(store[0]), int(store[1])
             cuts, parts, seq = np.split(store[2:], [n_units, n_units + n_cuts])
@@ -291,7 +298,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents(df, id_col, text_col)
     short_batches(df.sparkSession)
     known, first_byte = model_pieces(model or model_path(df.sparkSession))
-    pieces = df.sparkSession.createDataFrame(known, "piece string, id int, rank int")
+    # pieces of one character join nothing: they are looked up in the end
+    pieces = df.sparkSession.createDataFrame([p for p in known if len(p[0]) > 1], "piece string, id int, rank int")
     pairs = pair_codes(known)
     # the only exchange: every later step keeps a chunk's rows together
     data = "struct(words, docs, null_docs, counts, seq)"
@@ -301,8 +309,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = "cast(null as struct<words:array<string>,docs:binary,null_docs:binary,counts:binary,seq:binary>)"
     rows = chunks.select("chunk", F.posexplode(F.expr(
         f"concat(transform(words, w -> struct(w as word, {none} as chunk_data)), array(struct(cast(null as string) as word, {data} as chunk_data)))")).alias("number", "x")) \
-        .select("chunk", "number", "x.word", "x.chunk_data").where(f"chunk_data is not null or length(word) <= {LONGEST}")
-    encoded = encode_words(rows, pieces, first_byte, max(len(p) for p, _, _ in known))
+        .select("chunk", "number", "x.word", "x.chunk_data").where(f"chunk_data is not null or length(word) between 2 and {LONGEST}")
+    encoded = encode_words(rows, pieces, max(len(p) for p, _, _ in known))
     return encoded.select("chunk", "number", F.when(F.col("chunk_data").isNull(), F.col("ids")).alias("ids"), "chunk_data.*") \
         .groupBy("chunk").applyInPandas(_from_chunks(known, first_byte), "doc bigint, ids binary, text string")
 
