@@ -7,9 +7,9 @@ once into chunks: the distinct words of each, and the texts as packed numbers of
 words. Chunks are dealt once by their number, the only exchange; all that follows
 stays with its chunk. For every distinct word of a chunk the substrings of at most the
 longest piece's length are exploded and joined to the piece table on their
-text; the matches are the edges of the word's lattice. Grouped by chunk and word and in
-order of score, they are folded by higher-order functions into the
-segmentation, and the ids meet their chunk again.
+text; the matches are the edges of the word's lattice. Gathered by chunk, they are sorted
+by word and score, and each word's edges are folded by higher-order functions into the
+boundaries of its segmentation, which the chunk's ids are read from.
 
 The fold: the model at hand merges pairs (BPE), and its scores are the order
 of merges. One pass over the edges, best score and then leftmost first, joins two
@@ -35,7 +35,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -138,61 +137,49 @@ def _to_chunks(size: int, pairs: np.ndarray):
     return work
 
 
-#: An edge is one long: rank, from (6 bits), to (6 bits), id (20 bits).
-def _field(edge: Column, low: int, bits: int) -> Column:
-    return F.shiftright(edge, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+#: An edge is one long: number of the word in its chunk (32 bits), rank of the piece (20 bits), from and to (6 bits each).
+def _field(edge: Column, low: int) -> Column:
+    return F.shiftright(edge, low).bitwiseAND(F.lit(63)).cast("int")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """``chunk, number, word, edges, chunk_data``: the pieces of two characters or more inside each word of a chunk as packed
-    longs, best score first, leftmost first. The row of a chunk that carries its data has no word and no edges."""
+    """``chunk, edges, chunk_data``: the pieces of two characters or more inside the words of each chunk as packed longs,
+    a word's edges together, best score first, leftmost first. A chunk's last row carries its data instead of a word."""
     n = F.length("word")
     top = F.least(n - F.col("i"), F.lit(most))
     spans = words.select("chunk", "number", "word", "chunk_data", F.explode_outer(F.sequence(F.lit(0), n - 2)).alias("i")) \
         .select("chunk", "number", "word", "chunk_data", "i", F.explode_outer(F.sequence(F.lit(2), top)).alias("k")) \
-        .select("chunk", "number", "word", "chunk_data", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
-    place = F.expr("shiftleft(cast(i as bigint), 26) | shiftleft(cast(i + k as bigint), 20)")
-    # the word itself travels with its first substring only
-    first = (F.col("i") == 0) & (F.col("k") == 2)
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | F.col("chunk_data").isNotNull() | first).select(
-        "chunk", "number", F.when(first, F.col("word")).alias("word"), "chunk_data",
-        (F.shiftleft(F.col("rank").cast("bigint"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("bigint"))).alias("e"))
-    # chunks are dealt by their number, so their words are grouped where they are
-    return edges.groupBy("chunk", "number").agg(F.first("word", True).alias("word"), F.sort_array(F.collect_list("e")).alias("edges"),
-                                                F.first("chunk_data", True).alias("chunk_data"))
+        .select("chunk", "number", "chunk_data", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where("rank is not null or chunk_data is not null").select("chunk", "chunk_data", F.expr(
+        "shiftleft(cast(number as bigint), 32) | shiftleft(cast(rank as bigint), 12) | shiftleft(cast(i as bigint), 6) | cast(i + k as bigint)").alias("e"))
+    # chunks are dealt by their number, so their edges are grouped where they are
+    return edges.groupBy("chunk").agg(F.sort_array(F.collect_list("e")).alias("edges"), F.first("chunk_data", True).alias("chunk_data"))
 
 
 def _inner(e: Column, mask: Column) -> Column:
     """The boundaries strictly inside an edge."""
     one = F.lit(1).cast("bigint")
-    return mask.bitwiseAND(F.call_function("shiftleft", one, _field(e, 20, 6)) - F.call_function("shiftleft", one, _field(e, 26, 6) + 1))
+    return mask.bitwiseAND(F.call_function("shiftleft", one, _field(e, 0)) - F.call_function("shiftleft", one, _field(e, 6) + 1))
 
 
 def _ends(e: Column, mask: Column) -> Column:
-    return (F.getbit(mask, _field(e, 26, 6)) == 1) & (F.getbit(mask, _field(e, 20, 6)) == 1)
+    return (F.getbit(mask, _field(e, 6)) == 1) & (F.getbit(mask, _field(e, 0)) == 1)
 
 
-def fold(edges: Column, n: Column) -> Column:
-    """The boundaries (one bit each, 0 .. n) of the segmentation of a word of n characters."""
-    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
-    return F.aggregate(edges, every, lambda mask, e: F.when(
+def fold(edges: Column) -> Column:
+    """The boundaries (one bit each) of the segmentation of a word with these edges."""
+    return F.aggregate(edges, F.lit((1 << 62) - 1), lambda mask, e: F.when(
         _ends(e, mask) & (F.bit_count(_inner(e, mask)) == 1), mask.bitwiseXOR(_inner(e, mask))).otherwise(mask))
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, most: int) -> DataFrame:
-    """``chunk, number, ids, chunk_data`` of words of 2 to LONGEST characters, and of the rows with data.
-
-    A character that no piece joins to its neighbours is -1 less its code point instead of an id."""
-    cuts = lattice(words, pieces, most).withColumn("mask", fold(F.col("edges"), F.length("word")))
-    mask, low = F.col("mask"), (1 << 39) - 1
-    own = F.transform(F.filter("edges", lambda e: _ends(e, mask) & (_inner(e, mask) == 0)),
-                      lambda e: F.shiftleft(_field(e, 26, 6).cast("bigint"), 40).bitwiseOR(_field(e, 0, 20).cast("bigint")))
-    alone = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: (F.getbit(mask, i) == 1) & (F.getbit(mask, i + 1) == 1))
-    chars = F.transform(alone, lambda i: F.shiftleft(i.cast("bigint"), 40).bitwiseOR(F.lit(1 << 39)).bitwiseOR(
-        F.ascii(F.substring(F.col("word"), i + 1, F.lit(1))).cast("bigint")))
-    in_order = F.sort_array(F.when(F.bit_count(mask) - 1 == F.size(own), own).otherwise(F.concat(own, chars)))
-    return cuts.select("chunk", "number", "chunk_data", F.transform(in_order, lambda x: F.when(
-        F.getbit(x, F.lit(39)) == 1, -1 - x.bitwiseAND(F.lit(low))).otherwise(x.bitwiseAND(F.lit(low))).cast("int")).alias("ids"))
+def segmented(chunks: DataFrame) -> DataFrame:
+    """``numbers`` of the words of a chunk that have edges, and the boundaries of each, ``masks``."""
+    number = lambda i: F.shiftright(F.get("edges", i), 32)
+    begins = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: (i == 0) | (number(i) != number(i - 1)))
+    rows = chunks.withColumn("begins", F.when(F.size("edges") > 0, begins).otherwise(F.expr("cast(array() as array<int>)")))
+    ends = F.transform("begins", lambda b, j: F.coalesce(F.get("begins", j + 1), F.size("edges")))
+    rows = rows.withColumn("numbers", F.transform("begins", lambda b: number(b).cast("int"))).withColumn("ends", ends)
+    return rows.withColumn("masks", F.zip_with("begins", "ends", lambda b, z: fold(F.slice("edges", b + 1, z - b))))
 
 
 def spell_characters(flat: np.ndarray, ends: np.ndarray, known: dict, first_byte: int, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +193,37 @@ def spell_characters(flat: np.ndarray, ends: np.ndarray, known: dict, first_byte
     return out, to[ends]
 
 
+def ids_of_words(words: list[str], masks: np.ndarray, known: dict, first_byte: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after another, and where each begins (one more at the end): the pieces between their boundaries.
+
+    A word of more than LONGEST characters has no boundaries and takes the queue."""
+    ids, sizes = [], []
+    for at in range(0, len(words), 1 << 16):
+        some = words[at:at + (1 << 16)]
+        n = np.fromiter(map(len, some), np.int64, len(some))
+        short = np.where(n <= LONGEST, n, 0)
+        bits = np.unpackbits(masks[at:at + len(some)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        word, col = np.nonzero(bits[:, :LONGEST + 1].astype(bool) & (np.arange(LONGEST + 1) <= short[:, None]))
+        start = np.cumsum(n) - n
+        place = start[word] + col
+        inside = col < short[word]
+        flat = "".join(some)
+        get = known.get
+        cut = [flat[a:z] for a, z in zip(place[inside].tolist(), place[np.flatnonzero(inside) + 1].tolist())]
+        found = np.fromiter((k[0] if (k := get(t)) else -1 - ord(t) for t in cut), np.int32, len(cut))
+        count = np.bincount(word[inside], minlength=len(some))
+        if (n > LONGEST).any():
+            parts, upto = [], np.concatenate(([0], np.cumsum(count)))
+            for i, w in enumerate(some):
+                parts.append(found[upto[i]:upto[i + 1]] if n[i] <= LONGEST else np.array(merge_long(w, known, first_byte), np.int32))
+            found, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        out, ends = spell_characters(found, np.concatenate(([0], np.cumsum(count))), known, first_byte, top)
+        ids.append(out)
+        sizes.append(np.diff(ends))
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(size)))
+
+
 def merge_long(word: str, pieces: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
     """The fold for a word of any length: neighbours in a queue by score, then place."""
     left, right, text = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1)), list(word)
@@ -249,7 +267,7 @@ def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.n
 
 
 def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
-    """A chunk and the ids of its words -> the documents' ids and decoded texts; words without ids take the queue."""
+    """Chunks with the boundaries of their words -> the documents' ids and decoded texts."""
     spelt = {i: p.encode() for p, i, _ in pieces} | {first_byte + x: bytes([x]) for x in range(256)}
     top = max(spelt) + 1
     size = np.array([len(spelt.get(i, b"")) for i in range(top)])
@@ -257,39 +275,35 @@ def _from_chunks(pieces: list[tuple[str, int, int]], first_byte: int):
     data = np.frombuffer(b"".join(spelt.get(i, b"") for i in range(top)), np.uint8)
     known = {p: (i, r) for p, i, r in pieces}
 
-    def work(words):
-        out = []
-        for row in words[words["seq"].notna()].itertuples():        # one row of a chunk
-            ids_of: list = [None] * len(row.words)
-            for number, ids in zip(words["number"].tolist(), words["ids"]):
-                if number < len(ids_of):
-                    ids_of[number] = ids
-            for number, ids in enumerate(ids_of):
-                if ids is None:
-                    w = row.words[number]
-                    ids_of[number] = [-1 - ord(w)] if len(w) == 1 else merge_long(w, known, first_byte)
-            flat = np.concatenate([np.asarray(x, np.int32) for x in ids_of]) if ids_of else np.zeros(0, np.int32)
-            flat, ends = spell_characters(flat, np.cumsum([0, *map(len, ids_of)]), known, first_byte, top)
-            length = np.diff(ends)
-            store = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.seq), np.uint32)
-            n_units, n_cuts = int(store[0]), int(store[1])
-            cuts, parts, seq = np.split(store[2:], [n_units, n_units + n_cuts])
-            # cut words to words
-            ids, ends = _gather(flat, np.cumsum(length) - length, length, parts)
-            unit_ends = ends[np.concatenate(([0], np.cumsum(cuts, dtype=np.int64)))]
-            start, length = unit_ends[:-1], np.diff(unit_ends)
-            docs, null = np.frombuffer(row.docs, np.int64), np.frombuffer(row.null_docs, bool)
-            bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row.counts, np.int64))))
-            # some documents at a time, to keep the arrays small
-            step = max(1, 100_000 * len(docs) // max(1, len(seq)))
-            for i in range(0, len(docs), step):
-                j = min(len(docs), i + step)
-                some, ends = _gather(ids, start, length, seq[bounds[i]:bounds[j]])
-                begin = ends[bounds[i:j + 1] - bounds[i]]
-                out.append(pd.DataFrame({"doc": pd.array(docs[i:j], "Int64"), "ids": [some[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])],
-                                         "text": decode(some, begin, data, size, at)}))
-                out[-1].loc[null[i:j], "doc"] = pd.NA
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc": [], "ids": [], "text": []})
+    def work(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from documents_of(b.slice(i, 1))
+
+    def documents_of(one):
+        """The documents of one chunk, some at a time."""
+        words = one.column("words")[0].as_py()
+        masks = np.full(len(words), (1 << 62) - 1, np.int64)
+        masks[one.column("numbers").flatten().to_numpy(zero_copy_only=False)] = one.column("masks").flatten().to_numpy(zero_copy_only=False)
+        flat, ends = ids_of_words(words, masks, known, first_byte, top)
+        length = np.diff(ends)
+        row = {n: one.column(n)[0].as_py() for n in ("docs", "null_docs", "counts", "seq")}
+        store = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["seq"]), np.uint32)
+        n_units, n_cuts = int(store[0]), int(store[1])
+        cuts, parts, seq = np.split(store[2:], [n_units, n_units + n_cuts])
+        # cut words to words
+        ids, ends = _gather(flat, ends[:-1], length, parts)
+        unit_ends = ends[np.concatenate(([0], np.cumsum(cuts, dtype=np.int64)))]
+        start, length = unit_ends[:-1], np.diff(unit_ends)
+        docs, null = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["null_docs"], bool)
+        bounds = np.concatenate(([0], np.cumsum(np.frombuffer(row["counts"], np.int64))))
+        step = max(1, 100_000 * len(docs) // max(1, len(seq)))
+        for i in range(0, len(docs), step):
+            j = min(len(docs), i + step)
+            some, ends = _gather(ids, start, length, seq[bounds[i]:bounds[j]])
+            begin = ends[bounds[i:j + 1] - bounds[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[i:j], mask=null[i:j]), pa.array([some[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary()),
+                                              pa.array(decode(some, begin, data, size, at), pa.string())], names=["doc", "ids", "text"])
     return work
 
 
@@ -310,9 +324,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = chunks.select("chunk", F.posexplode(F.expr(
         f"concat(transform(words, w -> struct(w as word, {none} as chunk_data)), array(struct(cast(null as string) as word, {data} as chunk_data)))")).alias("number", "x")) \
         .select("chunk", "number", "x.word", "x.chunk_data").where(f"chunk_data is not null or length(word) between 2 and {LONGEST}")
-    encoded = encode_words(rows, pieces, max(len(p) for p, _, _ in known))
-    return encoded.select("chunk", "number", F.when(F.col("chunk_data").isNull(), F.col("ids")).alias("ids"), "chunk_data.*") \
-        .groupBy("chunk").applyInPandas(_from_chunks(known, first_byte), "doc bigint, ids binary, text string")
+    whole = segmented(lattice(rows, pieces, max(len(p) for p, _, _ in known)))
+    return whole.select("chunk_data.*", "numbers", "masks").mapInArrow(_from_chunks(known, first_byte), "doc bigint, ids binary, text string")
 
 
 @register("op10_sentencepiece")

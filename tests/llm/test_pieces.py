@@ -39,11 +39,12 @@ def test_queue_and_fold_agree(spark, model):
     words = ["▁internationalization", "▁" * 13, "▁xyzzy😀é", "aaaaaaaaaaaaaaaaaaa", "▁the", "éèçê", "▁Nebukadnezar's", "==--==--=="]
     pieces = spark.createDataFrame(known, "piece string, id int, rank int")
     rows = spark.createDataFrame([(7, i, w, None) for i, w in enumerate(words)], "chunk long, number int, word string, chunk_data string")
+    r = P.segmented(P.lattice(rows, pieces.where("length(piece) > 1"), 16)).first()
+    masks = np.full(len(words), (1 << 62) - 1, np.int64)
+    masks[r.numbers] = r.masks
     table = {p: (i, r) for p, i, r in known}
-    got = {}
-    for r in P.encode_words(rows, pieces.where("length(piece) > 1"), 16).collect():
-        ids = np.array(r.ids, np.int32)
-        got[words[r.number]] = P.spell_characters(ids, np.array([0, len(ids)]), table, first_byte, 40_000)[0].tolist()
+    ids, ends = P.ids_of_words(words, masks, table, first_byte, 40_000)
+    got = {w: ids[a:z].tolist() for w, a, z in zip(words, ends[:-1], ends[1:])}
     assert got == {w: P.merge_long(w, table, first_byte) for w in words}
 
 
