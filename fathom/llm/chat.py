@@ -4,7 +4,8 @@ A conversation becomes one text of turns ``### role: text </turn>\n``. The
 parser is deterministic: it cuts at every `` </turn>\n``, reads the role up to
 the first ``: ``, takes one backslash off every run of backslashes before a
 control string (``###``, ``</turn>``) of the text, and reads ``%25 %3A %3C`` of
-the role as ``% : <``. Formatting starts from the plain text,
+the role as ``% : <``. Formatting starts from the plain text if no text holds a
+control string (else from escaped texts: no control string is ever written bare),
 reparses it, and compares the turns with the source; where they differ it
 escapes the texts, and where they still differ also the roles. Escaped texts
 hold no bare control string and escaped roles no bare ``:`` or ``<``, so the
@@ -91,7 +92,8 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     def reads_back(level):
         return parse(render(turns, level)) == turns
-    chats = chats.withColumn("level", F.when(reads_back(0), 0).when(reads_back(1), 1).otherwise(2))
+    bare = F.exists(turns, lambda t: t.text.rlike(CONTROL))
+    chats = chats.withColumn("level", F.when(~bare & reads_back(0), 0).when(reads_back(1), 1).otherwise(2))
     chats = chats.withColumn("formatted", F.when(F.col("level") == 0, render(turns, 0))
                              .when(F.col("level") == 1, render(turns, 1)).otherwise(render(turns, 2)))
     chats = chats.withColumn("identical", parse(F.col("formatted")) == turns)
@@ -123,7 +125,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 c AS (
-  SELECT conv_id, bool_or(regexp_matches(text, '\\(###|</turn>)') OR contains(text, ' </turn>' || chr(10))) AS esc FROM t GROUP BY conv_id)
+  SELECT conv_id, bool_or(regexp_matches(text, '###|</turn>')) AS esc FROM t GROUP BY conv_id)
 SELECT t.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -47,7 +47,7 @@ MODEL_SETTING, MODEL_VARIABLE, MODEL = "spark.fathom.piece.model", "FATHOM_PIECE
 MARK = "▁"
 LONGEST = 60
 #: Characters of the documents of a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -99,7 +99,7 @@ def _units(text: str) -> list[str]:
 
 
 def _to_chunks(size: int, pairs: np.ndarray):
-    """(doc, text) -> chunks of documents: their distinct cut words, sorted, and their texts as packed numbers of words."""
+    """(doc, text) -> chunks of documents: their distinct cut words, and their texts as packed numbers of words."""
     def empty():
         number: defaultdict = defaultdict()
         number.default_factory = number.__len__        # a new word gets the next number
@@ -112,9 +112,10 @@ def _to_chunks(size: int, pairs: np.ndarray):
         def close():
             seq = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             cuts, sizes = cut(list(number), pairs)
-            words = sorted(set(cuts))
-            at = {w: k for k, w in enumerate(words)}
+            at: defaultdict = defaultdict()
+            at.default_factory = at.__len__
             flat = np.fromiter(map(at.__getitem__, cuts), np.uint32, len(cuts))
+            words = list(at)
             header = np.array([len(sizes), len(flat)], np.uint32)
             known = [d if d is not None else 0 for d in docs]
             return pa.RecordBatch.from_pydict({"words": [words], "docs": [np.array(known, np.int64).tobytes()],
@@ -198,8 +199,8 @@ def ids_of_words(words: list[str], masks: np.ndarray, known: dict, first_byte: i
 
     A word of more than LONGEST characters has no boundaries and takes the queue."""
     ids, sizes = [], []
-    for at in range(0, len(words), 1 << 16):
-        some = words[at:at + (1 << 16)]
+    for at in range(0, len(words), 1 << 14):
+        some = words[at:at + (1 << 14)]
         n = np.fromiter(map(len, some), np.int64, len(some))
         short = np.where(n <= LONGEST, n, 0)
         bits = np.unpackbits(masks[at:at + len(some)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

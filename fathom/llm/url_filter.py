@@ -1,8 +1,9 @@
 """URL filters as a temporal list join (native).
 
-Lists are tables of dated entries: on ``dated`` an entry (list, kind, value,
-verdict) becomes active or inactive. Consecutive entries of one value become
-validity intervals [start, until), and an as-of join evaluates every capture
+Lists are tables of dated entries: from ``dated`` on an entry (list, kind, value)
+is active with a verdict, or inactive. Consecutive entries of one value become
+validity intervals [start, until): a later entry of the list ends the earlier one, also
+if only its verdict differs. An as-of join evaluates every capture
 against the entries that were active when it was fetched. A capture is looked
 up under the keys its URL can match: ``domain`` (the host and every parent
 domain), ``host`` (the host itself) and ``prefix`` (host plus leading path
@@ -15,8 +16,8 @@ page adds one row; keys longer than any entry of the lists cannot match and
 are not made.
 
 Defined cases: a null or hostless URL has no keys and a null fetch date lies in
-no interval: not blocked, no active entries. An entry that is added and removed
-on one date is active from then; a null date means "always before"; repeated
+no interval: not blocked, no active entries. Of entries of one value and date an
+active one counts before an inactive one and a block before an allow; a null date means "always before"; repeated
 list rows count once; repeated captures each get a row. Null list, kind or
 value: the entry is left out; null verdict: block. Empty tables are allowed;
 extra columns are left behind.
@@ -45,14 +46,14 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """``list, kind, value, verdict, start, until`` of the times an entry was active; an open end is null."""
-    entry = ["list", "kind", "value", "verdict"]
-    changes = entries.select("list", "kind", "value", F.coalesce("verdict", F.lit("block")).alias("verdict"),
+    entry, verdict = ["list", "kind", "value"], F.coalesce("verdict", F.lit("block"))
+    changes = entries.select(*entry, verdict.alias("verdict"), (verdict == "block").alias("blocks"),
                              F.coalesce(F.col("dated").cast("date"), F.lit(ALWAYS).cast("date")).alias("dated"),
                              F.coalesce("active", F.lit(False)).alias("active")) \
         .where("list is not null and kind is not null and value is not null") \
-        .groupBy(*entry, "dated").agg(F.max("active").alias("active"))
+        .groupBy(*entry, "dated").agg(F.max(F.struct("active", "blocks", "verdict")).alias("e")).select(*entry, "dated", "e.active", "e.verdict")
     after = F.lead("dated").over(Window.partitionBy(*entry).orderBy("dated"))
-    return changes.withColumn("until", after).where("active").select(*entry, F.col("dated").alias("start"), "until")
+    return changes.withColumn("until", after).where("active").select(*entry, "verdict", F.col("dated").alias("start"), "until")
 
 
 def _keys(host: Column, path: Column, labels: int, segments: int) -> Column:

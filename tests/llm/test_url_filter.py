@@ -52,11 +52,19 @@ def test_against_brute_force(frame):
     def expected(url, fetched):
         host, _, path = url[7:].partition("/")
         state = {}
-        for ls, kind, value, verdict, dated, on in sorted(entries, key=lambda e: (e[4], e[5])):
+        for ls, kind, value, verdict, dated, on in sorted(entries, key=lambda e: (e[4], e[5], e[3] == "block")):
             if dated <= fetched:
-                state[ls, kind, value, verdict] = on
-        hits = [(["domain", "host", "prefix"].index(k), len(v), verdict == "block", f"{ls}:{k}:{v}") for (ls, k, v, verdict), on in state.items() if on and (
+                state[ls, kind, value] = verdict if on else None
+        hits = [(["domain", "host", "prefix"].index(k), len(v), verdict == "block", f"{ls}:{k}:{v}") for (ls, k, v), verdict in state.items() if verdict and (
             v == host if k == "host" else (host == v or host.endswith("." + v)) if k == "domain" else (host + "/" + path + "/").startswith(v + "/"))]
         top = max(hits, default=(0, 0, False, None))
         return top[2], len(hits), top[3]
     assert run(frame, captures, entries) == sorted((i, *expected(u, f)) for i, u, f in captures)
+
+
+def test_a_later_verdict_ends_the_earlier(frame):
+    entries = [("l", "host", "a.b", "block", day(0), True), ("l", "host", "a.b", "allow", day(60), True), ("l", "host", "a.b", "block", day(90), True)]
+    captures = [(i, "http://a.b/", day(d)) for i, d in enumerate((10, 70, 100))]
+    assert run(frame, captures, entries) == [(0, True, 1, "l:host:a.b"), (1, False, 1, "l:host:a.b"), (2, True, 1, "l:host:a.b")]
+    same = [("l", "host", "a.b", v, day(0), on) for v, on in (("allow", True), ("block", True), ("block", False))]
+    assert run(frame, captures[:1], same) == [(0, True, 1, "l:host:a.b")]
