@@ -24,8 +24,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.bundle import quote
 from fathom.functions.hashing import key_text, order_hash
-from fathom.session import ensure_checkpoint_dir
+from fathom.session import ensure_checkpoint_dir, written
 
 HEX_STEP = 3            # hex digits per refinement level: 4096 buckets
 EXACT_LIMIT = 100_000   # a bucket this small is ranked directly
@@ -256,6 +257,9 @@ def stratified_kfold_assign(train: DataFrame, label: str, key_cols: list[str] |
     order of first appearance).
     """
     o = train if "_h" in train.columns else with_order(train, key_cols, seed)
+    sizes = written(o.groupBy(_gcol(label).alias("_g"), F.col(quote(label)).alias("_c")).agg(F.count(F.lit(1)).alias("_n")), "class_sizes")
+    if sizes.count() > LITERAL_GROUPS:
+        return _many_classes(o, label, sizes, k)
     numeric = o.schema[label].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double",
                                                         "decimal")
 
@@ -269,6 +273,43 @@ def stratified_kfold_assign(train: DataFrame, label: str, key_cols: list[str] |
     return out.withColumn("fold", F.col("fold").cast("int"))
 
 
+def _class_cuts(sizes: DataFrame, k: int) -> DataFrame:
+    """``_g, _n, _cuts``: for each class the ranks at which its folds begin, the first left out; no class reaches the driver.
+
+    Positions run over all classes in ascending order: sums inside value ranges, and one offset for each range."""
+    parts = max(1, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = sizes.where("_c is not null").repartitionByRange(parts, "_c").sortWithinPartitions("_c").withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("_part", F.shiftright("_id", 33)), "class_ranges")
+    offsets, total = [], 0
+    for r in sorted(ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r["_part"]):        # one row for each range
+        offsets.append((r["_part"], total))
+        total += r["n"]
+    offsets = sizes.sparkSession.createDataFrame(offsets, "_part bigint, _off bigint")
+    before = F.col("_off") + F.sum("_n").over(Window.partitionBy("_part").orderBy("_id")) - F.col("_n")
+    at = ranged.join(F.broadcast(offsets), "_part").withColumn("_s", before)
+    sizes_of = [F.floor((F.col("_s") + F.col("_n") - 1 - i) / k) - F.floor((F.col("_s") - 1 - i) / k) for i in range(k - 1)]
+    return at.select("_g", "_n", F.array(*[sum(sizes_of[1:i + 1], sizes_of[0]) for i in range(k - 1)]).alias("_cuts"))
+
+
+def _many_classes(o: DataFrame, label: str, sizes: DataFrame, k: int) -> DataFrame:
+    """T3 for more classes than thresholds are literals for: the cuts stay a table that is joined to the rows.
+
+    Rows of a class of at most ``EXACT_LIMIT`` rows are ranked in its own group; the few larger classes have their cuts
+    found by prefixes."""
+    cuts = written(_class_cuts(sizes, k), "class_cuts")
+    rows = o.withColumn("_g", _gcol(label))
+    ranked = rows.join(cuts.where(F.col("_n") <= EXACT_LIMIT), "_g") \
+        .withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_k")) - 1)
+    out = ranked.withColumn("fold", F.size(F.filter("_cuts", lambda c: c <= F.col("_r")))).select(*[quote(c) for c in o.columns], "fold")
+    large = cuts.where(F.col("_n") > EXACT_LIMIT)
+    found = {r["_g"]: list(r["_cuts"]) for r in large.collect()}               # at most one for each EXACT_LIMIT rows
+    if found:
+        own = rows.join(F.broadcast(large.select("_g")), "_g", "left_semi").select(*[quote(c) for c in o.columns])
+        out = out.unionByName(assign_segments(own, label, found).withColumnRenamed("_seg", "fold"))
+    out = out.unionByName(o.where(F.col(quote(label)).isNull()).withColumn("fold", F.lit(0)))
+    return out.withColumn("fold", F.col("fold").cast("int"))
+
+
 def split_and_folds(df: DataFrame, key_cols: list[str], label: str | None = None, k: int = 5,
                     test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """T1 then T2 (or T3 with ``label``) on one shared order: ``split`` and ``fold`` (null on test).

@@ -6,13 +6,11 @@ original class value for classification) and stays lazy.
 * Linear models and naive Bayes are fitted from one distributed aggregate
   (means, covariances, per-class moments); only a d x d system is solved on
   the driver and prediction is a JVM-side column expression.
-* Trees and forests (``forest``) and gradient boosting (``boosting``) are grown
-  level by level over one binned table; logistic regression, linear SVM and the
-  MLP are Spark ML estimators with scikit-learn's defaults passed explicitly.
-* k-nearest neighbours is an exact block-nested computation over
-  ``cogroup``: test shards x train blocks, each task bounded, k candidates
-  per (row, block) merged by a window group limit.
-* AdaBoost (SAMME, R2) is a loop of small trees.
+* Trees and forests (``forest``), gradient boosting (``boosting``) and AdaBoost (``adaboost``) are grown
+  level by level over one binned table; logistic regressions (``logistic``) share
+  passes over blocks; linear SVM and the MLP are Spark ML estimators with
+  scikit-learn's defaults passed explicitly.
+* k-nearest neighbours (``knn``) is exact over pivot cells.
 """
 
 from __future__ import annotations
@@ -26,12 +24,11 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fathom.bundle import quote
-from fathom.session import ensure_checkpoint_dir, written
+from fathom.session import written
 
-KNN_BLOCK_ROWS = 20_000         # rows per side in one kNN task
 FIT_PARTITIONS, FIT_ROWS = 16, 1_000_000   # least partitions of a tree fit, and most rows of one
 
 
@@ -160,15 +157,15 @@ def _coordinate_descent(cxx, cxy, l1, l2, tol=1e-12, max_iter=100_000):
     return b
 
 
-def fit_linear(df: DataFrame, features: list[str], target: str, kind: str, params: dict) -> LinearFitted:
-    """M5-M9 from one aggregate pass.
+def fit_linear(df: DataFrame, features: list[str], target: str, kind: str, params: dict, moments: dict | None = None) -> LinearFitted:
+    """M5-M9 from one aggregate pass (none with the ``moments`` of ``linear_moments``).
 
     ols: least squares (minimum-norm on rank deficiency); ridge: (nC + a I) b = n c;
     lasso / elasticnet: coordinate descent on the covariance for scikit-learn's
     objective 1/(2n)|r|^2 + a*l1|b|_1 + a*(1-l1)/2 |b|^2; sgd: the optimum of
     squared loss + alpha/2 |w|^2 that SGD approaches (ridge with a = alpha * n).
     """
-    m = linear_moments(df, features, target)
+    m = moments or linear_moments(df, features, target)
     n, cxx, cxy = m["n"], m["cxx"], m["cxy"]
     d = len(features)
     if kind == "ols":
@@ -259,102 +256,6 @@ def fit_bernoulli_nb(df: DataFrame, features: list[str], target: str, params: di
                             df.schema[target].dataType)
 
 
-# ------------------------------------------------------------------ k nearest neighbours
-@dataclass
-class KNNFitted(Fitted):
-    name: str
-    task: str
-    train: DataFrame        # (_rid, _vec array<double>, _y)
-    k: int
-    label_type: T.DataType
-    n_train: int
-    note: str | None = None
-
-    def predict(self, df: DataFrame, id_col: str | None = None) -> DataFrame:
-        return knn_predict(self, df)
-
-
-def _vector(df: DataFrame, features: list[str]) -> Column:
-    if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
-        return F.col(features[0]).cast("array<double>")
-    return F.array(*[_x(f) for f in features])
-
-
-def fit_knn(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> KNNFitted:
-    k = int(params.get("n_neighbors", 5))
-    rid = F.col(params["id_col"]).cast("long") if params.get("id_col") else F.monotonically_increasing_id()
-    train = df.select(rid.alias("_rid"), _vector(df, features).alias("_vec"),
-                      F.col(target).alias("_y")).where(F.col("_y").isNotNull())
-    ensure_checkpoint_dir(df.sparkSession)
-    train = train.checkpoint(eager=True)      # stable ids and rows for every later block
-    n = train.count()
-    kf = KNNFitted("KNeighborsRegressor" if task == "regression" else "KNeighborsClassifier",
-                   task, train, k, df.schema[target].dataType, n)
-    kf.features = list(features)
-    return kf
-
-
-def _knn_block(test_pdf, train_pdf, k):
-    if len(test_pdf) == 0 or len(train_pdf) == 0:
-        return pd.DataFrame({"_qid": [], "_d": [], "_rid": [], "_y": []})
-    B = np.stack(train_pdf["_vec"].to_numpy()).astype(np.float64)
-    rids = train_pdf["_rid"].to_numpy()
-    ys = train_pdf["_y"].to_numpy()
-    # rows in id order, so a stable sort takes the least id among equal distances
-    by_id = np.argsort(rids, kind="stable")
-    B, rids, ys = B[by_id], rids[by_id], ys[by_id]
-    kk, parts = min(k, len(B)), []
-    # rows per chunk so the (chunk, block, d) difference array stays near 32 MB
-    step = max(1, int(32 * 2 ** 20 // max(1, B.shape[0] * B.shape[1] * 8)))
-    for start in range(0, len(test_pdf), step):
-        part = test_pdf.iloc[start:start + step]
-        A = np.stack(part["_vec"].to_numpy()).astype(np.float64)
-        d = np.sqrt(((A[:, None, :] - B[None, :, :]) ** 2).sum(axis=2))
-        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        parts.append(pd.DataFrame({"_qid": np.repeat(part["_qid"].to_numpy(), kk), "_d": np.take_along_axis(d, idx, 1).ravel(),
-                                   "_rid": rids[idx].ravel(), "_y": ys[idx].ravel()}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def knn_predict(model: KNNFitted, df: DataFrame) -> DataFrame:
-    """Exact k nearest neighbours (euclidean), ties on distance broken by train row id.
-
-    Test rows are hashed into S shards and train rows into B blocks so that
-    every (shard, block) task holds at most ~KNN_BLOCK_ROWS rows per side;
-    each test row is copied to the B blocks and each train row to the S
-    shards. A task keeps its k best per test row; the final top k comes from
-    a window group limit (k x B candidates per row, partial limit map-side).
-    """
-    spark = df.sparkSession
-    k = model.k
-    q = df.withColumn("_qid", F.monotonically_increasing_id())
-    ensure_checkpoint_dir(spark)
-    q = q.checkpoint(eager=True)              # stable query ids across both uses below
-    n_q = q.count()
-    S = max(1, math.ceil(n_q / KNN_BLOCK_ROWS))
-    B = max(1, math.ceil(model.n_train / KNN_BLOCK_ROWS))
-    vec = _vector(q, model.features)
-    qs = (q.select("_qid", vec.alias("_vec"))
-            .withColumn("_s", F.pmod(F.xxhash64("_qid"), F.lit(S)))
-            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
-    ts = (model.train.withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(B)))
-                     .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(S - 1)))))
-    ytype = model.train.schema["_y"].dataType.simpleString()
-    schema = f"_qid long, _d double, _rid long, _y {ytype}"
-    cand = (qs.groupBy("_s", "_b").cogroup(ts.groupBy("_s", "_b"))
-              .applyInPandas(lambda a, b: _knn_block(a, b, k), schema))
-    w = Window.partitionBy("_qid").orderBy("_d", "_rid")
-    top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    if model.task == "regression":
-        agg = top.groupBy("_qid").agg(F.avg(F.col("_y").cast("double")).alias("prediction"))
-    else:
-        votes = top.groupBy("_qid", "_y").agg(F.count(F.lit(1)).alias("_v"))
-        wv = Window.partitionBy("_qid").orderBy(F.col("_v").desc(), F.col("_y"))
-        agg = (votes.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") == 1)
-                    .select("_qid", F.col("_y").alias("prediction")))
-    return q.join(agg, "_qid", "left").drop("_qid")
-
-
 # ------------------------------------------------------------------ Spark ML wrappers
 @dataclass
 class SparkMLFitted(Fitted):
@@ -398,11 +299,6 @@ def spark_estimator(name: str, params: dict, n: int, n_classes: int):
     """Spark ML estimator with scikit-learn's defaults for ``name``; features 'features', label 'label', weight 'weight'."""
     from pyspark.ml import classification as C
     columns = dict(featuresCol="features", labelCol="label", weightCol="weight")
-    if name == "LogisticRegression":
-        c = float(params.get("C", 1.0))
-        return C.LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                                    maxIter=int(params.get("max_iter", 100)), tol=float(params.get("tol", 1e-4)),
-                                    **columns)
     if name in ("SVC", "SGDClassifier"):
         reg = 1.0 / (float(params.get("C", 1.0)) * n) if name == "SVC" else float(params.get("alpha", 1e-4))
         # scikit-learn iterates until its tolerance; Spark's OWLQN also stops after 100 rounds
@@ -459,136 +355,6 @@ def fit_spark_ml(df: DataFrame, features: list[str], target: str, name: str, par
         data.unpersist()
 
 
-# ------------------------------------------------------------------ AdaBoost
-@dataclass
-class EnsembleFitted(Fitted):
-    """Members applied as columns in one pass, combined row by row (no shuffle).
-
-    ``members`` are (weight, apply) with ``apply(df, out_col)`` adding one
-    prediction column; classification members predict class indices.
-    Regression: weighted mean, or for AdaBoost.R2 the weighted median
-    (smallest prediction whose cumulative weight reaches half the total).
-    Classification: weighted vote, ties to the smaller class.
-    """
-    name: str
-    task: str
-    members: list
-    label_type: T.DataType | None = None
-    classes: list | None = None
-    note: str | None = None
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        cols = df.columns
-        out = df
-        outs = []
-        for i, (_, apply) in enumerate(self.members):
-            out = apply(out, f"_p{i}")
-            outs.append(f"_p{i}")
-        ws = [float(w) for w, _ in self.members]
-        # (prediction, weight) pairs as one array: compact lambdas instead of one
-        # expression term per member and class (keeps generated code small).
-        pw = F.zip_with(F.array(*[F.col(c).cast("double") for c in outs]), F.array(*[F.lit(w) for w in ws]),
-                        lambda p, w: F.struct(p.alias("p"), w.alias("w")))
-        if self.task == "regression" and self.name == "AdaBoostRegressor":
-            half = 0.5 * sum(ws)
-            scan = F.aggregate(F.array_sort(pw), F.struct(F.lit(0.0).alias("cw"), F.lit(None).cast("double").alias("m")),
-                               lambda acc, x: F.struct((acc["cw"] + x["w"]).alias("cw"),
-                                                       F.when(acc["m"].isNull() & (acc["cw"] + x["w"] >= half), x["p"])
-                                                        .otherwise(acc["m"]).alias("m")))
-            pred = scan["m"]
-        elif self.task == "regression":
-            pred = F.aggregate(pw, F.lit(0.0), lambda acc, x: acc + x["p"] * x["w"]) / F.lit(sum(ws))
-        else:
-            votes = F.transform(F.sequence(F.lit(0), F.lit(len(self.classes) - 1)), lambda k: F.aggregate(
-                pw, F.lit(0.0), lambda acc, x: acc + F.when(x["p"] == k.cast("double"), x["w"]).otherwise(F.lit(0.0))))
-            idx = F.array_position(votes, F.array_max(votes))        # first maximum: smallest class
-            pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), idx.cast("int")).cast(self.label_type)
-        return out.withColumn("prediction", pred).select(*cols, "prediction")
-
-
-def _tree_member(model, features_col: str, make_features):
-    """A fitted tree as ``apply(df, out)``: build its feature vector, predict into ``out``."""
-    def apply(df, out):
-        m = model.copy()
-        m.setFeaturesCol(features_col).setPredictionCol(out)
-        for extra in ("setRawPredictionCol", "setProbabilityCol", "setVarianceCol"):
-            if hasattr(m, extra):
-                getattr(m, extra)("")
-        base = make_features(df) if features_col not in df.columns else df
-        return m.transform(base)
-    return apply
-
-
-def fit_adaboost(df: DataFrame, features: list[str], target: str, task: str, params: dict) -> EnsembleFitted:
-    """M22 SAMME (depth-1 trees) / M10 AdaBoost.R2 (depth-3 trees, linear loss).
-
-    One weight column updated by a column expression per round; lineage is
-    cut with a reliable checkpoint every 10 rounds.
-    """
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.regression import DecisionTreeRegressor
-    rounds = int(params.get("n_estimators", 50))
-    lr = float(params.get("learning_rate", 1.0))
-    ensure_checkpoint_dir(df.sparkSession)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    data = assembler.transform(df.where(F.col(target).isNotNull()))
-    member_features = "_ada_features"
-    vec = VectorAssembler(inputCols=list(features), outputCol=member_features, handleInvalid="keep")
-    make = vec.transform
-    classes = None
-    if task == "classification":
-        classes = _class_list(df, target)
-        mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        data = data.withColumn("label", mapping[F.col(target)])
-    else:
-        data = data.withColumn("label", _x(target))
-    # The aggregate that measures a round's error also sums the weights, which
-    # normalises the next round's update: one fit and one pass per round.
-    data = data.select("features", "label").withColumn("w", F.lit(1.0)).checkpoint(eager=True)
-    k = len(classes) if classes else 0
-    members = []
-    for m in range(rounds):
-        if task == "classification":
-            tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=42).fit(data)
-            p = tree.transform(data)
-            wrong = (F.col("prediction") != F.col("label")).cast("double")
-            r = p.agg((F.sum(F.col("w") * wrong) / F.sum("w")).alias("e"), F.sum("w").alias("sw")).first()
-            err = r["e"]
-            if err <= 0:
-                members.append((1.0, _tree_member(tree, member_features, make)))
-                break
-            if err >= 1.0 - 1.0 / k:
-                if not members:
-                    raise ValueError("base classifier is no better than chance")
-                break
-            alpha = lr * (math.log((1 - err) / err) + math.log(k - 1))
-            members.append((alpha, _tree_member(tree, member_features, make)))
-            data = p.select("features", "label", (F.col("w") / F.lit(r["sw"]) * F.exp(F.lit(alpha) * wrong)).alias("w"))
-        else:
-            tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=42).fit(data)
-            p = tree.transform(data)
-            err_abs = F.abs(F.col("prediction") - F.col("label"))
-            r = p.agg(F.max(err_abs).alias("mx"), F.sum(F.col("w") * err_abs).alias("we"), F.sum("w").alias("sw")).first()
-            mx = r["mx"] or 0.0
-            if mx == 0:
-                members.append((1.0, _tree_member(tree, member_features, make)))
-                break
-            avg_loss = r["we"] / (mx * r["sw"])      # linear loss |e| / max|e|
-            if avg_loss >= 0.5:
-                if not members:
-                    members.append((1.0, _tree_member(tree, member_features, make)))
-                break
-            beta = avg_loss / (1 - avg_loss)
-            members.append((lr * math.log(1 / beta), _tree_member(tree, member_features, make)))
-            loss = err_abs / F.lit(mx)
-            data = p.select("features", "label",
-                            (F.col("w") / F.lit(r["sw"]) * F.pow(F.lit(beta), (F.lit(1.0) - loss) * lr)).alias("w"))
-        if (m + 1) % 10 == 0:
-            data = data.checkpoint(eager=True)
-    name = "AdaBoostClassifier" if task == "classification" else "AdaBoostRegressor"
-    return EnsembleFitted(name, task, members, df.schema[target].dataType, classes)
-
-
 # ------------------------------------------------------------------ dispatch
 LINEAR_KIND = {"LinearRegression": "ols", "Ridge": "ridge", "Lasso": "lasso", "ElasticNet": "elasticnet",
                "SGDRegressor": "sgd"}
@@ -598,8 +364,11 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
     """Fit model ``name`` for ``task``; T11 fallback for names Spark cannot fit.
 
     ``key`` names columns that identify a row, from which tree samples are drawn; without them rows are known by their values."""
+    from fathom.plans.adaboost import fit_adaboost
     from fathom.plans.boosting import fit_boosting
     from fathom.plans.forest import KINDS, fit_forest
+    from fathom.plans.knn import fit_knn
+    from fathom.plans.logistic import fit_logistic
     from fathom.plans.registry_models import resolve_estimator_name
     params = dict(params or {})
     actual, note = resolve_estimator_name(name, task)
@@ -614,9 +383,11 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, task: str, p
     elif actual in ("KNeighborsRegressor", "KNeighborsClassifier"):
         m = fit_knn(df, features, target, task, params)
     elif actual in ("AdaBoostRegressor", "AdaBoostClassifier"):
-        m = fit_adaboost(df, features, target, task, params)
+        m = fit_adaboost(df, features, target, task, params, key)
     elif actual.startswith(("GradientBoosting", "XGB", "LGBM", "CatBoost")):
         m = fit_boosting(df, features, target, actual, task, params)
+    elif actual == "LogisticRegression":
+        m = fit_logistic(df, features, target, params)
     elif actual in KINDS:
         m = fit_forest(df, features, target, actual, task, params, key)
     else:

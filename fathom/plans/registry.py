@@ -6,7 +6,7 @@ import importlib
 
 from fathom.plans.catalog import ORACLE, QUERIES
 
-MODULES = ["fathom.plans.reg_prepare", "fathom.plans.reg_profile", "fathom.plans.reg_splits", "fathom.plans.reg_models", "fathom.plans.reg_replies", "fathom.plans.reg_runs", "fathom.plans.reg_closed", "fathom.plans.reg_trees"]
+MODULES = ["fathom.plans.reg_prepare", "fathom.plans.reg_profile", "fathom.plans.reg_splits", "fathom.plans.reg_models", "fathom.plans.reg_replies", "fathom.plans.reg_runs", "fathom.plans.reg_closed", "fathom.plans.reg_trees", "fathom.plans.reg_logistic"]
 
 
 def _load():

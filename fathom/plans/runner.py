@@ -12,12 +12,13 @@ from dataclasses import dataclass, field, replace
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathom.bundle import Bundle
+from fathom.bundle import Bundle, quote
 from fathom.operators import evaluate as E
 from fathom.operators import prepare as P
 from fathom.operators import profile as D
 from fathom.operators import splits as T
 from fathom.plans import search as S
+from fathom.plans.estimators import LINEAR_KIND, fit_linear, linear_moments
 from fathom.plans.registry_models import DEFAULT_SUGGESTION, list_models, lookup
 from fathom.sources.tables import load_table
 
@@ -158,17 +159,22 @@ def compare_models(spark: SparkSession, bundle: Bundle, models: list[str], task:
     data = T.split_and_folds(bundle.df, keys, bundle.target if task == "classification" else None)
     train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
     test = data.where(F.col("split") == "test")
+    grids = {name: S.param_grid(name, task, None, use_tuning) for name in models}
+    plain = [name for name in models if name in LINEAR_KIND and not grids[name]]
     try:
-        fitted = {name: S.search(train, bundle.features, bundle.target, name, task, S.param_grid(name, task, None, use_tuning), key=key)[0]
-                  for name in models}
+        # all linear models without a grid are solved from the same moments
+        moments = linear_moments(train, bundle.features, bundle.target) if plain else None
+        fitted = {name: fit_linear(train, bundle.features, bundle.target, LINEAR_KIND[name], {}, moments) if name in plain
+                  else S.search(train, bundle.features, bundle.target, name, task, grids[name], key=key)[0] for name in models}
     finally:
         train.unpersist()
-    rows = None
-    for name, model in fitted.items():
-        pred = model.predict(test).select(F.col(bundle.target).alias("y_true"), F.col("prediction").alias("y_pred"))
-        m = E.classification_metrics(pred) if task == "classification" else E.regression_metrics(pred)
-        m = m.withColumn("model", F.lit(name))
-        rows = m if rows is None else rows.unionByName(m)
+    # one pass over the test rows: a column for each model, then a row
+    pred, answers = test, []
+    for i, (name, model) in enumerate(fitted.items()):
+        pred = model.predict(pred).withColumnRenamed("prediction", f"__model{i}")
+        answers.append(F.struct(F.lit(name).alias("model"), F.col(f"__model{i}").alias("y_pred")))
+    pred = pred.select(F.col(quote(bundle.target)).alias("y_true"), F.explode(F.array(*answers)).alias("a")).select("y_true", "a.*")
+    rows = E.classification_metrics(pred, ["model"]) if task == "classification" else E.regression_metrics(pred, ["model"])
     key_metric = "accuracy" if task == "classification" else "R2"
     return rows.orderBy(F.col(key_metric).desc_nulls_last(), "model")
 

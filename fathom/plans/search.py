@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathom.plans import estimators as M
 from fathom.plans.boosting import cv_boosting
 from fathom.plans.forest import KINDS, NESTED, cv_forest
+from fathom.plans.logistic import cv_logistic
 
 # Default grids of the reference, per task and model.
 DEFAULT_REGRESSION_GRIDS = {
@@ -89,11 +90,13 @@ def cv_score(train: DataFrame, features: list[str], target: str, name: str, task
     """Mean held-out score (r2 / accuracy) per combination over the ``fold`` column.
 
     Linear models are scored from moments, forests from one forest for all folds and combinations, boosting with
-    all folds in the same rounds; other models by a fit for each combination and fold."""
+    all folds in the same rounds, logistic regressions all in the same passes; other models by a fit for each combination and fold."""
     if name in M.LINEAR_KIND:
         return cv_linear(train, features, target, name, combos, k)
     if name in KINDS and all(set(p) <= set(NESTED) for _, p in combos):
         return cv_forest(train, features, target, name, task, combos, k, key)
+    if name == "LogisticRegression" and all(set(p) <= {"C", "max_iter", "tol", "random_state"} for _, p in combos):
+        return cv_logistic(train, features, target, combos, k)
     if name.startswith(("GradientBoosting", "XGB", "LGBM", "CatBoost")):
         return cv_boosting(train, features, target, name, task, combos, k)
     data = train.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.plans import estimators as M
+from fathom.plans import knn as N
 from fathom.plans import search as S
 from fathom.plans.registry_models import list_models, lookup, resolve_estimator_name
 
@@ -65,7 +66,8 @@ def test_gaussian_nb_matches_numpy(spark, alloy):
 
 
 def test_knn_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(M, "KNN_BLOCK_ROWS", 37)   # several shards and blocks
+    monkeypatch.setattr(N, "BLOCK_ROWS", 37)   # several shards and blocks
+    monkeypatch.setattr(N, "CELL_ROWS", 40)    # and cells
     rng = np.random.default_rng(0)
     tr = rng.normal(size=(150, 3))
     te = rng.normal(size=(60, 3))
@@ -177,3 +179,22 @@ def test_generic_cv_runs_fits_in_threads(spark, alloy):
 def test_tree_memory_budget_is_bounded(spark):
     assert M._mem_mb("16g", 0) == 16384 and M._mem_mb("512m", 0) == 512 and M._mem_mb("2048", 0) == 2048
     assert 64 <= M.tree_memory_mb(spark) <= 1024
+
+
+def test_knn_visits_few_cells_of_clustered_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 40)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(25, 3)) * 50
+    x = centres[draw.integers(0, 25, 2000)] + draw.normal(size=(2000, 3))
+    q = centres[draw.integers(0, 25, 200)] + draw.normal(size=(200, 3))
+    train = spark.createDataFrame([(i, *map(float, r), float(i % 7)) for i, r in enumerate(x)], "id long, a double, b double, c double, y double")
+    model = M.fit(train, ["a", "b", "c"], "y", "KNeighborsRegressor", "regression", {"id_col": "id"})
+    d = N.distances(q, model.pivots)
+    first = N.first_cells(d, model.sizes, 5)
+    true = np.sort(N.distances(q, x), axis=1)[:, 4]
+    pairs = sum(model.sizes[f].sum() for f in first) + N.other_cells(d, true, model.radius, model.sizes).dot(model.sizes).sum()
+    assert pairs < 0.2 * 2000 * 200
+    test = spark.createDataFrame([(5000 + i, *map(float, r)) for i, r in enumerate(q)] + [(9999, None, 1.0, 1.0)], "id long, a double, b double, c double")
+    got = {r.id: r.prediction for r in model.predict(test).collect()}
+    near = np.argsort(N.distances(q, x), axis=1, kind="stable")[:, :5]
+    assert all(got[5000 + i] == pytest.approx((near[i] % 7).mean()) for i in range(200)) and got[9999] is None

@@ -92,3 +92,18 @@ def test_refinement_with_small_exact_limit(spark, monkeypatch):
     monkeypatch.setattr(T, "EXACT_LIMIT", 3)
     s = T.train_test_split(table(spark, 5000), ["k"], 0.2, 42)
     assert s.where("split = 'test'").count() == 1000
+
+
+def test_folds_of_many_classes(spark, monkeypatch):
+    from collections import Counter
+    monkeypatch.setattr(T, "EXACT_LIMIT", 200)
+    rows = [(i, i % 1100 if i < 4000 else 7 if i < 4500 else None) for i in range(4600)]
+    out = T.stratified_kfold_assign(spark.createDataFrame(rows, "id long, c int").repartition(3), "c", ["id"], 5).collect()
+    counts = Counter(c for _, c in rows if c is not None)
+    want = T.stratified_allocation(sorted(counts.items()), 5)
+    got = Counter((r.c, r.fold) for r in out if r.c is not None)
+    assert all(got[c, f] == want[c][f] for c in counts for f in range(5)) and len(out) == len(rows)
+    # inside a class the folds follow the rows' order
+    order = T.with_order(spark.createDataFrame(rows, "id long, c int").where("c = 7"), ["id"]).orderBy("_h", "_k").collect()
+    fold = {r.id: r.fold for r in out}
+    assert [fold[r.id] for r in order] == sorted(fold[r.id] for r in order)
