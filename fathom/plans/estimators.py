@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fathom.bundle import quote
 from fathom.session import written
 
+#: Columns whose moments are single aggregates.
+NARROW = 10
 FIT_PARTITIONS, FIT_ROWS = 16, 1_000_000   # least partitions of a tree fit, and most rows of one
 
 
@@ -113,12 +115,24 @@ def _gram_rows(d: int):
 def fold_moments(df: DataFrame, cols: list[str], fold: Column | None = None) -> dict:
     """Per fold ``{"n", "mean", "cov"}`` (population covariance) of the complete rows of ``cols``, for any number of columns.
 
-    Each partition sums one matrix of centred products; its rows are merged by
+    Up to NARROW columns they are aggregates of Spark's own. Beyond, each partition
+    sums one matrix of centred products; its rows are merged by
     (fold, column), so no task holds more than the parts of one row and only
     the merged matrices reach the driver."""
     d = len(cols)
     rows = _complete(df.withColumn("__fold", F.lit(0) if fold is None else fold), ["__fold", *cols])
     rows = rows.select(F.col("x0").cast("int").alias("fold"), *[F.col(f"x{i + 1}").alias(f"x{i}") for i in range(d)])
+    if d <= NARROW:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        found = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)],
+                                         *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).collect()      # one row for each fold
+        narrow = {}
+        for r in found:
+            cov = np.zeros((d, d))
+            for i, j in pairs:
+                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+            narrow[r.fold] = {"n": int(r.n), "mean": np.array([r[f"m{i}"] for i in range(d)]), "cov": cov}
+        return narrow
     part = "fold int, i int, n bigint, mean array<double>, row array<double>"
     merged = rows.mapInPandas(_gram_parts(d), part).groupBy("fold", "i").applyInPandas(_gram_rows(d), part).collect()
     out: dict = {}

@@ -121,7 +121,7 @@ def other_cells(d: np.ndarray, bound: np.ndarray, radius: np.ndarray, sizes: np.
     return (d <= (bound[:, None] + radius[None]) * SLACK) & (sizes > 0)[None]
 
 
-def _visits(pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, k: int, bounded: bool, shards: int):
+def _visits(pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, k: int, bounded: bool):
     """(qid, vec[, bound]) -> a row for each cell to visit; with bounds only those not visited at first."""
     def work(batches):
         for b in batches:
@@ -142,9 +142,8 @@ def _visits(pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, k: int, b
             qid = b.column("qid").to_numpy()
             for at in range(0, len(q), 10_000):
                 part = slice(at, at + 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[part], pa.int32()), pa.array((qid[q[part]] % shards).astype(np.int32)), pa.array(qid[q[part]]),
-                                                  pa.array(d[q[part], cell[part]]), pa.array(bound[q[part]]), b.column("vec").take(pa.array(q[part]))],
-                                                 names=["cell", "shard", "qid", "q_far", "bound", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[part], pa.int32()), pa.array(qid[q[part]]), pa.array(d[q[part], cell[part]]),
+                                                  pa.array(bound[q[part]]), b.column("vec").take(pa.array(q[part]))], names=["cell", "qid", "q_far", "bound", "vec"])
     return work
 
 
@@ -172,17 +171,19 @@ def _nearest(k: int):
     return work
 
 
-def _candidates(model: KNNFitted, queries: DataFrame, bounded: bool, n_queries: int) -> DataFrame:
-    shards = max(1, math.ceil(n_queries / BLOCK_ROWS))
-    visits = queries.mapInArrow(_visits(model.pivots, model.sizes, model.radius, model.k, bounded, shards),
-                                "cell int, shard int, qid long, q_far double, bound double, vec array<double>")
-    # a large cell is cut into blocks, and many queries into shards, each pair of which is a group of bounded size
-    blocks = F.lit(1)
-    large = {c: math.ceil(n / BLOCK_ROWS) for c, n in enumerate(model.sizes.tolist()) if n > BLOCK_ROWS}
-    if large:
-        blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("cell")], F.lit(1))
-    left = visits.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    right = model.train.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def _parts(sizes: dict) -> Column:
+    """Parts of BLOCK_ROWS that the rows of a cell are cut into; ``sizes`` is by cell."""
+    large = {c: math.ceil(n / BLOCK_ROWS) for c, n in sizes.items() if n > BLOCK_ROWS}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("cell")], F.lit(1)) if large else F.lit(1)
+
+
+def _candidates(model: KNNFitted, queries: DataFrame, bounded: bool) -> DataFrame:
+    visits = queries.mapInArrow(_visits(model.pivots, model.sizes, model.radius, model.k, bounded), "cell int, qid long, q_far double, bound double, vec array<double>")
+    # the rows of a large cell are cut into blocks, and the queries that visit it into shards: every pair is a group of bounded size
+    seen = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}       # one row for each cell
+    blocks, shards = _parts(dict(enumerate(model.sizes.tolist()))), _parts(seen)
+    left = visits.withColumn("shard", F.pmod(F.xxhash64("qid"), shards).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = model.train.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
     by = ["cell", "block", "shard"]
     kind = model.train.schema["y"].dataType.simpleString()
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_nearest(model.k), f"qid long, d double, rid long, y {kind}")
@@ -192,23 +193,22 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("d", "rid"))).where(F.col("place") <= k)
 
 
-def _second(model: KNNFitted, queries: DataFrame, near: DataFrame, n: int) -> DataFrame:
+def _second(model: KNNFitted, queries: DataFrame, near: DataFrame) -> DataFrame:
     """The k nearest rows after the cells that the distances in ``near`` do not exclude."""
     bounds = near.groupBy("qid").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).select(
         F.col("qid").alias("of"), F.when(F.col("n") >= model.k, F.col("far")).otherwise(float("inf")).alias("bound"))
     bounded = queries.join(bounds, F.col("qid") == F.col("of")).select("qid", "vec", "bound")
-    return _best(near.unionByName(_candidates(model, bounded, True, n)), model.k)
+    return _best(near.unionByName(_candidates(model, bounded, True)), model.k)
 
 
 def knn_predict(model: KNNFitted, df: DataFrame) -> DataFrame:
     """``df`` with the mean of its k nearest rows, or their most frequent class (ties to the smaller); distance ties by row id."""
     k = model.k
     rows = written(df.withColumn("__qid", F.monotonically_increasing_id()), "knn_queries")
-    n = rows.count()
     queries = rows.select(F.col("__qid").alias("qid"), vector(rows, model.features).alias("vec")).where(WHOLE)
-    top = _best(_candidates(model, queries, False, n), k).drop("place")
+    top = _best(_candidates(model, queries, False), k).drop("place")
     if len(model.pivots) > 1:
-        top = _second(model, queries, written(top, "knn_first"), n)
+        top = _second(model, queries, written(top, "knn_first"))
     if model.task == "regression":
         found = top.groupBy("qid").agg(F.avg(F.col("y").cast("double")).alias("prediction"))
     else:

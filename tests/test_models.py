@@ -148,22 +148,21 @@ def test_classification_ensembles_vote(spark, alloy, name):
     assert acc > 0.4
 
 
-def test_weighted_median_combination(spark):
-    from fathom.plans.estimators import EnsembleFitted
-    df = spark.createDataFrame([(1,)], "k int")
-    members = [(w, (lambda v: (lambda d, out: d.withColumn(out, F.lit(float(v)))))(v))
-               for w, v in [(1.0, 5.0), (3.0, 1.0), (1.0, 9.0)]]
-    m = EnsembleFitted("AdaBoostRegressor", "regression", members)
-    assert m.predict(df).first()["prediction"] == 1.0
-    members2 = [(1.0, members[0][1]), (1.0, members[1][1]), (2.5, members[2][1])]
-    assert EnsembleFitted("AdaBoostRegressor", "regression", members2).predict(df).first()["prediction"] == 9.0
-
-
-def test_forest_defaults_grow_deep_trees(spark, alloy):
+def test_weighted_median_combination():
+    from fathom.plans.adaboost import weighted_median
+    values = np.array([[5.0], [1.0], [9.0]])
+    assert weighted_median(values, np.array([1.0, 3.0, 1.0]))[0] == 1.0
+    assert weighted_median(values, np.array([1.0, 1.0, 2.5]))[0] == 9.0
+
+
+def test_forest_defaults_grow_deep_trees(alloy):
+    from fathom.plans.forest import _depths
     m = M.fit(alloy, FEATS, "hardness_HV", "RandomForestRegressor", "regression", {"n_estimators": 5})
-    stage = m.model.stages[-1]
-    assert stage.getMaxDepth() == 30 and stage.getFeatureSubsetStrategy() == "all"
-    assert max(t.depth for t in stage.trees) > 8
+    assert m.predict(alloy).where("prediction is null").count() == 0 and len(m.trees) == 5
+    assert max(_depths(t).max() for t in m.trees) > 8
+    # every leaf is pure or holds one combination of bins
+    for t in m.trees:
+        assert (t.rows[t.feature < 0] < 2).mean() > 0.9
 
 
 def test_generic_cv_runs_fits_in_threads(spark, alloy):
@@ -198,3 +197,13 @@ def test_knn_visits_few_cells_of_clustered_rows(spark, monkeypatch):
     got = {r.id: r.prediction for r in model.predict(test).collect()}
     near = np.argsort(N.distances(q, x), axis=1, kind="stable")[:, :5]
     assert all(got[5000 + i] == pytest.approx((near[i] % 7).mean()) for i in range(200)) and got[9999] is None
+
+
+def test_moments_are_the_same_for_narrow_and_wide_tables(alloy, monkeypatch):
+    fold = F.col("process_time_h") > 4
+    one = M.fold_moments(alloy, [*FEATS, "hardness_HV"], fold)
+    monkeypatch.setattr(M, "NARROW", 0)
+    other = M.fold_moments(alloy, [*FEATS, "hardness_HV"], fold)
+    assert set(one) == set(other) and len(one) == 2
+    for f in one:
+        assert one[f]["n"] == other[f]["n"] and np.allclose(one[f]["mean"], other[f]["mean"]) and np.allclose(one[f]["cov"], other[f]["cov"])
