@@ -13,7 +13,7 @@
    1 / (1 + sum of its positive correlations with the other votes of the text).
 3. Classifier. A logistic regression over the lexicon is trained on the
    model's posterior labels, for at most ``SETS`` distinct sets of entries of
-   rows that may be learned from. The scores are its probabilities.
+   rows that may be learned from, drawn by their hash, each with its number of rows. The scores are its probabilities.
 
 Words are found by whole text in two scans; what is kept of a document is the
 short list of its entries. The lexicon, the voters' rates and the weights are
@@ -250,7 +250,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         _entries(numbers), "doc bigint, learnable boolean, entries array<int>"), "entries")
     patterns = written(found.groupBy("entries").agg(F.count(F.lit(1)).alias("n"), F.count_if("learnable").alias("learn")), "patterns")
     model = fit_label_model(patterns, lexicon, share)
-    sets = patterns.where("learn > 0").select("entries", F.col("learn").alias("n")).orderBy(F.desc("n"), F.xxhash64("entries")).limit(SETS) \
+    sets = patterns.where("learn > 0").select("entries", F.col("learn").alias("n")).orderBy(F.xxhash64("entries"), "entries").limit(SETS) \
         .mapInPandas(_posteriors(model), "entries array<int>, n bigint, q double").collect()
     bias, weights = fit_classifier([(r.entries, r.q, r.n) for r in sets], len(lexicon)) if sets else (0.0, np.zeros(len(lexicon)))
     return {"lexicon": numbers, "bias": float(bias), "weights": weights}, found

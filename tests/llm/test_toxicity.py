@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from fathom.llm import toxicity as T
 from fathom.llm.common import table
 from fathom.llm.toxicity import fit_classifier, learn, toxicity
 
@@ -55,6 +56,15 @@ def test_held_out_labels_change_nothing(frame, small):
     assert auc([(one[i], marks[i]) for i in held]) == 1.0
 
 
+def test_the_classifier_learns_from_sets_drawn_by_hash(frame, small, monkeypatch):
+    docs, labels = small
+    monkeypatch.setattr(T, "SETS", 40)
+    marks = {i: "vilely" in t or "nasty" in t for i, t in docs}
+    got = {r.doc: r.score for r in run(frame, docs, labels)}
+    assert auc([(got[i], marks[i]) for i in got]) > 0.95
+    assert got == {r.doc: r.score for r in run(frame, docs[::-1], labels)}
+
+
 def test_toxic_texts_that_open_and_close_alike(frame, small):
     docs, labels = small
     phrase = "from the desk of the daily board of letters"
