@@ -188,7 +188,7 @@ select (g // 2)::double as x1, (g % 2)::double as x2, {", ".join(f"round(f{k}, 3
        ['large', 'medium', 'small'][case when f0 >= f1 and f0 >= f2 then 1 when f1 >= f2 then 2 else 3 end] as prediction from it where turn = 100"""
 
 
-# A penalty on leaves can make a split not worth its gain, so the penalised learners do not tell all six groups apart in
+# A penalty on leaves can make a split not worth its gain, so the penalised learners need not tell all six groups apart in
 # every round and this recursion does not state them; tests hold them equal to plain loops.
 for _id, _name, _sql in [("M16", "GradientBoostingClassifier", _softmax_rounds(0.1, 0.0, 1.5, True)), ("M16b", "XGBClassifier", None),
                          ("M16c", "LGBMClassifier", _softmax_rounds(0.1, 0.0, 1.5, True)), ("M16d", "CatBoostClassifier", None)]:
