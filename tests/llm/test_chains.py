@@ -95,3 +95,47 @@ def test_defined_cases(frame):
     got = {(r.doc, r.source, r.start, r.end) for r in run(frame, rows)}
     assert got == {(1, None, 0, 70), (1, None, 2, 72), (7, None, 60_000, 60_070), (6, 5, 0, 5000)}
     assert run(frame, []) == []
+
+
+def test_second_copy_in_one_text_is_found(frame):
+    draw = random.Random(31)
+    p, a, b = text(draw, 60), text(draw, 40), text(draw, 40)
+    got = {(r.doc, r.source, r.start, r.end) for r in run(frame, [(1, " ".join(p)), (2, " ".join(a + p + b + p))])}
+    assert got == {(2, 1, 40, 100), (2, 1, 140, 200)}
+
+
+def test_passage_of_two_earlier_documents_is_found(frame):
+    draw = random.Random(32)
+    a, b, c, d = text(draw, 30), text(draw, 30), text(draw, 45), text(draw, 60)
+    near = [*a[:12], "other", *a[13:]]
+    rows = [(1, " ".join(text(draw, 20) + a)), (2, " ".join(b + text(draw, 20))), (3, " ".join(a + b)), (4, " ".join(a + b)),
+            (5, " ".join(text(draw, 9) + near + b)), (6, " ".join(d + text(draw, 9) + c)), (7, " ".join(text(draw, 9) + d + a)), (8, " ".join(d + a))]
+    got = {(r.doc, r.source, r.start, r.end) for r in run(frame, rows)}
+    assert {(4, 3, 0, 60), (5, 3, 9, 69)} <= got
+    words = {i for x, _, s, e in got if x == 8 for i in range(s, e)}
+    assert words == set(range(90))
+
+
+def test_no_stretch_of_an_earlier_document_is_lost(frame):
+    """Every 50 words that an earlier text has word for word are covered: brute force over all pairs of texts made of few pieces."""
+    draw = random.Random(33)
+    pieces = [text(draw, n) for n in (7, 12, 19, 25, 26, 31, 38, 44, 49, 55)]
+    texts = [[w for _ in range(draw.randrange(2, 9)) for w in draw.choice(pieces)[draw.randrange(3):]] for _ in range(60)]
+    covered = {}
+    for r in run(frame, [(i, " ".join(t)) for i, t in enumerate(texts)]):
+        assert r.source < r.doc and r.n_words >= 50 and r.identity >= 0.8
+        covered.setdefault(r.doc, set()).update(range(r.start, r.end))
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        grams = [tuple(t[a:a + 50]) for a in range(len(t) - 49)]
+        expected[i] = {w for a, g in enumerate(grams) if g in seen for w in range(a, a + 50)}
+        seen.update(grams)
+    assert sum(map(len, expected.values())) > 1000
+    assert all(words <= covered.get(i, set()) for i, words in expected.items())
+
+
+def test_chain_of_too_many_differences_keeps_its_good_parts(frame):
+    draw = random.Random(34)
+    p, q = text(draw, 60), text(draw, 60)
+    rows = [(1, " ".join(p + text(draw, 35) + q)), (2, " ".join(p + text(draw, 35) + q))]
+    assert {(r.doc, r.source, r.start, r.end) for r in run(frame, rows)} == {(2, 1, 0, 60), (2, 1, 95, 155)}
