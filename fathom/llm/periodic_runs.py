@@ -286,6 +286,7 @@ def _work(least: int, times: int):
                     sizes.append(len(parts[-1]))
                     held += sizes[-1] + 1
                     if held >= WORDS:
+                        number.default_factory = None           # else only the cycle collector frees it, which comes late
                         yield pa.RecordBatch.from_pylist(solve(docs, texts, parts, sizes), schema=kind)
                         (number, docs, texts, parts, sizes), held = empty(), 0
         if docs:

@@ -66,3 +66,21 @@ def test_the_model_is_a_setting(frame, spark, model, tmp_path):
             P.encode_decode(frame([(1, "a", "w", "i", 1)], SCHEMA))
     finally:
         spark.conf.unset(P.MODEL_SETTING)
+
+
+def test_chunks_are_freed_when_they_are_closed():
+    """Without the cycle collector, the tables of earlier chunks must not stay."""
+    import gc
+    from collections import defaultdict
+    import pyarrow as pa
+    from fathom.llm import pieces as P
+    pairs = np.array(sorted(ord(a) << 32 | ord(b) for a, b in ("ab", "bc")), np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([f"abc word{i} abc" for i in range(40)])], names=["doc", "text"])
+    gc.collect()
+    before = sum(isinstance(x, defaultdict) for x in gc.get_objects())
+    gc.disable()
+    try:
+        assert sum(1 for _ in P._to_chunks(10, pairs)([batch])) == 40
+        assert sum(isinstance(x, defaultdict) for x in gc.get_objects()) <= before + 4
+    finally:
+        gc.enable()
