@@ -61,3 +61,21 @@ def test_rows_without_a_feature_are_left_out(spark):
     df = spark.createDataFrame([(float(i % 7), i % 7 > 3) for i in range(70)] + [(None, True)], "a double, y boolean")
     out = L.fit_logistic(df, ["a"], "y", {}).predict(df).collect()
     assert all(r.prediction == r.y for r in out if r.a is not None) and out[-1].prediction is None
+
+
+def test_descent_ends_where_rounding_hides_the_decrease():
+    """One feature of three values, as in M18_logistic_one_feature: its optimum to 1e-10 within few passes, whatever the counts."""
+    from fathom.plans.logistic import Descent, losses
+    draw = np.random.default_rng(1)
+    x, y = np.column_stack([np.repeat([0.0, 1.0, 2.0], 2), np.ones(6)]), np.tile([0.0, 1.0], 3)
+    for _ in range(300):
+        scale = 10 ** draw.uniform(3, 8)
+        c = np.floor(draw.uniform(0.05, 1, 6) * scale)
+        run, passes = Descent(2, 1e-10, 1000), 0
+        while not run.done and passes < 40:
+            loss, grad = losses(x, y, c[None], run.point.reshape(1, 1, 2), 2)
+            free = run.point * [1, 0]
+            slope = (grad.reshape(-1) + free) / c.sum()
+            run.told((loss[0] + (free ** 2).sum() / 2) / c.sum(), slope)
+            passes += 1
+        assert run.done and np.abs(slope).max() <= 1e-10
