@@ -110,3 +110,11 @@ def test_loader_attaches_roles_and_units(spark, alloy):
     assert b.df.schema["hardness_HV"].metadata == {"role": "target", "unit": "HV"}
     assert b.df.schema["Al_conc_wt_pct"].metadata["role"] == "feature"
     assert b.roles.description.startswith("Dataset loaded from 'alloy.csv'")
+
+
+def test_drop_missing_computes_each_column_once(spark):
+    df = spark.range(5).select(F.md5(F.concat(F.col("id").cast("string"), F.lit("x"))).alias("t"),
+                               (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("double") + 1).alias("d"))
+    kept, _ = P.drop_missing(df)
+    plan = kept.agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2 and kept.count() == 5
