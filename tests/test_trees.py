@@ -152,3 +152,30 @@ def test_defined_cases(spark):
     odd = spark.createDataFrame([(float("inf"), 1.0), (float("-inf"), 2.0), (None, 3.0), (float("nan"), 3.0), (0.0, 4.0), (1.0, None)], "a double, y double")
     model = Fo.fit_forest(odd, ["a"], "y", "DecisionTreeRegressor", "regression", {})
     assert [r.prediction for r in model.predict(odd.where("y is not null")).collect()] == [1.0, 2.0, 3.0, 3.0, 4.0]
+
+
+@pytest.mark.parametrize("target", ["y", "kind"])
+def test_few_distinct_cells_are_drawn_once(spark, monkeypatch, target):
+    task, name = ("regression", "RandomForestRegressor") if target == "y" else ("classification", "RandomForestClassifier")
+    pdf = pd.DataFrame({"a": np.arange(3000) % 3, "b": np.arange(3000) // 3 % 2, "id": np.arange(3000), "fold": np.arange(3000) % 7 % 3})
+    pdf["y"] = pdf["a"] * 2.0 + pdf["b"] + np.arange(3000) % 5
+    pdf["kind"] = np.where(pdf["y"] > 4, "hi", "lo")
+    df = spark.createDataFrame(pdf).repartition(3)
+    combos = [(0, {"n_estimators": 3, "max_depth": 1}), (1, {"n_estimators": 5})]
+
+    def found():
+        model = Fo.fit_forest(df, ["a", "b"], target, name, task, {"n_estimators": 5}, ["id"])
+        scores = Fo.cv_forest(df, ["a", "b"], target, name, task, combos, 3, ["id"])
+        return model, predicted(model, df), [s["mean_score"] for s in scores]
+    model, values, scores = found()
+    assert model.binned.n_rows <= 6 * 9                                   # not 3000
+    monkeypatch.setattr(Fo, "WEIGHTS", 0)
+    model, each, of_each = found()
+    assert model.binned.n_rows == 3000
+    assert (values == each).all() if task == "classification" else np.allclose(values, each, rtol=1e-12)
+    assert np.allclose(scores, of_each, rtol=1e-12)
+
+
+def test_cells_are_gathered_only_where_few(table):
+    model = Fo.fit_forest(table, FEATURES, "y", "RandomForestRegressor", "regression", {"n_estimators": 2}, ["id"])
+    assert model.binned.n_rows == 900
