@@ -179,3 +179,10 @@ def test_few_distinct_cells_are_drawn_once(spark, monkeypatch, target):
 def test_cells_are_gathered_only_where_few(table):
     model = Fo.fit_forest(table, FEATURES, "y", "RandomForestRegressor", "regression", {"n_estimators": 2}, ["id"])
     assert model.binned.n_rows == 900
+
+
+def test_equal_rows_are_counted_where_nothing_is_sampled(spark):
+    df = spark.createDataFrame(pd.DataFrame({"a": np.arange(600) % 3, "y": np.arange(600) % 3 * 2.0, "id": np.arange(600)}))
+    model = Fo.fit_forest(df, ["a"], "y", "ExtraTreesRegressor", "regression", {"n_estimators": 2}, ["id"])
+    assert model.binned.blocks.selectExpr("sum(n)").first()[0] == 3       # not 600
+    assert np.allclose(predicted(model, df), np.arange(600) % 3 * 2.0)
