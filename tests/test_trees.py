@@ -186,3 +186,22 @@ def test_equal_rows_are_counted_where_nothing_is_sampled(spark):
     model = Fo.fit_forest(df, ["a"], "y", "ExtraTreesRegressor", "regression", {"n_estimators": 2}, ["id"])
     assert model.binned.blocks.selectExpr("sum(n)").first()[0] == 3       # not 600
     assert np.allclose(predicted(model, df), np.arange(600) % 3 * 2.0)
+
+
+def test_best_first_growth_leaves_out_what_it_cannot_come_to():
+    from fathom.plans.boosting import best_first
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 30, (3, 2000)).astype(np.uint8)
+    x[0, ::9] = T.MISSING
+    sent = np.column_stack([np.ones(2000), draw.normal(size=2000) + x[1], np.ones(2000)])
+    grow = lambda splits: T.grow_here(x, sent, T.Rule(min_gain=0.0, spread=False, splits=splits), 0, T.root_path(0, 1), [np.arange(30.0)] * 3)
+    whole, some = grow(None), grow(6)
+    assert len(some.feature) < len(whole.feature) / 5
+    want, got = best_first(whole, 7)[0], best_first(some, 7)[0]
+    assert all(np.array_equal(getattr(want, k), getattr(got, k)) for k in ("feature", "cut", "missing_left", "left", "gain", "rows", "value"))
+    assert len(whole.feature) > T.LOOKUP > len(got.feature)
+    for tree in (some, got):                                              # by the table and step by step
+        node = np.zeros(2000, np.int64)
+        while (live := np.flatnonzero(tree.feature[node] >= 0)).size:
+            node[live] = tree.step(node[live], x, live)
+        assert np.array_equal(tree.leaves(x), node)
