@@ -205,3 +205,26 @@ def test_best_first_growth_leaves_out_what_it_cannot_come_to():
         while (live := np.flatnonzero(tree.feature[node] >= 0)).size:
             node[live] = tree.step(node[live], x, live)
         assert np.array_equal(tree.leaves(x), node)
+
+
+@pytest.mark.parametrize("nodes", [3, 4000])
+@pytest.mark.parametrize("kind", ["newton", "gini", "gini of mixed rows"])
+def test_sums_by_node_and_bin_are_the_same_counted_or_sorted(nodes, kind):
+    draw = np.random.default_rng(nodes)
+    n = 5000                                                                   # with few nodes all their bins are counted, with many the rows are sorted
+    node, bins = np.sort(draw.integers(0, nodes, n)), draw.integers(0, 41, n).astype(np.uint8)
+    bins[bins == 40] = B.MISSING
+    rule = T.Rule("newton") if kind == "newton" else T.Rule("gini", 3)
+    s = rule.expand(np.column_stack([np.ones(n), draw.integers(1, 4, n), draw.integers(0, 3, n)]).astype(float))
+    if kind == "gini of mixed rows":
+        s[:, 1:] = draw.integers(0, 5, (n, 3))
+    seen = s if kind != "newton" else s[:, :3]
+    rows = np.flatnonzero(draw.random(n) < 0.7)
+    for which in (None, rows):
+        own = np.arange(n) if which is None else rows
+        at, values, sums = T.Sums(rule, s).of(node[own], bins[own], nodes, 40, which)
+        want = {}
+        for i in own:
+            want.setdefault((node[i], bins[i]), []).append(seen[i])
+        assert list(zip(at, values)) == sorted(want)
+        assert np.array_equal(sums, [np.sum(want[k], axis=0) for k in sorted(want)])
