@@ -27,7 +27,7 @@ def _linepart_bundle(spark, sf) -> Bundle:
 def t7_cv_score_linear(spark, sf):
     """5-fold CV R2 of the default Ridge grid on line items: one grouped moment pass for all 20 fits."""
     b = _linepart_bundle(spark, sf)
-    data = T.split_and_folds(b.df, LI_KEYS)
+    data = written(T.split_and_folds(b.df, LI_KEYS), "split")
     train = data.where(F.col("split") == "train")
     combos = list(enumerate(S.expand_grid(S.param_grid("Ridge", "regression"))))
     return S.scores_frame(spark, S.cv_score(train, b.features, b.target, "Ridge", "regression", combos))
@@ -49,7 +49,7 @@ def t7_cv_score_logistic(spark, sf):
 def t8_select_best_refit(spark, sf):
     """Best Lasso alpha by CV (ties to the earliest), refitted on all train rows: its coefficients."""
     b = _linepart_bundle(spark, sf)
-    data = T.split_and_folds(b.df, LI_KEYS)
+    data = written(T.split_and_folds(b.df, LI_KEYS), "split")
     train = data.where(F.col("split") == "train")
     model, best, _ = S.search(train, b.features, b.target, "Lasso", "regression", S.param_grid("Lasso", "regression"))
     rows = [("alpha", float(best["params"]["alpha"]))] + [("intercept", float(model.intercept))] + \

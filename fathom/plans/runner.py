@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.bundle import Bundle, quote
@@ -20,6 +19,7 @@ from fathom.operators import splits as T
 from fathom.plans import search as S
 from fathom.plans.estimators import LINEAR_KIND, fit_linear, linear_moments
 from fathom.plans.registry_models import DEFAULT_SUGGESTION, list_models, lookup
+from fathom.session import written
 from fathom.sources.tables import load_table
 
 # The plan used when no planner is consulted.
@@ -74,13 +74,11 @@ def _choose(run: Run, res: RunResult) -> RunResult:
 def _train(run: Run, res: RunResult) -> RunResult:
     b, name = res.bundle, res.suggestion[0]
     keys = run.key or list(b.df.columns)
-    data = T.split_and_folds(b.df, keys, b.target if run.task == "classification" else None)
-    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model, best, scores = S.search(train, b.features, b.target, name, run.task, S.param_grid(name, run.task, None, run.grid_on),
-                                       randomized=run.randomized, parallelism=run.parallelism, key=run.key)
-    finally:
-        train.unpersist()
+    # written once: read as it is, each pass over the split would hash every row again for each cut
+    data = written(T.split_and_folds(b.df, keys, b.target if run.task == "classification" else None), "split")
+    train = data.where(F.col("split") == "train")
+    model, best, scores = S.search(train, b.features, b.target, name, run.task, S.param_grid(name, run.task, None, run.grid_on),
+                                   randomized=run.randomized, parallelism=run.parallelism, key=run.key)
     pred = model.predict(data.where(F.col("split") == "test")).select(
         *keys, F.col(b.target).alias("y_true"), F.col("prediction").alias("y_pred"))
     return replace(res, model=model, best=best, scores=scores, predictions=pred)
@@ -156,18 +154,15 @@ def compare_models(spark: SparkSession, bundle: Bundle, models: list[str], task:
                    key: list[str] | None = None, use_tuning: bool = False) -> DataFrame:
     """Several models on the same split, best first (R2 / accuracy)."""
     keys = key or list(bundle.df.columns)
-    data = T.split_and_folds(bundle.df, keys, bundle.target if task == "classification" else None)
-    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    data = written(T.split_and_folds(bundle.df, keys, bundle.target if task == "classification" else None), "split")
+    train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     grids = {name: S.param_grid(name, task, None, use_tuning) for name in models}
     plain = [name for name in models if name in LINEAR_KIND and not grids[name]]
-    try:
-        # all linear models without a grid are solved from the same moments
-        moments = linear_moments(train, bundle.features, bundle.target) if plain else None
-        fitted = {name: fit_linear(train, bundle.features, bundle.target, LINEAR_KIND[name], {}, moments) if name in plain
-                  else S.search(train, bundle.features, bundle.target, name, task, grids[name], key=key)[0] for name in models}
-    finally:
-        train.unpersist()
+    # all linear models without a grid are solved from the same moments
+    moments = linear_moments(train, bundle.features, bundle.target) if plain else None
+    fitted = {name: fit_linear(train, bundle.features, bundle.target, LINEAR_KIND[name], {}, moments) if name in plain
+              else S.search(train, bundle.features, bundle.target, name, task, grids[name], key=key)[0] for name in models}
     # one pass over the test rows: a column for each model, then a row
     pred, answers = test, []
     for i, (name, model) in enumerate(fitted.items()):

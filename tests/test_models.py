@@ -207,3 +207,16 @@ def test_moments_are_the_same_for_narrow_and_wide_tables(alloy, monkeypatch):
     assert set(one) == set(other) and len(one) == 2
     for f in one:
         assert one[f]["n"] == other[f]["n"] and np.allclose(one[f]["mean"], other[f]["mean"]) and np.allclose(one[f]["cov"], other[f]["cov"])
+
+
+@pytest.mark.parametrize("name, grid", [("Ridge", {"alpha": [0.1, 100.0]}), ("Lasso", {"alpha": [0.01, 1.0]})])
+def test_a_linear_search_passes_over_its_rows_once(spark, monkeypatch, name, grid):
+    rows = spark.range(400).selectExpr("cast(id as double) as a", "cast(pmod(id * 7, 11) as double) as b", "cast(id % 5 as int) as fold") \
+        .selectExpr("*", "3 * a - 2 * b + pmod(cast(a as int) * 13, 7) as y")
+    passes, moments = [], M.fold_moments
+    monkeypatch.setattr(M, "fold_moments", lambda *a: passes.append(a) or moments(*a))
+    model, best, scores = S.search(rows, ["a", "b"], "y", name, "regression", grid)
+    assert len(passes) == 1 and scores.count() == 2
+    whole = M.fit(rows, ["a", "b"], "y", name, "regression", best["params"])
+    assert np.allclose(model.coef, whole.coef, rtol=1e-9) and np.isclose(model.intercept, whole.intercept, rtol=1e-9)
+    assert S.cv_score(rows, ["a", "b"], "y", name, "regression", list(enumerate(S.expand_grid(grid))))[best["combo_id"]] == best
