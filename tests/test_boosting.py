@@ -162,3 +162,20 @@ def test_best_first_is_cut_by_gain():
                   np.array([1, 3, 5, 0, 0, 7, 0, 0, 0], np.int32), np.array([9, 2, 5, 0, 0, 4, 0, 0, 0.0]), np.ones(9), np.arange(9.0)[:, None])
     cut, last = G.best_first(tree, 3)
     assert cut.feature.tolist() == [0, -1, 0, -1, -1] and cut.value[:, 0].tolist() == [0, 1, 2, 5, 6] and last == {1, 2, 5, 6}
+
+
+@pytest.mark.parametrize("name", ["GradientBoosting", "XGB", "LGBM", "CatBoost"])
+def test_trees_of_several_members_are_grown_without_an_exchange(table, monkeypatch, name):
+    df, _ = table
+    fit = lambda: G.fit_boosting(df, list("abc"), "three", name + "Classifier", "classification", {"n_estimators": 2, "max_depth": 3, "num_leaves": 6})
+    read = lambda m: np.array(df.select("a", "b", "c", "y", m.scores(df).alias("s")).toPandas().sort_values(["a", "b", "c", "y"])["s"].tolist())
+
+    def exchanged(*args):
+        raise AssertionError("rows or histograms are sent over the network")
+    with monkeypatch.context() as only:
+        only.setattr(G, "LOCAL", 140)                       # 400 rows in three tasks, one for each class
+        only.setattr(T, "_rows_of", exchanged)
+        only.setattr(T, "_histograms", exchanged)
+        here = read(fit())
+    monkeypatch.setattr(G, "LOCAL", 60)
+    assert np.allclose(here, read(fit()))
