@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,26 @@ def test_a_linear_search_passes_over_its_rows_once(spark, monkeypatch, name, gri
     whole = M.fit(rows, ["a", "b"], "y", name, "regression", best["params"])
     assert np.allclose(model.coef, whole.coef, rtol=1e-9) and np.isclose(model.intercept, whole.intercept, rtol=1e-9)
     assert S.cv_score(rows, ["a", "b"], "y", name, "regression", list(enumerate(S.expand_grid(grid))))[best["combo_id"]] == best
+
+
+def test_nearest_rows_by_products_are_those_of_all_distances(monkeypatch):
+    draw = np.random.default_rng(8)
+    b = np.concatenate([draw.normal(size=(300, 16)) + 1000, np.repeat(draw.normal(size=(4, 16)) + 1000, 50, axis=0)])
+    a = np.concatenate([b[::25], draw.normal(size=(20, 16)) + 1000])
+    every = N.distances(a, b)
+    want = np.argsort(every, axis=1, kind="stable")[:, :5]
+    for bound in (np.full(len(a), np.inf), np.take_along_axis(every, want, 1)[:, 4]):
+        i, j, d = N.near_pairs(a, b, 5, bound)
+        assert (j.reshape(len(a), 5) == want).all() and (d == every[i, j]).all()
+    i, j, d = N.near_pairs(np.array([[1e200, 0.0]]), np.array([[-1e200, 0.0], [0.0, 0.0]]), 2, np.array([np.inf]))
+    assert sorted(j.tolist()) == [0, 1]
+
+
+def test_knn_measures_few_of_all_pairs(monkeypatch):
+    draw, measured = np.random.default_rng(9), []
+    rows = pd.DataFrame({"rid": np.arange(4000), "vec": list(draw.normal(size=(4000, 16))), "far": 0.0, "y": 0})
+    queries = pd.DataFrame({"qid": np.arange(300), "vec": list(draw.normal(size=(300, 16))), "q_far": 0.0, "bound": np.inf})
+    whole = N.distances
+    monkeypatch.setattr(N, "distances", lambda a, b: measured.append(len(a) * len(b)) or whole(a, b))
+    found = N._nearest(5)(queries, rows)
+    assert len(found) == 1500 and sum(measured) < 0.1 * 300 * 4000
