@@ -228,3 +228,36 @@ def test_sums_by_node_and_bin_are_the_same_counted_or_sorted(nodes, kind):
             want.setdefault((node[i], bins[i]), []).append(seen[i])
         assert list(zip(at, values)) == sorted(want)
         assert np.array_equal(sums, [np.sum(want[k], axis=0) for k in sorted(want)])
+
+
+def test_a_nodes_tree_is_sent_to_as_many_groups_as_its_cells_fill(table, monkeypatch):
+    monkeypatch.setattr(T, "LOCAL", 100)
+    monkeypatch.setattr(Fo, "MODEL", 10)
+    monkeypatch.setattr(Fo, "SHARE", 200)                    # the table fills five groups, a node's cells one
+    copies, routed_sums = [], Fo.routed_sums
+
+    def one_row_for_each_tree(d, variants):
+        def work(key, cells, tree):
+            return pd.DataFrame({"block": [0] * len(tree), "part": [0] * len(tree), "member": [int(key[0])] * len(tree), "n": [0] * len(tree),
+                                 "at": [b""] * len(tree), "data": [b""] * len(tree)})
+        return work
+
+    class Counted(Exception):
+        pass
+
+    def counted(*args):
+        copies.append(routed_sums(*args).where("length(data) = 0").count())
+        raise Counted
+    model = Fo.fit_forest(table, FEATURES, "y", "DecisionTreeRegressor", "regression", {})
+    monkeypatch.setattr(Fo, "_below", one_row_for_each_tree)
+    monkeypatch.setattr(Fo, "routed_sums", counted)
+    with pytest.raises(Counted):
+        model.predict(table)
+    nodes = sum(len(n) for n in model.grown.nodes)
+    assert 5 < nodes and 0 < copies[0] <= nodes
+
+
+def test_a_large_table_has_no_more_nodes_to_finish():
+    binned = B.Binned(["a"], [], [], None, 300_000_000, 0.0, None, None)
+    assert T.rows_of_a_task(binned) > T.LOCAL and T.rows_of_a_task(binned) <= T.MOST_LOCAL
+    assert T.rows_of_a_task(B.Binned(["a"], [], [], None, 1000, 0.0, None, None)) == T.LOCAL
