@@ -179,3 +179,65 @@ def test_trees_of_several_members_are_grown_without_an_exchange(table, monkeypat
         here = read(fit())
     monkeypatch.setattr(G, "LOCAL", 60)
     assert np.allclose(here, read(fit()))
+
+
+@pytest.mark.parametrize("name", ["GradientBoostingRegressor", "XGBRegressor", "LGBMRegressor", "CatBoostRegressor", "XGBClassifier"])
+def test_all_rounds_of_a_fit_are_grown_in_one_task(table, monkeypatch, name):
+    df, _ = table
+    target, task = ("two", "classification") if name.endswith("Classifier") else ("y", "regression")
+    fit = lambda: G.fit_boosting(df, list("abc"), target, name, task, {"n_estimators": 11, "max_depth": 3, "num_leaves": 6})
+    read = lambda m: np.array(df.select("a", "b", "c", "y", m.scores(df).alias("s")).toPandas().sort_values(["a", "b", "c", "y"])["s"].tolist())
+
+    def passed(*args, **kwargs):
+        raise AssertionError("a pass for each level or round")
+    with monkeypatch.context() as only:
+        for at, what in ((T, "grow"), (G, "grow_symmetric"), (G, "grow_whole"), (G, "_with_scores")):
+            only.setattr(at, what, passed)
+        model = fit()
+    assert len(model.model.trees) == 11
+    here = read(model)
+    monkeypatch.setattr(G, "BINS_OF_A_FIT", 0)
+    monkeypatch.setattr(G, "LOCAL", 60)
+    assert np.allclose(here, read(fit()))
+
+
+@pytest.fixture(scope="module")
+def cells():
+    draw = np.random.default_rng(11)
+    bins = np.stack([draw.integers(0, 40, 5000), draw.integers(0, 2, 5000), draw.integers(0, 200, 5000)]).astype(np.uint8)
+    bins[0, ::9], bins[2, ::4] = T.MISSING, T.MISSING
+    g = np.where((bins[0] < 20) == (bins[2] < 100), 5.0, -5.0) + bins[1] + draw.normal(size=5000)      # its first cut gains little, the next ones much
+    c = draw.integers(1, 4, 5000).astype(float)
+    return bins, np.column_stack([c, c * g, c]), np.array([41, 3, 201]), [np.arange(float(n)) for n in (40, 2, 200)]
+
+
+def test_a_tree_from_counted_bins_is_the_tree_of_its_rows(cells):
+    bins, s, sizes, stands = cells
+    for rule in (T.Rule(max_depth=5), T.Rule(max_depth=6, penalty=1.0, min_weight=30.0, min_gain=1e-6, spread=False)):
+        e = rule.expand(s)
+        a, b = T.grow_counted(T.Counts(bins, sizes, list(e.T)), rule, T.root_path(0, 42), stands), T.grow_here(bins, e, rule, 0, T.root_path(0, 42), stands)
+        inner = a.feature >= 0
+        assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.cut[inner] == b.cut[inner]).all() and inner.sum() >= 10
+        assert (a.missing_left[inner] == b.missing_left[inner]).all() and np.allclose(a.value, b.value)
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 31])
+def test_best_first_growth_counts_no_other_leaves(cells, monkeypatch, leaves):
+    bins, s, sizes, stands = cells
+    rule = T.Rule(min_rows=20, min_gain=0.0, splits=leaves - 1, spread=False)
+    want = G.best_first(T.grow_here(bins, s, rule, 0, T.root_path(0, 42), stands), leaves)[0]
+    counted, of = [], T.Counts.of
+    monkeypatch.setattr(T.Counts, "of", lambda self, *args: counted.append(1) or of(self, *args))
+    got = G.best_first(T.grow_best(T.Counts(bins, sizes, list(s.T)), rule, stands), leaves)[0]
+    inner = got.feature >= 0
+    assert inner.sum() == leaves - 1 >= len(counted)
+    assert (got.feature == want.feature).all() and (got.left == want.left).all() and (got.cut[inner] == want.cut[inner]).all() and np.allclose(got.value, want.value)
+
+
+def test_leaves_by_conditions_are_those_of_the_table(cells):
+    bins, s, sizes, stands = cells
+    deep = T.Rule(min_rows=20, min_gain=0.0, splits=20, spread=False)
+    flat = T.Rule(penalty=3.0, spread=False, min_gain=None)
+    for tree in (G.best_first(T.grow_best(T.Counts(bins, sizes, list(s.T)), deep, stands), 21)[0], G.symmetric_here(T.Counts(bins, sizes, list(s.T)), flat, 6),
+                 G.symmetric_here(T.Counts(bins[:, :1], sizes, list(s[:1].T)), flat, 6)):
+        assert (tree.leaves(bins) == tree._looked_up(bins)).all() and (len(tree.feature) == 1 or len(np.unique(tree.leaves(bins))) > 7)
