@@ -241,3 +241,11 @@ def test_leaves_by_conditions_are_those_of_the_table(cells):
     for tree in (G.best_first(T.grow_best(T.Counts(bins, sizes, list(s.T)), deep, stands), 21)[0], G.symmetric_here(T.Counts(bins, sizes, list(s.T)), flat, 6),
                  G.symmetric_here(T.Counts(bins[:, :1], sizes, list(s[:1].T)), flat, 6)):
         assert (tree.leaves(bins) == tree._looked_up(bins)).all() and (len(tree.feature) == 1 or len(np.unique(tree.leaves(bins))) > 7)
+
+
+def test_catboost_takes_its_1000_rounds(table):
+    df, _ = table
+    for name in ("CatBoostRegressor", "CatBoostClassifier"):
+        assert G.booster_for(name, {}).rounds == 1000 and G.booster_for(name, {"iterations": 7}).rounds == 7
+    model = G.fit_boosting(df.limit(40), ["a"], "y", "CatBoostRegressor", "regression", {})
+    assert len(model.model.trees) == 1000 and "1,000 rounds" in model.note
